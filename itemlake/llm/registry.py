@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from itemlake.llm import chat, mixing, warc
+from itemlake.llm import bpe, chat, mixing, quality, tokenfile, warc
 from itemlake.plans.scratch import new_folder
 
 
@@ -27,6 +29,25 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    tokenfile.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    read = tokenfile.read_tokens(spark, folder)
+    return read.select("doc_id", "start", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 OP4_SQL = """
 WITH RECURSIVE shares AS (
   SELECT source, greatest(1, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) / sum(sqrt(CAST(count(*) AS DOUBLE))) OVER () * 1000) AS BIGINT)) AS share
@@ -55,7 +76,7 @@ JOIN seats ON seats.i = s.i AND seats.k = (d.r // 32) % s.share
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_format, op4_mix_sources)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_format, op4_mix_sources, op5_quality_rules, op7_token_files, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
