@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, chat, mixing, quality, tokenfile, warc
+from itemlake.llm import bpe, chat, mixing, quality, substring, tokenfile, warc
 from itemlake.plans.scratch import new_folder
 
 
@@ -25,6 +25,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(rows))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_copied(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -76,7 +80,7 @@ JOIN seats ON seats.i = s.i AND seats.k = (d.r // 32) % s.share
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_format, op4_mix_sources, op5_quality_rules, op7_token_files, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_format, op3_substring_dedup, op4_mix_sources, op5_quality_rules, op7_token_files, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
