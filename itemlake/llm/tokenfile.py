@@ -25,13 +25,20 @@ from itemlake.plans.scratch import materialise
 
 MAGIC = b"RANSTOK1"
 LANES, BLOCK_TOKENS, SCALE = 1024, 1 << 18, 20
+#: Tokens below this are counted and looked up in arrays as long as the largest.
+_DENSE = 1 << 22
 _LOW = np.uint64(1 << 31)
 U = np.uint64
 
 
 def frequency_table(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies): every symbol that occurs, frequencies of at least 1 that sum to 2**SCALE."""
-    symbols, counts = np.unique(tokens, return_counts=True)
+    if len(tokens) and tokens.max() < _DENSE:
+        counts = np.bincount(tokens)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(tokens, return_counts=True)
     if not len(symbols):
         return symbols.astype(np.uint32), np.zeros(0, np.uint32)
     if len(symbols) > 1 << SCALE:
@@ -96,9 +103,13 @@ def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarra
     start = np.cumsum(freq) - freq
     at, blocks = len(MAGIC), []
     yield MAGIC
+    rank = None
+    if len(symbols) and symbols[-1] < _DENSE:
+        rank = np.zeros(int(symbols[-1]) + 1, np.int32)
+        rank[symbols] = np.arange(len(symbols))
     for i in range(0, len(tokens), BLOCK_TOKENS):
         part = tokens[i : i + BLOCK_TOKENS]
-        states, words = encode_block(np.searchsorted(symbols, part), freq, start)
+        states, words = encode_block(np.searchsorted(symbols, part) if rank is None else rank[part], freq, start)
         raw = words.astype("<u4").tobytes()
         blocks.append(struct.pack("<QIII", at, len(part), len(words), zlib.crc32(raw)) + states.astype("<u8").tobytes())
         yield raw
