@@ -209,7 +209,7 @@ def tokenizer_encoder(path: str) -> PieceEncoder:
                 out.append([t.id for p in pieces for t in model.tokenize(p.encode().decode("latin-1").translate(table))])
         return out
 
-    return PieceEncoder(many)
+    return PieceEncoder(many, 1_200_000)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_tokens: int = 4 << 20) -> DataFrame:
