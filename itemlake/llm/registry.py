@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, chat, jaccard, mixing, quality, substring, tokenfile, warc
+from itemlake.llm import bpe, chat, jaccard, mixing, quality, substring, tokenfile, vectors, warc
 from itemlake.plans.scratch import new_folder
 
 
@@ -48,6 +48,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN)
@@ -84,7 +88,7 @@ JOIN seats ON seats.i = s.i AND seats.k = (d.r // 32) % s.share
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_format, op3_substring_dedup, op4_mix_sources, op5_quality_rules, op7_token_files, op8_jaccard_join, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_chat_format, op3_substring_dedup, op4_mix_sources, op5_quality_rules, op7_token_files, op8_jaccard_join, op9_near_vectors, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
