@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itemlake.llm.textarrays import Slice, Words, all_spans, mixed, slices, span_hash, span_prefix, words
 from itemlake.llm.tiles import count_links, groups, stars
@@ -232,6 +233,17 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     return placed.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def drop_near(docs: DataFrame, **join) -> DataFrame:
+    """docs, all columns, with one row of each class of jaccard_join: the one with the smallest doc_id.
+
+    Rows without an id stay; of rows with equal id and text one stays.
+    """
+    first = jaccard_join(docs, **join).filter("doc_id = class_id").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def _own_text(members: DataFrame) -> DataFrame:
     """Keep the text whose words have the row's hash, once."""
 

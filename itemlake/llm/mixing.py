@@ -57,8 +57,8 @@ def pfair_period(shares: DataFrame) -> DataFrame:
     ).agg(F.sort_array(F.collect_list("slot")).alias("slots"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 32, grid: int = 1000, temperature: float = 0.5, buckets: int = 1024) -> DataFrame:
-    """doc rows' place in the mixture: doc_id, source, block, release, due, slot, position.
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 32, grid: int = 1000, temperature: float = 0.5, buckets: int = 1024, carry: list[str] | None = None) -> DataFrame:
+    """Each row's place in the mixture: doc_id, source, the columns in carry, block, release, due, slot, position.
 
     Within a source, rows are ordered by the md5 of doc_id (then doc_id; equal ids in any order) and
     cut into blocks of block_rows. Block b takes slot slots[b mod share] of period b div share of
@@ -66,27 +66,33 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 32, grid
     mixture. While every source lasts, each prefix of slots holds each source's share to less than
     one block; when a source ends, its later slots stay empty and the others keep their rates.
     Every row gets a position; null ids come last in a source, and null is a source of its own. An
-    empty table gives no row. Other columns are ignored.
+    empty table gives no row. Columns not in carry are ignored.
 
     Ranks in a source are made of ranks in (source, first md5 digits) and sums of the counts before,
     so a source with most of the rows is spread over all tasks.
     """
+    carry = [c for c in carry or [] if c not in ("doc_id", "source")]
     width = len(f"{buckets - 1:x}")
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("g"))  # after every hex digit
-    rows = docs.select("doc_id", "source").withColumn("md5", key).withColumn("part", F.substring("md5", 1, width))
-    inside = Window.partitionBy("source", "part").orderBy("md5", F.col("doc_id").asc_nulls_last())
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).alias("r").join(
-        starts.alias("b"), F.expr("r.source <=> b.source and r.part = b.part")
-    ).select("r.doc_id", "r.source", (F.col("r.rank") + F.col("b.start")).alias("rank"))
-    plan = pfair_period(source_shares(docs, weights, grid, temperature))
-    # at most one row a source, grid + number of sources slots in all
-    placed = ranked.alias("d").join(F.broadcast(plan).alias("p"), F.expr("d.source <=> p.source"))
+    md5 = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("g"))  # after every hex digit
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null as a key that joins
+    keyed = lambda rows: rows.select(name.alias("_name"), F.substring(md5, 1, width).alias("_part"), md5.alias("_md5"), "doc_id", "source", *carry)
+    inside = Window.partitionBy("_name", "_part").orderBy("_md5", F.col("doc_id").asc_nulls_last())
+    before = Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed(docs).groupBy("_name", "_part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("_name", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    ranked = keyed(docs).withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["_name", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_start"))
+    plan = pfair_period(source_shares(docs, weights, grid, temperature)).select(name.alias("_name"), F.col("share").alias("_share"), F.col("period").alias("_period"), F.col("slots").alias("_slots"))
+    placed = ranked.join(F.broadcast(plan), "_name")  # at most a row a source; grid + number of sources slots in all
+    kept = ["doc_id", "source", *carry]
     return placed.selectExpr(
-        "d.doc_id", "d.source", "share", "period", "slots", f"d.rank div {block_rows} as block", f"cast(d.rank % {block_rows} as bigint) as place"
+        *(f"`{c}`" for c in kept), "_share", "_period", "_slots", f"_rank div {block_rows} as block", f"cast(_rank % {block_rows} as bigint) as _place"
     ).selectExpr(
-        "doc_id", "source", "block", "(block * period) div share as release", "((block + 1) * period + share - 1) div share as due",
-        "(block div share) * period + slots[cast(block % share as int)] as slot", "place",
-    ).selectExpr("doc_id", "source", "block", "release", "due", "slot", f"slot * {block_rows} + place as position")
+        *(f"`{c}`" for c in kept), "block", "(block * _period) div _share as release", "((block + 1) * _period + _share - 1) div _share as due",
+        "(block div _share) * _period + _slots[cast(block % _share as int)] as slot", "_place",
+    ).selectExpr(*(f"`{c}`" for c in kept), "block", "release", "due", "slot", f"slot * {block_rows} + _place as position")
+
+
+def mixed(docs: DataFrame, **plan) -> DataFrame:
+    """docs, all rows and columns, in the order of the mixture."""
+    placed = mix(docs.select("*"), carry=docs.columns, **plan)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)

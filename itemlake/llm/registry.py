@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, chat, jaccard, mixing, quality, substring, tokenfile, vectors, warc
+from itemlake.llm import bpe, chat, jaccard, mixing, pii, quality, substring, tokenfile, vectors, warc
 from itemlake.plans.scratch import new_folder
 
 
@@ -37,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pii.personal_data(docs, pii.train_tagger(docs))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     tokenfile.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -87,8 +92,18 @@ JOIN seats ON seats.i = s.i AND seats.k = (d.r // 32) % s.share
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat_format, op3_substring_dedup, op4_mix_sources, op5_quality_rules, op7_token_files, op8_jaccard_join, op9_near_vectors, op10_byte_bpe)}
+    found = (
+        op1_warc, op2_chat_format, op3_substring_dedup, op4_mix_sources, op5_quality_rules, op6_personal_data,
+        op7_token_files, op8_jaccard_join, op9_near_vectors, op10_byte_bpe, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
