@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemlake.functions import columns as C
 from itemlake.plans.scratch import materialise
 
 
@@ -47,3 +48,60 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+# --- choice sets ------------------------------------------------------------------------------
+
+
+def near_set_links(items: DataFrame, min_shared: int = 3) -> DataFrame:
+    """set_a < set_b, shared, relation of sets sharing at least min_shared distinct texts (choice_set_id, text_html); not closed transitively.
+
+    Prefix filter: with texts ordered by rarity, two sets that share k texts share one among each
+    side's first size - k + 1, so only those join; frequent texts rarely do.
+    """
+    texts = items.select("choice_set_id", "text_html").filter("text_html is not null").distinct()
+    df = texts.groupBy("text_html").agg(F.count(F.lit(1)).alias("df"))
+    sets = texts.join(df, "text_html").groupBy("choice_set_id").agg(F.array_sort(F.collect_list(F.struct("df", "text_html"))).alias("t"))
+    sets = sets.select("choice_set_id", F.col("t.text_html").alias("texts")).filter(F.size("texts") >= min_shared)
+    prefix = sets.select("choice_set_id", "texts", F.explode(F.slice("texts", F.lit(1), F.size("texts") - (min_shared - 1))).alias("key"))
+    a, b = (prefix.select("key", F.col("choice_set_id").alias(f"set_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
+    pairs = a.join(b, "key").filter("set_a < set_b").dropDuplicates(["set_a", "set_b"])
+    shared = pairs.select("set_a", "set_b", F.size(F.array_intersect("texts_a", "texts_b")).alias("shared")).filter(F.col("shared") >= min_shared)
+    return shared.withColumn("relation", F.coalesce(C.relation_for(F.col("shared")), F.lit("manual")))
+
+
+def apply_link_overrides(auto: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """auto links without those removed, and with those added by hand (set_a, set_b, shared); an added pair outside the relations is 'manual'."""
+    ordered = lambda d: d.withColumn("lo", F.least("set_a", "set_b")).withColumn("hi", F.greatest("set_a", "set_b")).drop("set_a", "set_b").withColumnsRenamed({"lo": "set_a", "hi": "set_b"})
+    own = ordered(add).filter("set_a <> set_b").select("set_a", "set_b", "shared", F.coalesce(C.relation_for(F.col("shared")), F.lit("manual")).alias("relation"))
+    rest = auto.join(ordered(remove), ["set_a", "set_b"], "left_anti").join(own, ["set_a", "set_b"], "left_anti")
+    return rest.select("set_a", "set_b", "shared", "relation").unionByName(own.dropDuplicates(["set_a", "set_b"]))
+
+
+def linked_sets(links: DataFrame) -> DataFrame:
+    """choice_set_id, linked_id in both directions."""
+    both = links.select(F.col("set_a").alias("choice_set_id"), F.col("set_b").alias("linked_id"))
+    return both.unionByName(links.select(F.col("set_b").alias("choice_set_id"), F.col("set_a").alias("linked_id"))).distinct()
+
+
+def closed_neighbourhood(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """choice_set_id, group_key: the sorted ids of the set and of those linked to it, joined by commas."""
+    own = sets.select("choice_set_id", F.col("choice_set_id").alias("linked_id"))
+    group = own.unionByName(linked_sets(links).join(sets.select("choice_set_id"), "choice_set_id", "left_semi"))
+    return group.groupBy("choice_set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("linked_id")), lambda x: x.cast("string")), ",").alias("group_key"))
+
+
+# --- lineage ----------------------------------------------------------------------------------
+
+
+def lineage(questions: DataFrame, versions: DataFrame) -> DataFrame:
+    """question_id, parent_id for each derived question whose source version exists."""
+    parent = versions.select(F.col("id").alias("derived_from"), F.col("question_id").alias("parent_id"))
+    return questions.select(F.col("id").alias("question_id"), "derived_from").join(parent, "derived_from").select("question_id", "parent_id", "derived_from")
+
+
+def derivation_family(questions: DataFrame, versions: DataFrame) -> DataFrame:
+    """question_id, family_id: the smallest question id connected by derivation (ancestors, siblings and cousins are one family)."""
+    edges = lineage(questions, versions).select(F.col("question_id").alias("a"), F.col("parent_id").alias("b"))
+    found = connected_components(edges).select(F.col("node").alias("question_id"), F.col("component").alias("family_id"))
+    return questions.select(F.col("id").alias("question_id")).join(found, "question_id", "left").select("question_id", F.coalesce("family_id", "question_id").alias("family_id"))
