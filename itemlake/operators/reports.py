@@ -193,7 +193,8 @@ def unused_correct_items(set_items: DataFrame, versions: DataFrame) -> DataFrame
     """choice_set_id, item_no of items that are no key in the latest version, within the set, of any question using it."""
     w = Window.partitionBy("choice_set_id", "question_id").orderBy(F.desc("version_no"))
     latest = versions.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    used = latest.select("choice_set_id", F.explode(C.correct_to_item_nos(F.col("correct"), F.col("choice_order"))).cast("long").alias("item_no")).distinct()
+    nos = latest.select("choice_set_id", C.correct_to_item_nos(F.col("correct"), F.col("choice_order")).cast("array<long>").alias("nos"))
+    used = nos.select("choice_set_id", F.explode("nos").alias("item_no")).distinct()
     return set_items.select("choice_set_id", F.col("item_no").cast("long").alias("item_no")).distinct().join(used, ["choice_set_id", "item_no"], "left_anti")
 
 

@@ -274,7 +274,8 @@ def unmet(requests: list[Request], selected: DataFrame, pool: DataFrame) -> Data
                     left[tag] -= 1
                     out[tag] = out.get(tag, 0) + 1
                     break
-        return pd.DataFrame({"request_id": int(pdf.request_id.iloc[0]), "kind": "tag", "key": list(out), "got": list(out.values())})
+        rows = [(int(pdf.request_id.iloc[0]), "tag", tag, n) for tag, n in out.items()]
+        return pd.DataFrame(rows, columns=["request_id", "kind", "key", "got"]).astype({"kind": object, "key": object})
 
     got = full.groupBy("request_id", F.lit("total").alias("kind"), F.lit("").alias("key")).agg(F.count(F.lit(1)).alias("got"))
     got = got.unionByName(full.groupBy("request_id", F.lit("type").alias("kind"), F.col("item_type").alias("key")).agg(F.count(F.lit(1)).alias("got")))

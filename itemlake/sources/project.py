@@ -46,8 +46,8 @@ FROM {exam_items} e JOIN {item_pattern_counts} c ON c.exam_id = e.exam_id AND c.
 }
 
 
-def _needs(sql: str) -> list[str]:
-    return [n for n in [*VIEWS, *_TABLES] if "{" + n + "}" in sql]
+def _needs(sql: str, views: dict[str, str] = VIEWS) -> list[str]:
+    return [n for n in [*views, *_TABLES] if "{" + n + "}" in sql]
 
 
 class Bank:
@@ -67,20 +67,28 @@ class Bank:
         return self.made[name]
 
 
-def with_views(body: str) -> str:
-    """body after the CTEs of the views it names in braces, and of those they need."""
+def with_views(body: str, more: dict[str, str] | None = None) -> str:
+    """body after the CTEs of the views it names in braces (those in more included), and of those they need."""
+    views = VIEWS | (more or {})
     order: list[str] = []
 
     def visit(sql: str) -> None:
-        for n in _needs(sql):
-            if n in VIEWS and n not in order:
-                visit(VIEWS[n])
+        for n in _needs(sql, views):
+            if n in views and n not in order:
+                visit(views[n])
                 order.append(n)
 
     visit(body)
-    names = {n: n for n in [*VIEWS, *_TABLES]}
-    ctes = ", ".join(f"{n} AS ({VIEWS[n].format(**names)})" for n in order)
-    body = body.format(**names).strip()
+
+    def named(sql: str) -> str:
+        for n in [*views, *_TABLES]:
+            sql = sql.replace("{" + n + "}", n)
+        return sql.strip()
+
+    ctes = ", ".join(f"{n} AS ({named(views[n])})" for n in order)
+    body = named(body)
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
