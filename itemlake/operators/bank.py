@@ -54,7 +54,7 @@ def resolve_choice_order(printed: DataFrame, items: DataFrame) -> DataFrame:
 
 def resolve_printed(sets: DataFrame, items: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Printed choices (batch_key, texts), normalised, to sets, items and (batch_key, choice_set_id, choice_order, created)."""
-    clean = batch.withColumn("texts", F.transform("texts", C.normalize_choice))
+    clean = batch.withColumn("texts", F.transform("texts", lambda t: C.normalize_choice(t)))
     sets2, items2, report = upsert_choice_sets(sets, items, clean)
     order = resolve_choice_order(clean.join(report, "batch_key"), items2)
     return sets2, items2, report.join(order, "batch_key")
