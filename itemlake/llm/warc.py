@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itemlake.llm.files import open_store, write_atomically
 from itemlake.plans.scratch import materialise
@@ -145,65 +146,80 @@ def _scan(f: _File, at: int, end: int) -> int | None:
     return None
 
 
-def _chain_holds(f: _File, at: int, end: int) -> bool:
-    """Do members follow one another from here past the range's end? Bytes inside another record's payload don't."""
-    while at < end:
-        if not _valid_start(f, at) or (got := _inflate(f, at, False)) is None:
-            return False
-        at = got[0]
-    return at >= f.size or _valid_start(f, at)
+def chain_in_range(path: str, size: int, start: int, end: int) -> tuple[int, int] | None:
+    """(first, stop): the first member in [start, end) from which members follow one another past the range's end, and where they do.
 
-
-def records_in_range(path: str, size: int, start: int, end: int) -> Iterator[dict]:
-    """Records whose first byte is in [start, end); the last one may end beyond it."""
+    A range inside a payload that holds stored members may begin with such a chain, of which the
+    caller rids itself: it lies before the stop of an earlier range's chain.
+    """
     f, at = _File(path, size), start
-    while (at := _scan(f, at, end)) is not None:
-        if start and not _chain_holds(f, at, end):
-            at += 1
-            continue
-        while at < end:
-            got = _inflate(f, at, True)
-            if got is None or (head := _headers(got[1])) is None:
-                raise ValueError(f"{path}: broken record at {at}")
-            block = got[1].partition(b"\r\n\r\n")[2]
-            length = int(head.get("content-length", 0))
-            if len(block) != length + 4 or not block.endswith(b"\r\n\r\n"):
-                raise ValueError(f"{path}: wrong Content-Length at {at}")
-            http, _, payload = block[:length].partition(b"\r\n\r\n") if "http" in head.get("content-type", "") else (b"", b"", block[:length])
-            kind = head.get("warc-type")
-            told = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            yield {
-                "path": path, "offset": at, "length": got[0] - at, "record_id": head.get("warc-record-id", "").strip("<>"), "record_type": kind,
-                "target_uri": head.get("warc-target-uri"), "payload_digest": head.get("warc-payload-digest", "").rpartition(":")[2] or None,
-                "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
-                "payload_bytes": int(told[0]) if kind == "revisit" and told else len(payload), "payload": None if kind == "revisit" else payload,
-            }
-            at = got[0]
-        return
+    while (first := _scan(f, at, end)) is not None:
+        stop = first
+        while stop < end and _valid_start(f, stop) and (got := _inflate(f, stop, False)) is not None:
+            stop = got[0]
+        if stop >= size or (stop >= end and _valid_start(f, stop)):
+            return first, stop
+        if not start and not at:
+            return first, end  # the file's own first record: what is broken after it is told when it is read
+        at = first + 1
+    return None
+
+
+def records_from(path: str, size: int, first: int, end: int) -> Iterator[dict]:
+    """Records from first, where one begins, that start before end; the last one may end beyond it."""
+    f, at = _File(path, size), first
+    while at < end:
+        got = _inflate(f, at, True)
+        if got is None or (head := _headers(got[1])) is None:
+            raise ValueError(f"{path}: broken record at {at}")
+        block = got[1].partition(b"\r\n\r\n")[2]
+        length = int(head.get("content-length", 0))
+        if len(block) != length + 4 or not block.endswith(b"\r\n\r\n"):
+            raise ValueError(f"{path}: wrong Content-Length at {at}")
+        http, _, payload = block[:length].partition(b"\r\n\r\n") if "http" in head.get("content-type", "") else (b"", b"", block[:length])
+        kind = head.get("warc-type")
+        told = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        yield {
+            "path": path, "offset": at, "length": got[0] - at, "record_id": head.get("warc-record-id", "").strip("<>"), "record_type": kind,
+            "target_uri": head.get("warc-target-uri"), "payload_digest": head.get("warc-payload-digest", "").rpartition(":")[2] or None,
+            "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
+            "payload_bytes": int(told[0]) if kind == "revisit" and told else len(payload), "payload": None if kind == "revisit" else payload,
+        }
+        at = got[0]
 
 
 def read_warc(spark: SparkSession, paths: str | list[str], range_bytes: int = 64 << 20) -> DataFrame:
     """One row per record of the gzip-member archives at paths (files, folders or globs).
 
-    Files are cut into byte ranges, one task reads one or more; a task looks for the gzip magic,
-    accepts a candidate whose first bytes decode to a WARC header and whose chain of members reaches
-    past the range, and owns the records that start inside its range. A member that is stored,
-    uncompressed, inside a payload is refused because its chain breaks. An empty archive gives no
-    row; a truncated or damaged record raises. Revisits have a null payload and the length that
-    their HTTP header tells.
+    Files are cut into byte ranges. A task looks for the gzip magic in its ranges, accepts a candidate
+    whose first bytes decode to a WARC header and whose chain of members reaches past the range, and
+    owns the records that start inside. Chains that begin before an earlier range's chain stops lie
+    within a payload and are dropped. An empty archive gives no row; a damaged or truncated record
+    raises. Revisits have a null payload and the length that their HTTP header tells.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(paths).select("path", "length")
     ranges = files.filter("length > 0").select(
         "path", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start")
     )
-    ranges = ranges.repartition(max(spark.sparkContext.defaultParallelism * 2, 8), "path", "start")
+    tasks = max(spark.sparkContext.defaultParallelism * 2, 8)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                end = min(start + range_bytes, length)
+                if (chain := chain_in_range(path, length, start, end)) is not None:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "size": [length], "first": [chain[0]], "end": [end], "stop": [chain[1]]})
+
+    chains = ranges.repartition(tasks, "path", "start").mapInArrow(index, "path string, size long, first long, end long, stop long")
+    before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of the file
+    chains = chains.withColumn("before", F.max("stop").over(before)).filter("before is null or first >= before").select("path", "size", "first", "end")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for path, length, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for record in records_in_range(path, length, start, min(start + range_bytes, length)):
+            for chain in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for record in records_from(*chain):
                     held.append(record)
                     size += len(record["payload"] or b"") + 500
                     if size > 8 << 20:
@@ -212,7 +228,7 @@ def read_warc(spark: SparkSession, paths: str | list[str], range_bytes: int = 64
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return ranges.mapInArrow(get, _SCHEMA)
+    return chains.repartition(tasks, "path", "first").mapInArrow(get, _SCHEMA)
 
 
 def page_digests(records: DataFrame) -> DataFrame:
