@@ -146,10 +146,12 @@ def copied_windows(docs: DataFrame) -> DataFrame:
     texts = _texts(docs).filter("doc_id is not null")
     blocks = texts.mapInArrow(_blocks, "doc_id long, anchor long, rh long, rx long, at long")
     shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
+    shared = materialise(shared, "shared-anchors")  # so that both sides of the join are plain exchanges, which AQE splits at a hot anchor
     blocks = materialise(blocks.join(shared, "anchor", "left_semi"), "shared-blocks")
-    index = blocks.groupBy("rh", "rx").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("anchor").alias("anchor"))
+    index = materialise(blocks.groupBy("rh", "rx").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("anchor").alias("anchor")), "blocks-by-words")
     variants = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi"))
-    index = materialise(index.join(variants.filter("variants > 1 and lo < hi").select("anchor", "variants"), "anchor", "left").drop("anchor"), "index")
+    variants = materialise(variants.filter("variants > 1 and lo < hi").select("anchor", "variants"), "variants")
+    index = materialise(index.join(variants, "anchor", "left").drop("anchor"), "index")
     whole = _covered(blocks, index.filter("first_doc < last_doc").select("rh", "rx", "first_doc"))
     edge = blocks.join(index.filter("variants > 1").select("rh", "rx", "first_doc"), ["rh", "rx"]).filter("first_doc = doc_id")
     listed = edge.groupBy("doc_id").agg(F.collect_list("at").alias("blocks"))  # at most a document's blocks
