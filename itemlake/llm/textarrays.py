@@ -74,7 +74,7 @@ class Words:
         return mixed(np.add.reduceat(values, self.start) * down[self.start])
 
 
-def slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = 2 << 20) -> Iterator[Slice]:
+def slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20) -> Iterator[Slice]:
     """Cut a string column into slices of at least one row and about max_bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
