@@ -9,14 +9,19 @@ from itemlake.functions import columns as C
 from itemlake.plans.scratch import materialise
 
 
+def _stored(low: DataFrame) -> DataFrame:
+    """Minima as a table of their own: then both sides of the join back are plain exchanges, and AQE splits the edges of a hub."""
+    return materialise(low, "cc")
+
+
 def _star_large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = _stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _star_small(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = _stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 

@@ -94,6 +94,13 @@ SELECT question_id, CAST(old_no + CASE WHEN fresh AND NOT blocked THEN 1 ELSE 0
 
 _EMPHASIS = f"""SELECT exam_id, position, 'emphasis_missing' AS code, false AS blocking FROM {{src}} WHERE {_WORDS} AND NOT {_NEG} UNION ALL SELECT exam_id, position, 'emphasis_unexpected', false FROM {{src}} WHERE {_NEG} AND NOT {_WORDS}"""
 
+_NEW = f"""WITH b AS (SELECT id AS batch_key, CASE WHEN id % 30 = 2 THEN '' ELSE correct END AS correct, CASE WHEN question_id % 4 = 0 THEN 'draft' ELSE 'active' END AS status, id % 50 = 1 AS broken, {_TYPE} AS item_type FROM {{question_versions}}),
+c AS (SELECT *, broken OR (status = 'active' AND (item_type IS NULL OR correct = '' OR (item_type <> 'XX' AND length(correct) <> {_REQ}))) AS blocked FROM b),
+n AS (SELECT batch_key, (SELECT max(id) FROM {{questions}}) + row_number() OVER (ORDER BY batch_key) AS question_id FROM c WHERE NOT blocked)"""
+_ASSIGN = """WITH b AS (SELECT exam_id, position, qversion_id + CASE WHEN position % 10 = 0 THEN 5 ELSE 0 END AS qversion_id FROM {exam_items} WHERE position % 3 <> 0),
+j AS (SELECT b.*, v.correct FROM b LEFT JOIN {question_versions} v ON v.id = b.qversion_id)"""
+_KEY = "CASE WHEN position % 4 = 0 THEN concat(correct, 'A') WHEN position % 7 = 0 THEN '' WHEN position % 11 = 0 THEN concat(correct, 'x') ELSE correct END"
+
 SQL = {
     "pattern_counts": "SELECT exam_id, qversion_id, pattern, cnt FROM {item_pattern_counts}",
     "item_stats": f"SELECT exam_id, qversion_id, {i('n')}, {i('n_correct')}, {r('p')}, {', '.join(r('sel_' + x) for x in LABELS)}, {r('blank_rate')}, {r('other_rate')}, {r('overselect_rate')}, top_wrong_pattern, {i('top_wrong_count')}, correct, item_type FROM {{o_stats}}",
@@ -189,6 +196,29 @@ SELECT pk.batch_key, CASE WHEN count(s.item_no) = 5 AND count(DISTINCT s.item_no
     "find_duplicates": f"SELECT a.id AS batch_key, min(b.question_id) AS question_id FROM {{question_versions}} a JOIN {{question_versions}} b ON b.choice_set_id = a.choice_set_id AND {_PLAIN.format('b.stem_html')} = {_PLAIN.format('a.stem_html')} GROUP BY a.id",
     "revise_questions": _REV,
     "retire_questions": "SELECT id, CASE WHEN id % 3 = 0 THEN 'retired' ELSE status END AS status FROM {questions}",
+    "register_questions": f"{_NEW} SELECT c.batch_key, c.blocked, {i('n.question_id', 'question_id')} FROM c LEFT JOIN n USING (batch_key)",
+    "derive_questions": f"{_NEW} SELECT question_id, count(*) AS n_tags FROM (SELECT question_id, tag FROM {{question_tags}} UNION SELECT CAST(n.question_id AS BIGINT), t.tag FROM n JOIN {{question_versions}} v ON v.id = n.batch_key JOIN {{question_tags}} t ON t.question_id = v.question_id) x GROUP BY question_id",
+    "set_tags": "SELECT question_id, tag FROM {question_tags} WHERE question_id % 2 <> 0 UNION ALL SELECT id, t FROM {questions} CROSS JOIN (VALUES ('x'), ('y')) AS v(t) WHERE id % 2 = 0",
+    "delete_tags": "SELECT question_id, tag FROM {question_tags} WHERE tag NOT LIKE '%1'",
+    "ensure_tags": "SELECT CAST(id AS BIGINT) AS id, tag FROM (VALUES (7, 'Brand#11'), (9, 'old')) AS t(id, tag) UNION ALL SELECT 9 + row_number() OVER (ORDER BY tag), tag FROM (SELECT DISTINCT tag FROM {question_tags} WHERE tag <> 'Brand#11') d",
+    "create_exams": "SELECT id, exam_date, status FROM {exams} UNION ALL SELECT (SELECT max(id) FROM {exams}) + row_number() OVER (ORDER BY exam_date, name), exam_date, 'draft' FROM (SELECT DISTINCT concat('exam ', question_id) AS name, concat(exam_id, '-12-24') AS exam_date FROM {responses}) d",
+    "set_exam_items": f"{_ASSIGN} SELECT exam_id, position, qversion_id, correct_asked FROM {{exam_items}} WHERE exam_id % 2 <> 0 UNION ALL SELECT exam_id, position, qversion_id, correct FROM j WHERE exam_id % 2 = 0 AND correct IS NOT NULL",
+    "set_exam_items_issues": f"{_ASSIGN} SELECT exam_id, position, CASE WHEN exam_id % 2 <> 0 THEN 'exam_locked' ELSE 'version_unknown' END AS code FROM j WHERE exam_id % 2 <> 0 OR correct IS NULL",
+    "finalize_exams": "SELECT e.id, CASE WHEN e.id % 2 = 0 AND EXISTS (SELECT 1 FROM {o_items} t JOIN {questions} q ON q.id = t.question_id WHERE t.exam_id = e.id AND (q.status = 'draft' OR t.item_type IS NULL)) THEN 'draft' ELSE 'finalized' END AS status FROM {exams} e",
+    "apply_stats": f"SELECT d.exam_id, d.qversion_id, {i('d.n', 'n')}, {r('d.p', 'p')}, f.flags FROM {{o_dated}} d JOIN {{o_flags}} f USING (exam_id, qversion_id) WHERE d.exam_id % 2 <> 0 OR d.exam_id NOT IN (SELECT exam_id FROM {{o_issues}} WHERE blocking)",
+    "correct_issues": f"""WITH k AS (SELECT exam_id, position, item_type, lower({_KEY}) AS raw FROM {{o_items}}), m AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(string_split(raw, ''), lambda c: contains('abcde', c) AND c <> ''))), '') AS norm FROM k)
+SELECT exam_id, position, 'correct_bad_label' AS code, true AS blocking FROM m WHERE contains(raw, 'x') UNION ALL SELECT exam_id, position, 'correct_duplicate', true FROM m WHERE length(raw) <> len(list_distinct(string_split(raw, ''))) AND raw <> ''
+UNION ALL SELECT exam_id, position, 'correct_empty', true FROM m WHERE norm = '' UNION ALL SELECT exam_id, position, 'type_unknown', true FROM m WHERE norm <> '' AND item_type IS NULL
+UNION ALL SELECT exam_id, position, 'correct_count', true FROM m WHERE norm <> '' AND item_type <> 'XX' AND length(norm) <> {_REQ}""",
+    "header_issues": """WITH c AS (SELECT DISTINCT exam_id, pattern AS key FROM {item_pattern_counts} WHERE NOT (exam_id % 2 = 0 AND pattern = 'ab')), d AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE key = 'cd' AND exam_id % 3 = 0),
+h AS (SELECT exam_id, CASE WHEN key = 'bc' AND exam_id % 5 = 0 THEN 'zz' ELSE key END AS key FROM d), e AS (SELECT DISTINCT exam_id FROM h)
+SELECT exam_id, CAST(NULL AS BIGINT) AS position, 'csv_missing_columns' AS code, true AS blocking FROM e
+UNION ALL SELECT exam_id, NULL, 'pattern_columns_missing', true FROM e WHERE EXISTS (SELECT 1 FROM {patterns} p WHERE p.pattern <> '?' AND NOT EXISTS (SELECT 1 FROM h WHERE h.exam_id = e.exam_id AND h.key = p.pattern))
+UNION ALL SELECT DISTINCT exam_id, NULL, 'pattern_columns_extra', true FROM h WHERE key = 'zz' UNION ALL SELECT DISTINCT exam_id, NULL, 'pattern_columns_duplicate', true FROM h WHERE key = 'cd' AND exam_id % 3 = 0""",
+    "parsed_issues": f"""WITH n AS (SELECT t.exam_id, t.position, count(s.item_no) AS n, coalesce(string_agg(substr('abcde', CAST(s.item_no AS INTEGER) + CASE WHEN t.position % 8 = 0 AND s.item_no = 1 THEN 1 ELSE 0 END, 1), '' ORDER BY substr('abcde', CAST(s.item_no AS INTEGER) + CASE WHEN t.position % 8 = 0 AND s.item_no = 1 THEN 1 ELSE 0 END, 1)), '') AS labels
+  FROM {{o_items}} t LEFT JOIN {{choice_set_items}} s ON s.choice_set_id = t.choice_set_id AND NOT (t.position % 9 = 0 AND s.item_no = 2) GROUP BY 1, 2)
+SELECT exam_id, position, 'choice_count' AS code, true AS blocking FROM n WHERE n <> 5 UNION ALL SELECT exam_id, position, 'choice_labels', true FROM n WHERE n = 5 AND labels <> 'abcde'
+UNION ALL SELECT exam_id, position, 'type_underivable', true FROM {{o_items}} WHERE item_type IS NULL UNION ALL {_EMPHASIS.replace('{src}', '{o_items}')}""",
     "rename_tags": "SELECT DISTINCT question_id, concat(substr(tag, 1, 7), '*') AS tag FROM {question_tags}",
     "upsert_choice_sets": f"""WITH g AS (SELECT choice_set_id, string_agg(text_html, chr(31) ORDER BY text_html) AS sig, count(*) AS n FROM {{choice_set_items}} GROUP BY 1), old AS (SELECT sig, min(choice_set_id) AS id FROM g WHERE choice_set_id % 2 = 0 GROUP BY sig),
 new AS (SELECT sig, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY min(choice_set_id), sig) AS id FROM g WHERE n = 5 AND sig NOT IN (SELECT sig FROM old) GROUP BY sig)

@@ -162,6 +162,38 @@ def _merged(v: Views) -> DataFrame:
     return M.merge_choice_sets(pairs, items, versions, v.links)[1].select("id", "choice_set_id", "choice_order")
 
 
+def _new_questions(v: Views) -> DataFrame:
+    """Every version as a batch row: some keys are emptied or doubled, some orders broken."""
+    return v.question_versions.select(
+        F.col("id").alias("batch_key"), "stem_html", "choice_set_id", F.when(F.col("id") % 50 == 1, "12344").otherwise(F.col("choice_order")).alias("choice_order"),
+        F.when(F.col("id") % 30 == 2, "").otherwise(F.col("correct")).alias("correct"), F.when(F.col("question_id") % 4 == 0, "draft").otherwise("active").alias("status"), F.col("id").alias("derived_from"),
+    )
+
+
+def _assigned(v: Views) -> tuple[DataFrame, DataFrame]:
+    exams = v.exams.withColumn("status", F.when(F.col("id") % 2 == 0, "draft").otherwise("imported"))
+    return M.set_exam_items(v.exam_items, exams, v.question_versions, v.exam_items.filter("position % 3 <> 0").select("exam_id", "position", (F.col("qversion_id") + F.when(F.col("position") % 10 == 0, 5).otherwise(0)).alias("qversion_id")))
+
+
+def _odd_keys(v: Views) -> DataFrame:
+    odd = F.when(F.col("position") % 4 == 0, F.concat("correct", F.lit("A"))).when(F.col("position") % 7 == 0, "").when(F.col("position") % 11 == 0, F.concat("correct", F.lit("x"))).otherwise(F.col("correct"))
+    return V.correct_issues(v.items.withColumn("correct", odd)).select("exam_id", "position", "code", "blocking")
+
+
+def _headers(v: Views) -> DataFrame:
+    """Columns of a file per exam: its patterns, one renamed and one doubled in some exams."""
+    c = v.item_pattern_counts.select("exam_id", F.col("pattern").alias("key")).distinct().filter("not (exam_id % 2 = 0 and key = 'ab')")
+    c = c.unionByName(c.filter("key = 'cd' and exam_id % 3 = 0")).withColumn("key", F.when((F.col("key") == "bc") & (F.col("exam_id") % 5 == 0), "zz").otherwise(F.col("key")))
+    fixed = c.select("exam_id").distinct().select("exam_id", F.explode(F.array(*map(F.lit, ("position", "correct", "p")))).alias("role"), F.lit(None).cast("string").alias("key"))
+    return V.header_issues(c.withColumn("role", F.lit("count")).unionByName(fixed)).select("exam_id", "position", "code", "blocking")
+
+
+def _parsed(v: Views) -> DataFrame:
+    q = v.items.select("exam_id", "position", "stem_html", "choice_set_id")
+    choices = q.join(v.choice_set_items, "choice_set_id").filter("not (position % 9 = 0 and item_no = 2)").select("exam_id", "position", F.substring(F.lit("abcde"), F.col("item_no").cast("int") + F.when((F.col("position") % 8 == 0) & (F.col("item_no") == 1), 1).otherwise(0), F.lit(1)).alias("label"), "text_html")
+    return V.parsed_issues(q.drop("choice_set_id"), choices).select("exam_id", "position", "code", "blocking")
+
+
 _CANDIDATE = ["question_id", "qversion_id", "correct", "choice_set_id", "status", "item_type", "negative", "tags", "last_exam_year", "times_used", "p", "disc", "flags"]
 
 _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
@@ -237,6 +269,19 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "revise_questions": lambda v: M.revise_questions(v.question_versions, v.questions, _revisions(v))[1],
     "retire_questions": lambda v: M.retire_questions(v.questions, v.questions.filter("id % 3 = 0").select(F.col("id").alias("question_id"))).select("id", "status"),
     "merge_choice_sets": _merged,
+    "register_questions": lambda v: M.register_questions(v.questions, v.question_versions, _new_questions(v))[2],
+    "derive_questions": lambda v: M.derive_questions(v.questions, v.question_versions, v.question_tags, _new_questions(v))[2].groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tags")),
+    "set_tags": lambda v: M.set_tags(v.question_tags, v.questions.filter("id % 2 = 0").select(F.col("id").alias("question_id"), F.array(F.lit(" x"), F.lit("y"), F.lit(" ")).alias("tags"))),
+    "delete_tags": lambda v: M.delete_tags(v.question_tags, v.question_tags.filter(F.endswith("tag", F.lit("1"))).select("tag").distinct()),
+    "ensure_tags": lambda v: M.ensure_tags(v.spark.createDataFrame([(7, "Brand#11"), (9, "old")], "id long, tag string"), v.question_tags.select("tag")),
+    "create_exams": lambda v: M.create_exams(v.exams, v.responses.select(F.concat(F.lit("exam "), F.col("question_id").cast("string")).alias("name"), F.concat(F.col("exam_id").cast("string"), F.lit("-12-24")).alias("exam_date")).distinct()).select("id", "exam_date", "status"),
+    "set_exam_items": lambda v: _assigned(v)[0],
+    "set_exam_items_issues": lambda v: _assigned(v)[1].select("exam_id", "position", "code"),
+    "finalize_exams": lambda v: M.finalize_exams(v.exams.withColumn("status", F.lit("draft")), _finalize(v).filter("code <> 'duplicate_question' and exam_id % 2 = 0")).select("id", "status"),
+    "apply_stats": lambda v: M.apply_stats(v.exams, v.exam_items, v.question_versions, v.item_pattern_counts.join(v.exam_items.select(*S.ITEM, "position"), S.ITEM).select("exam_id", "position", "pattern", "cnt"), v.item_disc, _validated(v).filter("exam_id % 2 = 0"))[1].select(*S.ITEM, "n", "p", "flags"),
+    "correct_issues": _odd_keys,
+    "header_issues": _headers,
+    "parsed_issues": _parsed,
     "rename_tags": lambda v: M.rename_tags(v.question_tags, v.question_tags.select("tag", F.concat(F.substring("tag", 1, 7), F.lit("*")).alias("new_tag")).distinct()),
 }
 
