@@ -15,6 +15,7 @@ from itemlake.operators import select as L
 from itemlake.operators import stats as S
 from itemlake.operators import validate as V
 from itemlake.sources import frequency, sinks, textruns
+from itemlake.plans.scratch import materialise
 from itemlake.sources.project import Bank
 
 PAGE_TAGS = ("p", "li")
@@ -40,6 +41,14 @@ def flat(df: DataFrame) -> DataFrame:
 class Views(Bank):
     """The bank with what operators derive from it, made once a query."""
 
+    #: Facts that several operators of a query read: stored once rather than made from the responses again.
+    FACTS = ("item_pattern_counts", "exam_items", "item_disc")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in self.FACTS and name not in self.made:
+            self.made[name] = materialise(super().__getattr__(name), name)
+        return super().__getattr__(name)
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self.made:
             self.made[name] = make()
@@ -55,7 +64,7 @@ class Views(Bank):
 
     @property
     def dated(self) -> DataFrame:
-        return self._once("dated", lambda: S.dated(self.stats, self.items, self.item_disc, self.exams))
+        return self._once("dated", lambda: materialise(S.dated(self.stats, self.items, self.item_disc, self.exams), "dated"))
 
     @property
     def flags(self) -> DataFrame:
@@ -124,14 +133,14 @@ def _validated(v: Views) -> DataFrame:
     rows = _stats_rows(v)
     keyed = v.item_pattern_counts.join(rows.select(*S.ITEM, "correct"), S.ITEM).filter(F.col("pattern") == F.col("correct")).select(*S.ITEM, F.col("cnt").cast("double").alias("counted"))
     rows = rows.drop("counted").join(keyed, S.ITEM, "left").withColumn("counted", F.coalesce("counted", F.lit(0.0)))
-    return V.validate_stats(rows, v.exam_items)
+    return V.validate_stats(materialise(rows, "rows"), v.exam_items)
 
 
 def _finalize(v: Views) -> DataFrame:
     near = G.linked_sets(v.links).unionByName(v.sets.select("choice_set_id", F.col("choice_set_id").alias("linked_id")))
     status = v.questions.select(F.col("id").alias("question_id"), "status")
     limits = V.ExamLimits(max_per_set_group=2, max_negative=20, max_negative_ratio=0.1, type_distribution={"A": 30, "XX": 10})
-    return V.finalize_checks(v.items, v.exams, status, G.derivation_family(v.questions, v.question_versions), near, limits)
+    return V.finalize_checks(materialise(v.items, "items"), v.exams, status, G.derivation_family(v.questions, v.question_versions), near, limits)
 
 
 def _printed(v: Views) -> DataFrame:
