@@ -20,7 +20,7 @@ def spark():
 
     shared = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
