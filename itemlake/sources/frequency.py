@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
+from itemlake.plans.scratch import materialise
 
 # Header names and cell markers of the two dialects.
 ALIASES = {
@@ -87,16 +88,17 @@ def unpivot_counts(wide: DataFrame, keys: Iterable[str] = ("exam_id", "position"
 
 
 class Scan:
-    """The tables of a scan; each is a DataFrame keyed by file."""
+    """The tables of a scan, keyed by file. Each is parsed once and stored, as every validation rule reads them."""
 
     def __init__(self, spark: SparkSession, paths: str | list[str]):
         lines = scan_lines(spark, paths)
-        self.meta = exam_meta(lines)
+        self.meta = materialise(exam_meta(lines), "meta")
         header, body = _table(lines)
-        self.columns = resolve_columns(header)
+        self.columns = materialise(resolve_columns(header), "columns")
         self.dialects = detect_dialect(self.columns, self.meta)
         cells = body.select("file", "line_no", F.posexplode("cells").alias("i", "cell"))
         long = body.select("file", "line_no").join(self.columns, "file").join(cells, ["file", "line_no", "i"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
+        long = materialise(long, "cells")
         empty = F.col("cell").isin(*EMPTY_CELLS)
         count = F.col("role") == "count"
         of = lambda role: F.max(F.when(F.col("role") == role, F.col("cell"))).alias(role)
@@ -111,12 +113,15 @@ class Scan:
             F.when(F.col("percent"), number("p") / 100).otherwise(number("p")).alias("p_reported"), number("n_correct").cast("long").alias("n_correct_reported"),
             number("disc").alias("disc"), number("points").alias("points"), "adjustment", F.when(free, "non_mcq").otherwise("mcq").alias("kind"),
         )
+        self.all_rows = materialise(self.all_rows, "rows")
         mcq = self.all_rows.filter("kind = 'mcq'").select("file", "line_no", "position")
         value = number("cell")
         self.counts = long.filter(count).join(mcq, ["file", "line_no"]).select("file", "line_no", "position", F.col("key").alias("pattern"), F.when(~empty, value).alias("cnt"), (empty | value.isNull()).alias("unreadable"))
+        self.counts = materialise(self.counts, "counts")
         totals = self.counts.groupBy("file", "line_no").agg(F.coalesce(F.sum("cnt"), F.lit(0.0)).alias("total"))
         counted = self.counts.join(self.all_rows.select("file", "line_no", "correct"), ["file", "line_no"]).filter("pattern = correct").groupBy("file", "line_no").agg(F.sum("cnt").alias("counted"))
         self.rows = self.all_rows.filter("kind = 'mcq'").join(totals, ["file", "line_no"]).join(counted, ["file", "line_no"], "left").withColumn("counted", F.coalesce("counted", F.lit(0.0)))
+        self.rows = materialise(self.rows, "mcq-rows")
         self.non_mcq = self.all_rows.filter("kind = 'non_mcq'")
         self.examinees = derive_n(self.rows, self.meta)
 

@@ -22,7 +22,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
