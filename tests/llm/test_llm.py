@@ -190,7 +190,7 @@ def test_quality(spark, docs, rows, sf_dir):
 
 
 def test_quality_separates_held_out_labels(spark, sf_dir):
-    larger = sf_dir.replace("sf0.001", "sf0.01")  # enough labels of each language
+    larger = sf_dir.replace("sf0.001", "sf0.1")  # enough labels of each language
     d, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
     held = quality.quality_scores(d, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not base_failed").collect()
     assert held and np.mean([r.kept == (r.quality == 1) for r in held]) > 0.95
