@@ -12,6 +12,7 @@ from itemlake.operators import validate as V
 from itemlake.operators.graph import near_set_links
 from itemlake.operators.select import latest_version
 from itemlake.plans.numbering import number_rows
+from itemlake.plans.scratch import materialise
 
 
 def _after(df: DataFrame, existing: DataFrame, order: list[str], name: str = "id") -> DataFrame:
@@ -80,9 +81,9 @@ def register_questions(questions: DataFrame, versions: DataFrame, batch: DataFra
     """New questions with version 1 from batch (batch_key, stem_html, choice_set_id, choice_order, correct, status[, derived_from]); report: batch_key, question_id, blocked."""
     if "derived_from" not in batch.columns:
         batch = batch.withColumn("derived_from", F.lit(None).cast("long"))
-    checked = _checked(batch)
+    checked = materialise(_checked(batch), "checked")
     new = _after(checked.filter("not blocked"), questions, ["batch_key"], "question_id")
-    new = _after(new, versions, ["batch_key"], "id")
+    new = materialise(_after(new, versions, ["batch_key"], "id"), "new-questions")
     q = questions.select("id", "status", "derived_from").unionByName(new.select(F.col("question_id").alias("id"), "status", F.col("derived_from").cast("long").alias("derived_from")))
     v = versions.unionByName(new.select("id", "question_id", F.lit(1).alias("version_no"), "choice_set_id", "choice_order", "correct", "stem_html"), allowMissingColumns=True)
     report = checked.select("batch_key", "blocked").join(new.select("batch_key", "question_id"), "batch_key", "left")
@@ -235,8 +236,10 @@ def import_exams(bank: dict[str, DataFrame], parsed: DataFrame, rows: DataFrame,
     rowed = parsed.join(rows.select("exam_id", "position", "correct"), ["exam_id", "position"], "left")
     keyed = number_rows(rowed, ["exam_id", "position"], "batch_key")
     sets, set_items, printed = resolve_printed(bank["sets"], bank["set_items"], keyed.select("batch_key", "texts"))
+    printed = materialise(printed, "printed")
     known = F.coalesce("correct", F.lit("")) != ""
     batch = keyed.join(printed, "batch_key").withColumn("status", F.when(known, "active").otherwise("draft")).withColumn("correct", F.when(known, F.col("correct")).otherwise("a"))
+    batch = materialise(batch, "batch")
     twice = find_duplicates(bank["versions"], batch).join(keyed.select("batch_key", "exam_id", "position"), "batch_key")
     warnings = twice.select("exam_id", F.col("position").cast("long").alias("position"), F.lit("duplicate_of_bank").alias("code"), F.lit(False).alias("blocking"), F.concat(F.lit("same as question "), F.col("question_id").cast("string")).alias("message"))
     questions, versions, report = register_questions(bank["questions"], bank["versions"], batch)
@@ -244,8 +247,9 @@ def import_exams(bank: dict[str, DataFrame], parsed: DataFrame, rows: DataFrame,
     issues = [warnings, refused.select("exam_id", F.col("position").cast("long").alias("position"), F.lit("question_refused").alias("code"), F.lit(True).alias("blocking"), F.lit("the question can't be saved").alias("message"))]
     made = report.filter("question_id is not null").join(keyed.select("batch_key", "exam_id", "position"), "batch_key").join(versions.select("question_id", F.col("id").alias("qversion_id")), "question_id")
     exam_items, locked = set_exam_items(bank["exam_items"], bank["exams"], versions, made.select("exam_id", "position", "qversion_id"))
+    exam_items = materialise(exam_items, "exam-items")
     issues += [locked, V.validate_stats(rows, exam_items)]
-    found = V.union(issues)
+    found = materialise(V.union(issues), "issues")
     exams = finalize_exams(bank["exams"], found)
     exams, stats = apply_stats(exams, exam_items, versions, counts, disc, found)
     return {"sets": sets, "set_items": set_items, "questions": questions, "versions": versions, "exam_items": exam_items, "exams": exams, "stats": stats}, found
