@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +51,39 @@ def _star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[take], nodes[label[take]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 10, window: int = 64, block: int = 1024, tile: int = 1024, seed: int = 7) -> DataFrame:
+def key_depths(keys: np.ndarray, window: int) -> np.ndarray:
+    """For each key, how many leading bits it shares with at most window keys, itself included; BITS if more share all."""
+    depth = np.full(len(keys), BITS)
+    for bits in range(BITS - 1, -1, -1):
+        _, at, n = np.unique(keys >> np.int64(BITS - bits), return_inverse=True, return_counts=True)
+        few = n[at] <= window
+        if not few.any():
+            break
+        depth[few] = bits
+    return depth
+
+
+def passes_for(recall: float, agree: float, depth: np.ndarray) -> int:
+    """Passes after which a pair has met with probability recall, on average over depth.
+
+    Each sign is the same for both with probability agree, and a pair whose first depth signs are
+    the same is inside a window.
+    """
+    met = agree ** np.asarray(depth, float)
+    n = 1
+    while (1 - (1 - met) ** n).mean() < recall:
+        n += 1
+    return n
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 10, window: int = 64, block: int = 1024, tile: int = 1024, seed: int = 7, recall: float = 0.95, probe: int = 1 << 16) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding), by cosine >= threshold.
 
     In each pass vectors are ordered by BITS signs of random projections, read as one number, and
-    each is compared with the window next ones. Verified pairs of all passes are joined into
-    components, and n_links counts the cosines >= threshold among all vectors of a component,
+    each is compared with the window next ones. There are as many passes as pairs at the threshold
+    need to meet with probability recall, at least passes: the leading signs that single out a
+    window are counted on about probe vectors, and grow with the logarithm of the number of
+    vectors. Verified pairs of all passes are joined into components, and n_links counts the cosines >= threshold among all vectors of a component,
     compared in tiles, so windows bound the search and not the partners. Equal vectors are one from
     the start and count with their number. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without an id, link with nothing and are their own component.
@@ -75,7 +103,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 10, w
     packed = rows.filter(fit).mapInArrow(pack, "vec_id long, raw binary").withColumn("key", F.md5("raw"))
     reps = materialise(packed.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "vectors")
 
-    def project(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def project(it: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
         weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in it:
             ids, raw = batch.column(0), batch.column(1)
@@ -89,7 +117,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 10, w
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sweep)), pa.array(np.full(n, size)), pa.array(key), ids.take(mine)], ["sweep", "size", "key", "id"])
 
     order = ["sweep", "size", "key", "id"]
-    keys = reps.select("id", "raw").mapInArrow(project, "sweep long, size long, key long, id long")
+    agree = 1 - math.acos(max(-1.0, min(threshold, 1.0))) / math.pi  # the share of signs that a pair at the threshold has in common
+    total = reps.count()
+    share = min(1.0, probe / max(total, 1))
+    some = reps.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = some.select("id", "raw").mapInArrow(lambda it: project(it, 1), "sweep long, size long, key long, id long").select("size", "key").toArrow()
+    sizes, seen = (drawn.column(c).to_numpy() for c in ("size", "key"))
+    for size in np.unique(sizes):
+        mine = seen[sizes == size]
+        depth = key_depths(mine, window).astype(float)
+        if share < 1 and len(mine) > window:  # the other halvings cost as many signs each as those that were seen
+            depth *= 1 + math.log2(1 / share) / math.log2(len(mine) / window)
+        # by the bound of unlike vectors, who shares more signs with a window shares them with vectors above the threshold, which need not all meet
+        depth = depth[depth <= max(1.0, math.log(max(len(mine) / share / window, 1.0)) / -math.log(agree))] if agree < 1 else depth[:0]
+        if len(depth):
+            passes = max(passes, passes_for(recall, agree, depth))
+    keys = reps.select("id", "raw").mapInArrow(lambda it: project(it, passes), "sweep long, size long, key long, id long")
     placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = materialise(placed.select("sweep", "size", "id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "ordered")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition

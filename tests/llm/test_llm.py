@@ -332,6 +332,21 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.filter("false")).count() == 0
 
 
+def test_vectors_recall_follows_the_number_of_rows(spark):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = r.standard_normal((600, 32))
+    noise -= (noise * x[:600]).sum(1, keepdims=True) * x[:600]
+    y = 0.905 * x[:600] + np.sqrt(1 - 0.905**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([x, y])
+    pairs = sum(((x[i : i + 1000] @ x.T) >= 0.9).sum() for i in range(0, len(x), 1000)) - len(x)
+    assert pairs >= 1200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for window, probe in ((1, 1 << 16), (1, 2000)):  # as deep as 64 in half a million rows
+        assert vectors.near_vectors(df, window=window, block=64, probe=probe).agg(F.sum("n_links")).first()[0] >= 0.9 * pairs
+
+
 # --- 10
 
 
