@@ -402,3 +402,20 @@ def test_pipeline(spark, sf_dir):
             assert kept.columns == docs.columns
     c = bpe.codec(corpus_pipeline.RANKS, P.PATTERN)
     assert {r.doc_id: c.decode(r.ids).decode() for r in kept.collect()} == {r.doc_id: r.text for r in before.collect()}
+
+
+def test_pipeline_keeps_the_mixture(spark):
+    import corpus_pipeline
+
+    n = {"a": 3200, "b": 800, "c": 200}
+    rows = [(1000 * i + k, "some text", "en", s) for i, s in enumerate(n) for k in range(n[s])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = corpus_pipeline.token_ids(spark, corpus_pipeline.mixture(spark, docs, ""), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and len({r.position for r in got}) == len(rows)
+    weight = {s: n[s] ** 0.5 / sum(x**0.5 for x in n.values()) for s in n}
+    blocks = sorted({(r.position // 32, r.source) for r in got})
+    ends, seen = min(max(t for t, s in blocks if s == x) for x in n), defaultdict(int)
+    for t, s in blocks:
+        seen[s] += 1
+        if t < ends:
+            assert all(abs(seen[x] - (t + 1) * weight[x]) < 1.1 for x in n)
