@@ -7,6 +7,7 @@ a decoder starts from; then the footer's length and CRC-32, and the magic again.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -212,13 +213,25 @@ def tokenizer_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(many, 1_200_000)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_tokens: int = 4 << 20) -> DataFrame:
+@lru_cache(2)
+def added_tokens(path: str):
+    """The file's tokenizer, and a pattern that finds a string of its added tokens (None if it has none)."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    known = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content), key=len, reverse=True)
+    return tokenizer, re.compile("|".join(map(re.escape, known))) if known else None
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_tokens: int = 4 << 20, match_added: bool = False) -> DataFrame:
     """Encode every row's text, append end_id, write token files in ascending doc_id order; returns the manifest.
 
     Rows are range-partitioned and sorted by doc_id (then text), nulls first, and a partition writes
     files of whole documents with about file_tokens tokens each, named in that order. A file's
     frequency table counts all its tokens. Null text counts as empty and has the end id only;
     repeated rows are repeated documents; an empty table writes no file. Other columns are ignored.
+    With match_added the strings of the file's added tokens are those tokens, as in Tokenizer.encode;
+    otherwise they are ordinary text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -227,6 +240,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         encoder = tokenizer_encoder(tokenizer_path)
+        tokenizer, added = added_tokens(tokenizer_path) if match_added else (None, None)
         ids, held, size = [], [], 0
 
         def flush():
@@ -242,7 +256,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode_batch(part.column(1).to_pylist()), strict=True):
+                texts = part.column(1).to_pylist()
+                whole = {j for j, text in enumerate(texts) if text and added and added.search(text)}
+                encoded = encoder.encode_batch([None if j in whole else text for j, text in enumerate(texts)] if whole else texts)
+                for j in whole:
+                    encoded[j] = np.array(tokenizer.encode(texts[j], add_special_tokens=False).ids, "<u4").tobytes()
+                for doc_id, raw in zip(part.column(0).to_pylist(), encoded, strict=True):
                     ids.append(doc_id)
                     held.append(raw + end)
                     size += len(raw) // 4 + 1

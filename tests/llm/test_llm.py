@@ -262,6 +262,20 @@ def test_token_files(spark, docs, rows, monkeypatch):
     assert tokenfile.write_tokens(docs.filter("false"), empty, path).count() == 0
 
 
+def test_token_query_matches_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from itemlake.llm import registry
+
+    t, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    texts = ["a <|endoftext|> b", "plain text", "<|endoftext|><|endoftext|>", "x<|endoftext|", None, " <|endoftext|>\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in sorted(registry.op7_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_token_blocks(tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_TOKENS", 500)
     monkeypatch.setattr(tokenfile, "LANES", 16)
