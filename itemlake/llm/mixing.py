@@ -33,7 +33,8 @@ def pfair_period(shares: DataFrame) -> DataFrame:
     Block k (from 0) of a source with share p in a period P is released at floor(k P / p) and due by
     ceil((k + 1) P / p); each slot goes to the released block that is due first (ties: source order).
     All windows hold (single-processor EDF is optimal), so in every prefix a source is less than
-    one block from its weight. The sources and shares, at most grid + number of sources parts, are
+    one block from its rounded share; from the weight that was rounded it drifts by
+    |share / period - weight| blocks a slot. The sources and shares, at most grid + number of sources parts, are
     one row; the schedule is folded over the slots inside an expression.
     """
     one = shares.agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("s"), F.sum("share").cast("int").alias("period"))
@@ -63,8 +64,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 32, grid
     Within a source, rows are ordered by the md5 of doc_id (then doc_id; equal ids in any order) and
     cut into blocks of block_rows. Block b takes slot slots[b mod share] of period b div share of
     the Pfair schedule, and position = slot * block_rows + place in the block is the order of the
-    mixture. While every source lasts, each prefix of slots holds each source's share to less than
-    one block; when a source ends, its later slots stay empty and the others keep their rates.
+    mixture. While every source lasts, each prefix of slots holds each source's share, its weight
+    rounded to parts of grid, to less than one block; when a source ends, its later slots stay empty and the others keep their rates.
     Every row gets a position; null ids come last in a source, and null is a source of its own. An
     empty table gives no row. Columns not in carry are ignored.
 
