@@ -50,10 +50,10 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def runs_for(recall: float, threshold: float, depth: int = 3) -> int:
-    """Runs after which a pair at the threshold has met with the recall.
+    """Runs after which a pair at the threshold has met with the recall, after depth choices.
 
     A level passes a pair on with probability 1 - exp(-1) or more (an expected 1 / threshold chosen
-    coordinates, each of which the two share with probability threshold); depth levels are allowed for.
+    coordinates, each of which the two share with probability threshold).
     """
     one = 1.0
     for _ in range(depth):
@@ -108,9 +108,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     All runs start at once, each with its own root. In a node of at most bucket members all are
     compared; a larger one's smallest member is compared with all, members not the same as it go on
     to the node's children, and after depth levels a node is cut into tiles that are compared whole.
-    Nodes with the same members are looked at once.
+    Nodes with the same members are compared whole once; larger ones of them all go on, as their
+    children differ. The root chooses too, so a tree of depth levels has depth + 1 choices.
     """
-    runs = runs_for(recall, threshold)
+    runs = runs_for(recall, threshold, depth + 1)
     roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     child = "node long, rep long"
 
@@ -155,8 +156,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     for level in range(depth + 1):
         nodes = materialise(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1")
-        sizes = materialise(sizes.groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).drop("who"), "node-sizes")
+        sizes = materialise(sizes, "node-sizes")
         whole = sizes if level == depth else sizes.filter(F.col("n") <= bucket)
+        whole = whole.groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).drop("who")
         members = nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep")
         tiled = (
             members.withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
@@ -167,7 +169,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
         keys = ["node", "tile_a", "tile_b"]
         found = tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
-        big = sizes.filter(F.col("n") > bucket)
+        big = sizes.filter(F.col("n") > bucket).drop("who")
         if level == depth or not big.take(1):
             break
         pivots = big.join(reps.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")

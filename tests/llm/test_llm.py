@@ -326,6 +326,17 @@ def test_jaccard(spark, docs, rows):
     assert jaccard.jaccard_join(docs.filter("false")).count() == 0
 
 
+def test_jaccard_runs_allow_for_every_choice(spark, monkeypatch):
+    asked, real = [], jaccard.runs_for
+    monkeypatch.setattr(jaccard, "runs_for", lambda *a: asked.append(real(*a)) or asked[-1])
+    reps = spark.createDataFrame([(1, bytes(4 * jaccard.COORDINATES))], "rep long, sig binary")
+    jaccard.candidate_edges(reps, 0.8, 0.99, 128, 4, 0.6, 0.9)
+    missed = 1.0  # by a pair at the threshold in one run: the root and four levels choose
+    for choice in range(5):
+        missed = np.exp(-(1 - missed)) if choice else np.exp(-1.0)
+    assert 1 - missed ** asked[0] >= 0.99
+
+
 # --- 9
 
 
