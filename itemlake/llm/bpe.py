@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from itemlake.llm.pretokens import PieceEncoder, binary
+from itemlake.llm.pretokens import PieceEncoder, binary, id_rows
 
 
 def byte_symbols() -> list[str]:
@@ -69,28 +69,22 @@ class Codec:
         self.of_piece = np.array([0, *(ranks[t] for t in order)], np.uint32)  # piece id to rank
         self.table = {b: s for b, s in enumerate(byte_symbols())}
         self.tokens = dict(zip(ranks.values(), ranks, strict=True))
-        self.encoder = PieceEncoder(self.encode_strings)
-
-    def encode_strings(self, texts: list[str]) -> list:
-        """Ranks of each text: by pre-token, whole pre-tokens in the vocabulary first, as the rank files are meant."""
-        out: list[list] = []
-        wait: dict[str, list[tuple[int, int]]] = {}
-        for i, text in enumerate(texts):
-            row = []
-            for j, piece in enumerate([text] if text[1:].isalpha() and text[0] == " " else self.pattern.findall(text)):
-                raw = piece.encode()
-                if (rank := self.ranks.get(raw)) is not None:
-                    row.append([rank])
-                else:
-                    row.append(None)
-                    wait.setdefault(raw.decode("latin-1").translate(self.table), []).append((i, j))
-            out.append(row)
-        keys = list(wait)
-        for key, ids in zip(keys, self.model.encode(keys, out_type=int, num_threads=1) if keys else [], strict=True):
-            ranks = self.of_piece[ids].tolist()
-            for i, j in wait[key]:
-                out[i][j] = ranks
-        return [[r for part in row for r in part] for row in out]
+        self.encoder = PieceEncoder(self.pattern.findall, self.encode_pieces)
+
+    def encode_pieces(self, pieces: list[str]) -> list:
+        """Ranks of each pre-token: those in the vocabulary whole, as the rank files are meant, the others by merges."""
+        out: list = [None] * len(pieces)
+        at, keys = [], []
+        for i, piece in enumerate(pieces):
+            raw = piece.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                out[i] = (rank,)
+            else:
+                at.append(i)
+                keys.append(raw.decode("latin-1").translate(self.table))
+        for i, ids in zip(at, self.model.encode(keys, out_type=int, num_threads=1) if keys else [], strict=True):
+            out[i] = self.of_piece[ids].tolist()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encoder.encode(text) if text else b""
@@ -117,10 +111,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: list[
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in it:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                ids = c.encoder.encode_batch(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], binary(ids)], [*keep, "ids"])
+            for lo, hi, ids, rows in c.encoder.encode_column(b.column(0)):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], id_rows(ids, rows).cast(pa.binary())], [*keep, "ids"])
 
     rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(k) for k in keep])
     schema = docs.select(*keep).schema.add("ids", "binary")

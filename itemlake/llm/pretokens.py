@@ -8,87 +8,142 @@ a bounded cache keeps their ids.
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts from this length on are cut into chunks first.
 _LONG = 1 << 19
-_LINES = re.compile(r"(?<=\S)(?=\n)")
-_TAIL = re.compile(r"(?<=[A-Za-z])(?=[.,!?|;:]+\Z)")
+_MERGE, _NEW = -1, -2
 
 
 class PieceEncoder:
-    """encode_many: ids (sequences of int) of strings; limit: cached pieces, in two generations."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 600_000):
-        self.encode_many, self.limit = encode_many, limit
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> Iterator[bytes]:
-        return (array("I", x).tobytes() for x in self.encode_many(pieces))
-
-    def _parts(self, pieces: list[str]) -> list[bytes]:
-        """Ids of safe pieces, cut further where a line or trailing punctuation after an ASCII letter begins."""
-        cut = [[y for x in _LINES.split(p) for y in _TAIL.split(x)] for p in pieces]
-        asked = {y for c in cut for y in c}
-        need = [y for y in asked if y not in self.parts]
-        if len(self.parts) + len(need) > self.limit:
-            self.parts, need = {}, list(asked)
-        self.parts.update(zip(need, self._ids(need), strict=True))
-        known = self.parts.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of ' ' + word for each word; None for those after which a space can't be cut."""
-        new: Iterable[str] = [w for w in words if w not in self.young]
-        if len(self.young) + len(new) > self.limit // 2:
-            self.old, self.young, new = self.young, {}, words
+    """split: pre-tokens of a string; encode_many: ids (sequences of int) of pre-tokens; limit: cached pieces.
+
+    A word is what stands between two spaces, and its piece begins with the space before it. All ids
+    lie in one pool; a piece's number leads to its place there.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list], limit: int = 600_000):
+        self.split, self.encode_many, self.limit = split, encode_many, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}  # word: number of " " + word, or _MERGE if no space may be cut off after it
+        self.pieces: dict[str, int] = {"": 0}  # strings as they stand
+        self.parts: dict[str, bytes] = {}  # pre-tokens
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 1  # number 0 is the empty piece
+
+    def _add(self, sizes: list[int], ids: np.ndarray) -> range:
+        """Numbers of new pieces."""
+        n, m = len(sizes), len(ids)
+        if self.used + m > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(m, len(self.pool)), np.uint32)])
+        if self.count + n > len(self.size):
+            more = np.zeros(max(n, len(self.size)), np.int32)
+            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        self.pool[self.used : self.used + m] = ids
+        mine = slice(self.count, self.count + n)
+        self.size[mine] = sizes
+        self.start[mine] = self.used + np.cumsum(self.size[mine]) - self.size[mine]
+        self.used += m
+        self.count += n
+        return range(self.count - n, self.count)
+
+    def _encode(self, strings: list[str]) -> range:
+        """Numbers of strings that begin where a pre-token must, by their cached pre-tokens."""
+        cut = list(map(self.split, strings))
+        need = [p for p in set(chain.from_iterable(cut)) if p not in self.parts]
+        self.parts.update(zip(need, (np.array(x, "<u4").tobytes() for x in self.encode_many(need)), strict=True))
+        raw = [b"".join(map(self.parts.__getitem__, c)) for c in cut]
+        return self._add([len(x) >> 2 for x in raw], np.frombuffer(b"".join(raw), "<u4"))
+
+    def _learn(self, words: list[str]) -> None:
         plain, other = [], []
-        for w in new:
-            if w in self.old:
-                self.young[w] = self.old[w]
-            elif w.isalpha():
+        for w in words:
+            if w.isalpha():
                 plain.append(w)
             elif not w or w[-1].isspace():
-                self.young[w] = None
+                self.words[w] = _MERGE
             else:
                 other.append(w)
-        self.young.update(zip(plain, self._ids([" " + w for w in plain]), strict=True))
-        self.young.update(zip(other, self._parts([" " + w for w in other]), strict=True))
-
-    def _joined(self, split: list[str]) -> bytes:
-        """Ids of a text from its split at spaces, whose words are learnt."""
-        found = list(map(self.young.__getitem__, split))
-        first, n = split[0], len(split)
-        if n > 1 and (first[-1:].isspace() or None in found[1:-1]):
-            return self._parts([" ".join(split)])[0]
-        if n > 1 and found[-1] is None:  # white space may end a text
-            found[-1] = self._parts([" " + split[-1]])[0]
-        found[0] = self._parts([first])[0] if first else b""
-        return b"".join(found)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; none for null."""
-        return self.encode_batch([text])[0]
+        ids = self.encode_many([" " + w for w in plain])  # letters after a space are one pre-token
+        sizes = list(map(len, ids))
+        self.words.update(zip(plain, self._add(sizes, np.fromiter(chain.from_iterable(ids), np.uint32, sum(sizes))), strict=True))
+        self.words.update(zip(other, self._encode([" " + w for w in other]), strict=True))
+
+    def _word_numbers(self, words: list[str]) -> np.ndarray:
+        got = np.fromiter(map(self.words.get, words, repeat(_NEW)), np.int64, len(words))
+        if len(new := np.flatnonzero(got == _NEW)):
+            self._learn([words[i] for i in new])
+            got[new] = np.fromiter((self.words[words[i]] for i in new), np.int64, len(new))
+        return got
+
+    def _piece_numbers(self, pieces: list[str]) -> list[int]:
+        new = list({p for p in pieces if p not in self.pieces})
+        self.pieces.update(zip(new, self._encode(new), strict=True))
+        return list(map(self.pieces.__getitem__, pieces))
+
+    def _texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row starts) of texts without nulls."""
+        if len(self.words) + len(self.parts) + len(self.pieces) > self.limit:
+            self._forget()
+        lists = pc.split_pattern(texts, " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        begins = np.append(0, ends[:-1])
+        words = lists.flatten().dictionary_encode()
+        number = self._word_numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        first = words.take(pa.array(begins)).dictionary_decode().to_pylist()
+        merge = number == _MERGE
+        merge[begins] = [bool(w) and w[-1].isspace() for w in first]
+        odd = np.flatnonzero(np.add.reduceat(merge, begins, dtype=np.int64))
+        number[begins] = self._piece_numbers(first)
+        for r in odd:  # words after which a space can't be cut off are encoded together with the next
+            lo, hi = begins[r], ends[r]
+            said = texts[int(r)].as_py().split(" ")
+            at, place, joined = 0, [], []
+            while at < len(said):
+                end = at
+                while end < len(said) - 1 and merge[lo + end]:
+                    end += 1
+                if end > at or merge[lo + at]:
+                    place.append(lo + at)
+                    joined.append(("" if at == 0 else " ") + " ".join(said[at : end + 1]))
+                    number[lo + at : lo + end + 1] = 0
+                at = end + 1
+            number[place] = self._piece_numbers(joined)
+        size = self.size[number]
+        total = np.zeros(len(size) + 1, np.int32 if len(texts) > 1 else np.int64)
+        np.cumsum(size, out=total[1:])
+        at = np.repeat(self.start[number] - total[:-1], size)
+        at += np.arange(total[-1], dtype=at.dtype)
+        ids = self.pool[at]
+        return ids, total[np.append(begins, ends[-1])]
+
+    def encode_column(self, column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids, row starts in ids) of runs of rows with about max_bytes of text; null counts as empty."""
+        column = pc.fill_null(column, "") if column.null_count else column
+        size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(size):
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + 100_000]), max_bytes, side="right")))
+            if end == at + 1 and size[at] >= _LONG:
+                ids = np.concatenate([self._texts(pa.array([chunk]))[0] for chunk in safe_chunks(column[at].as_py())])
+                yield at, end, ids, np.array([0, len(ids)])
+            else:
+                yield at, end, *self._texts(column.slice(at, end - at))
+            at = end
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Like encode for each text; words new to the batch are encoded together."""
-        splits = [t.split(" ") if t and len(t) < _LONG else None for t in texts]
-        self.learn(set().union(*filter(None, splits)))
-        return [self._joined(s) if s else self._long(t) if t else b"" for s, t in zip(splits, texts, strict=True)]
+        """Ids of each text as little-endian unsigned 32-bit integers; none for null."""
+        return [ids[a:b].tobytes() for _, _, ids, rows in self.encode_column(pa.array(texts, pa.string())) for a, b in zip(rows, rows[1:], strict=False)]
 
-    def _long(self, text: str) -> bytes:
-        done = []
-        for chunk in safe_chunks(text):
-            split = chunk.split(" ")
-            self.learn(set(split))
-            done.append(self._joined(split))
-        return b"".join(done)
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_batch([text])[0]
 
 
 def safe_chunks(text: str, size: int = _LONG // 2) -> Iterator[str]:
@@ -107,3 +162,10 @@ def safe_chunks(text: str, size: int = _LONG // 2) -> Iterator[str]:
 
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def id_rows(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Each row's ids as bytes."""
+    offsets = np.asarray(rows, np.int64) * 4
+    wide = offsets[-1] > (1 << 31) - 1
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(rows) - 1, [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])

@@ -7,7 +7,7 @@ a decoder starts from; then the footer's length and CRC-32, and the magic again.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,39 +189,40 @@ class TokenFile:
                 have, at = have[e - at :], e
 
 
+#: The pre-tokens of the tokenizers library's ByteLevel pattern (a fixed value).
+_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(2)
 def tokenizer_encoder(path: str) -> PieceEncoder:
-    """A cached encoder over a byte-level BPE file of the tokenizers library; its special tokens' strings are ordinary text."""
+    """A cached encoder over a byte-level BPE file of the tokenizers library; its special tokens' strings are ordinary text.
+
+    Files that normalise, add a space or split otherwise raise ValueError.
+    """
     import regex
     from tokenizers import Tokenizer
 
     from itemlake.llm.bpe import byte_symbols
 
-    tokenizer = Tokenizer.from_file(path)
-    model, table = tokenizer.model, dict(enumerate(byte_symbols()))
-    pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-
-    def many(texts: list[str]) -> list[list[int]]:
-        out = []
-        for text in texts:
-            if text.isascii() and text[1:].isalpha() and text[0] == " ":
-                out.append([t.id for t in model.tokenize("Ġ" + text[1:])])
-            else:
-                pieces = [text] if text[1:].isalpha() and text[0] == " " else pattern.findall(text)
-                out.append([t.id for p in pieces for t in model.tokenize(p.encode().decode("latin-1").translate(table))])
-        return out
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    split = told.get("pre_tokenizer") or {}
+    if told.get("normalizer") or told["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path}: not a plain byte-level BPE file")
+    tokenize, table = Tokenizer.from_file(path).model.tokenize, dict(enumerate(byte_symbols()))
+    symbols = lambda p: "Ġ" + p[1:] if p[0] == " " and p[1:].isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(table)
 
-    return PieceEncoder(many, 1_200_000)
+    return PieceEncoder(regex.compile(_BYTE_LEVEL).findall, lambda pieces: [[t.id for t in tokenize(symbols(p))] for p in pieces], 900_000)
 
 
 @lru_cache(2)
 def added_tokens(path: str):
-    """The file's tokenizer, and a pattern that finds a string of its added tokens (None if it has none)."""
+    """The file's tokenizer, and a pattern (RE2) that finds a string of its added tokens (None if it has none)."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content), key=len, reverse=True)
-    return tokenizer, re.compile("|".join(map(re.escape, known))) if known else None
+    return tokenizer, "|".join("".join(c if c.isalnum() or ord(c) > 127 else f"\\x{ord(c):02x}" for c in t) for t in known) if known else None
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, file_tokens: int = 4 << 20, match_added: bool = False) -> DataFrame:
@@ -235,38 +237,50 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = int(end_id).to_bytes(4, "little")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         encoder = tokenizer_encoder(tokenizer_path)
         tokenizer, added = added_tokens(tokenizer_path) if match_added else (None, None)
-        ids, held, size = [], [], 0
+        ids, lengths, held, size = [], [], [], 0
 
         def flush():
-            nonlocal ids, held, size, number
+            nonlocal ids, lengths, held, size, number
             path = f"{folder}/part-{context.partitionId():06d}-{number:06d}.ranstok"
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            n = write_atomically(path, str(context.taskAttemptId()), file_bytes(ids, lengths, tokens))
-            row = pa.RecordBatch.from_pydict({"path": [path], "documents": [len(ids)], "tokens": [len(tokens)], "bytes": [n]})
-            ids, held, size, number = [], [], 0, number + 1
+            n = write_atomically(path, str(context.taskAttemptId()), file_bytes(ids, np.concatenate(lengths), np.concatenate(held)))
+            row = pa.RecordBatch.from_pydict({"path": [path], "documents": [len(ids)], "tokens": [size], "bytes": [n]})
+            ids, lengths, held, size, number = [], [], [], 0, number + 1
             return row
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                whole = {j for j, text in enumerate(texts) if text and added and added.search(text)}
-                encoded = encoder.encode_batch([None if j in whole else text for j, text in enumerate(texts)] if whole else texts)
-                for j in whole:
-                    encoded[j] = np.array(tokenizer.encode(texts[j], add_special_tokens=False).ids, "<u4").tobytes()
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoded, strict=True):
-                    ids.append(doc_id)
-                    held.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= file_tokens:
-                        yield flush()
+        def documents():
+            """Runs of (ids, lengths, tokens with end ids)."""
+            for batch in batches:
+                names, texts = batch.column(0).to_pylist(), batch.column(1)
+                special = pc.match_substring_regex(texts, added) if added else None
+                if special is None or not pc.any(special).as_py():
+                    for lo, hi, tokens, rows in encoder.encode_column(texts):
+                        yield names[lo:hi], np.diff(rows) + 1, np.insert(tokens, rows[1:], end_id)
+                    continue
+                for i, whole in enumerate(special.to_pylist()):
+                    if whole:
+                        tokens = np.array([*tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id], np.uint32)
+                    else:
+                        tokens = np.concatenate([*(x[2] for x in encoder.encode_column(texts.slice(i, 1))), [end_id]]).astype(np.uint32)
+                    yield [names[i]], np.array([len(tokens)]), tokens
+
+        for names, sizes, tokens in documents():
+            at = 0
+            ends = np.cumsum(sizes)
+            while at < len(names):
+                done = int(ends[at - 1]) if at else 0
+                stop = min(len(names), int(np.searchsorted(ends, done + file_tokens - size)) + 1)
+                ids += names[at:stop]
+                lengths.append(sizes[at:stop])
+                held.append(tokens[done : ends[stop - 1]])
+                size += int(ends[stop - 1]) - done
+                at = stop
+                if size >= file_tokens:
+                    yield flush()
         if ids:
             yield flush()
 

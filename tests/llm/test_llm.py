@@ -249,10 +249,9 @@ def test_token_files(spark, docs, rows, monkeypatch):
     from tokenizers import Tokenizer
 
     path, folder = P.path("byte_bpe_50k.json"), new_folder(spark, "tokens")
-    tokenfile.write_tokens(docs, folder, path, file_tokens=3000)
+    tokenfile.write_tokens(docs, folder, path, file_tokens=3000, match_added=True)
     read = tokenfile.read_tokens(spark, folder, 1).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     at = 0
     for (i, text), r in zip(sorted(rows, key=lambda x: (x[0] is not None, x[0], x[1] is not None, x[1])), sorted(read, key=lambda r: r.start), strict=True):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -262,6 +261,23 @@ def test_token_files(spark, docs, rows, monkeypatch):
     assert tokenfile.write_tokens(docs.filter("false"), empty, path).count() == 0
 
 
+def test_pieces_are_the_library_s(rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    encoder, r = tokenfile.tokenizer_encoder(P.path("byte_bpe_50k.json")), random.Random(11)
+    texts = ["".join(r.choice(["  ", " ", "\n", "\t", "a", "Zb", ".", ",'", "'s", "12", "é", "漢", "\x1c", "\u3000", "!", " \n", "_"]) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    texts += ["", " ", "  ", "\n", "a ", " a", "a  ", None, "long " * 200_000 + "\n end", "x" * 3000]
+    for limit in (900_000, 50):
+        encoder.limit = limit
+        got = encoder.encode_batch(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert encoder.encode_batch(texts[:40]) == got[:40]
+    with pytest.raises(ValueError, match="byte-level"):
+        tokenfile.tokenizer_encoder(P.path("word_bpe_49k.json"))
+
+
 def test_token_query_matches_added_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
