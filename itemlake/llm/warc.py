@@ -150,7 +150,8 @@ def chain_in_range(path: str, size: int, start: int, end: int) -> tuple[int, int
     """(first, stop): the first member in [start, end) from which members follow one another past the range's end, and where they do.
 
     A range inside a payload that holds stored members may begin with such a chain, of which the
-    caller rids itself: it lies before the stop of an earlier range's chain.
+    caller rids itself: it lies before the stop of an earlier range's chain. Where a chain breaks,
+    the search goes on behind the break, so a range is inflated once; None if no chain gets through.
     """
     f, at = _File(path, size), start
     while (first := _scan(f, at, end)) is not None:
@@ -159,9 +160,7 @@ def chain_in_range(path: str, size: int, start: int, end: int) -> tuple[int, int
             stop = got[0]
         if stop >= size or (stop >= end and _valid_start(f, stop)):
             return first, stop
-        if not start and not at:
-            return first, end  # the file's own first record: what is broken after it is told when it is read
-        at = first + 1
+        at = stop + 1
     return None
 
 
@@ -194,8 +193,10 @@ def read_warc(spark: SparkSession, paths: str | list[str], range_bytes: int = 64
     Files are cut into byte ranges. A task looks for the gzip magic in its ranges, accepts a candidate
     whose first bytes decode to a WARC header and whose chain of members reaches past the range, and
     owns the records that start inside. Chains that begin before an earlier range's chain stops lie
-    within a payload and are dropped. An empty archive gives no row; a damaged or truncated record
-    raises. Revisits have a null payload and the length that their HTTP header tells.
+    within a payload and are dropped. The chains that stay must follow one another from a file's
+    first byte to its last; a damaged or truncated archive leaves a hole and raises, whatever
+    range_bytes is. An empty archive gives no row; several records may have the same id. Revisits
+    have a null payload and the length that their HTTP header tells.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(paths).select("path", "length")
     ranges = files.filter("length > 0").select(
@@ -207,12 +208,19 @@ def read_warc(spark: SparkSession, paths: str | list[str], range_bytes: int = 64
         for batch in batches:
             for path, length, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 end = min(start + range_bytes, length)
-                if (chain := chain_in_range(path, length, start, end)) is not None:
-                    yield pa.RecordBatch.from_pydict({"path": [path], "size": [length], "first": [chain[0]], "end": [end], "stop": [chain[1]]})
+                chain = chain_in_range(path, length, start, end)
+                if chain is not None or start == 0:
+                    first, stop = chain or (0, 0)
+                    yield pa.RecordBatch.from_pydict({"path": [path], "size": [length], "first": [first], "end": [end], "stop": [stop]})
 
     chains = ranges.repartition(tasks, "path", "start").mapInArrow(index, "path string, size long, first long, end long, stop long")
     before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of the file
-    chains = chains.withColumn("before", F.max("stop").over(before)).filter("before is null or first >= before").select("path", "size", "first", "end")
+    after = Window.partitionBy("path").orderBy("first")
+    chains = chains.withColumn("before", F.coalesce(F.max("stop").over(before), F.lit(0))).filter("first >= before")
+    chains = chains.withColumn("next", F.coalesce(F.lead("first").over(after), "size"))
+    hole = F.raise_error(F.concat("path", F.lit(": broken record at or after byte "), F.when(F.col("first") == F.col("before"), F.col("stop")).otherwise(F.col("before")).cast("string")))
+    whole = (F.col("first") == F.col("before")) & (F.col("stop") == F.col("next"))
+    chains = chains.select("path", "size", F.when(whole, F.col("first")).otherwise(hole.cast("long")).alias("first"), "end")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -232,7 +240,11 @@ def read_warc(spark: SparkSession, paths: str | list[str], range_bytes: int = 64
 
 
 def page_digests(records: DataFrame) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest (recomputed for responses, else as recorded), record_type, refers_to."""
+    """Per record: page_id, payload_bytes, payload_digest (recomputed for responses, else as recorded), record_type, refers_to.
+
+    A record whose id names no page has a null page_id; repeated records each give a row, no record
+    none. Other columns are ignored.
+    """
     number = lambda c: F.nullif(F.substring_index(F.col(c), ":", -1), F.lit("")).cast("long")
     return records.select(
         number("record_id").alias("page_id"), "payload_bytes",

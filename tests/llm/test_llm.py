@@ -6,8 +6,10 @@ import base64
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -90,9 +92,24 @@ def test_warc_reader_refuses_members_inside_a_payload(tmp_path):
                 got += [r["record_id"] for r in warc.records_from(str(path), len(raw), chain[0], end)]
             past = max(past, chain[1] if chain else 0)
         assert got == ["a", "b", "c"]
-    path.write_bytes(raw[:-9])
-    with pytest.raises(ValueError, match="broken"):
-        list(warc.records_from(str(path), len(raw) - 9, *warc.chain_in_range(str(path), len(raw) - 9, 0, len(raw) - 9)))
+
+
+def test_warc_reader_tells_damage_in_every_range_size(spark):
+    r = random.Random(3)
+    pages = [(i, f"u{i}", "".join(r.choice("abcdefgh <>") for _ in range(400))) for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    folder = new_folder(spark, "warc")
+    warc.write_warc(df, folder)
+    whole = Path(next(Path(folder.removeprefix("file://")).glob("*.warc.gz"))).read_bytes()
+    broken = {"cut": whole[:-9], "head": b"x" + whole[1:], "hit": whole[: len(whole) // 2] + bytes(20) + whole[len(whole) // 2 + 20 :], "more": whole + b"\0" * 5}
+    for size in (17, 1000, len(whole), 64 << 20):
+        assert warc.read_warc(spark, folder, size).count() == 20
+        for name, raw in broken.items():
+            if size > 17 or name == "hit":
+                at = Path(tempfile.mkdtemp(prefix="spark-")) / "x.warc.gz"
+                at.write_bytes(raw)
+                with pytest.raises(Exception, match="x.warc.gz: broken record"):
+                    warc.read_warc(spark, f"file://{at}", size).select("record_id").collect()
 
 
 # --- 2
