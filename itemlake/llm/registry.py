@@ -66,29 +66,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH RECURSIVE shares AS (
-  SELECT source, greatest(1, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) / sum(sqrt(CAST(count(*) AS DOUBLE))) OVER () * 1000) AS BIGINT)) AS share
-  FROM documents GROUP BY source
-), s AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, share, CAST(sum(share) OVER () AS BIGINT) AS period FROM shares
-), one AS (SELECT list(share ORDER BY i) AS p, max(period) AS period FROM s
-), sim(t, done, pick, p, period) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(p, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), p, period FROM one
+WITH RECURSIVE w AS (
+  SELECT source, count(*) AS n, greatest(1, CAST(round(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS BIGINT)) AS weight FROM documents GROUP BY source
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY weight ORDER BY source NULLS FIRST) - 1 AS member, count(*) OVER (PARTITION BY weight) AS members,
+         CAST(sum(weight) OVER () AS BIGINT) AS total FROM w
+), k AS (SELECT weight, weight * max(members) AS p, row_number() OVER (ORDER BY weight) AS i FROM m GROUP BY weight
+), one AS (SELECT list(p ORDER BY i) AS p, (SELECT max(total) FROM m) AS total, (SELECT max(((n + 31) // 32 * total + weight - 1) // weight) FROM m) AS slots FROM k
+), sim(t, done, pick, p, total, slots) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(p, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), p, total, slots FROM one
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = k THEN d + 1 ELSE d END), k, p, period FROM (
-    SELECT t, done, p, period, list_min(list_filter(list_transform(range(1, len(p) + 1), lambda j:
-        CASE WHEN done[j] < p[j] AND done[j] * period < (t + 2) * p[j]
-             THEN (((done[j] + 1) * period + p[j] - 1) // p[j]) * 100000 + j END), lambda x: x IS NOT NULL)) % 100000 AS k
-    FROM sim WHERE t + 1 < period) q
-), seats AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM sim WHERE t >= 0
+  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = k THEN d + 1 ELSE d END), k, p, total, slots FROM (
+    SELECT t, done, p, total, slots, list_min(list_filter(list_transform(range(1, len(p) + 1), lambda j:
+        CASE WHEN done[j] * total < (t + 2) * p[j]
+             THEN (((done[j] + 1) * total + p[j] - 1) // p[j]) * 1048576 + j END), lambda x: x IS NOT NULL)) % 1048576 AS k
+    FROM sim WHERE t + 1 < slots) q
+), seats AS (SELECT weight, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM sim JOIN k ON k.i = sim.pick WHERE t >= 0
 ), ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), 'g'), doc_id NULLS LAST) - 1 AS r FROM documents
 )
-SELECT d.doc_id, d.source, d.r // 32 AS block, ((d.r // 32) * s.period) // s.share AS release,
-       ((d.r // 32 + 1) * s.period + s.share - 1) // s.share AS due,
-       (d.r // 32) // s.share * s.period + seats.slot AS slot,
-       ((d.r // 32) // s.share * s.period + seats.slot) * 32 + d.r % 32 AS position
-FROM ranked d JOIN s ON d.source IS NOT DISTINCT FROM s.source
-JOIN seats ON seats.i = s.i AND seats.k = (d.r // 32) % s.share
+SELECT d.doc_id, d.source, d.r // 32 AS block, (d.r // 32 * m.total) // m.weight AS release,
+       ((d.r // 32 + 1) * m.total + m.weight - 1) // m.weight AS due, seats.slot, seats.slot * 32 + d.r % 32 AS position
+FROM ranked d JOIN m ON d.source IS NOT DISTINCT FROM m.source
+JOIN seats ON seats.weight = m.weight AND seats.turn = d.r // 32 * m.members + m.member
 """
 
 
