@@ -1,12 +1,16 @@
-"""Removal of passages that an earlier document holds, by a relative Lempel-Ziv parse over indexed blocks.
+"""Removal of passages that an earlier document holds, by a greedy relative Lempel-Ziv parse over indexed blocks.
 
 Every document is cut into blocks whose borders depend on its words alone: each window of WINDOW
 words has an anchor, the GRAM-word gram in it with the smallest hash, and the windows that follow
 one another with one anchor make a block of WINDOW words and more. All blocks of all documents
-are indexed by the hash of their words. A document is parsed against that index: blocks that a
-document with a smaller id holds as well are copy factors, and neighbouring ones join into longer
-factors. Where a factor ends, inside a block whose anchor has other blocks in the index, the parse
-goes on window by window, so that factors end at exactly the right word.
+are indexed by the hash of their words, with their first place: the smallest document that holds
+them, and where. A document is parsed from left to right against that index: a factor starts at the
+first block that an earlier document holds and is extended block by block as long as the blocks
+continue one another in that document; then the next factor starts behind it. Where a factor may
+begin or end inside a block, which is where the block's anchor has other blocks in the index, the
+parse goes on window by window, so that borders are at exactly the right word and no window
+across a border is missed. Factors are WINDOW words long or more before they are cut where they
+overlap, and cover the duplicate spans.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ WINDOW, GRAM = 50, 10
 _REACH = WINDOW - GRAM + 1  # grams in a window
 _AT_BITS = 24
 _CHUNK = 1 << 22  # words looked at together
-_STEP = 64  # windows in a block at most fit 6 bits
 
 
 def _anchors(gram: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = batch.column(1).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(2)):
             w = words(s)
-            hashes = w.hashes(s.data)
+            hashes, others = w.hashes(s.data), w.hashes(s.data, "other")
             for lo, hi in _chunks(len(hashes)):
                 h, row = hashes[lo:hi], w.row[lo:hi]
                 m = len(h) - WINDOW + 1
@@ -88,7 +91,7 @@ def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stop = np.flatnonzero(new | ~inside)  # where a block has ended by
                 after = np.append(stop, m)[np.searchsorted(stop, start, side="right")]
                 n = after - start
-                a, b = span_prefix(h, "a"), span_prefix(h, "b")
+                a, b = span_prefix(h, "a"), span_prefix(others[lo:hi], "b")
                 size = n + WINDOW - 1
                 r = row[start]
                 at = pack(tags[s.first + r], start + lo - w.first[r], n)
@@ -106,8 +109,7 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(3)
         for s in slices(batch.column(2)):
             w = words(s)
-            h = w.hashes(s.data)
-            a, b = span_prefix(h, "a"), span_prefix(h, "b")
+            a, b = span_prefix(w.hashes(s.data), "a"), span_prefix(w.hashes(s.data, "other"), "b")
             start, row = [], []
             for r in range(s.last - s.first):
                 tag, first, n = unpack(lists[s.first + r].values.to_numpy(zero_copy_only=False))
@@ -130,38 +132,82 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND((1 << 27) - 1).alias("tag"), text.alias("text"))
 
 
-def _covered(blocks: DataFrame, first: DataFrame) -> DataFrame:
-    return blocks.join(first, ["rh", "rx"]).filter("first_doc < doc_id").select("doc_id", "at")
+def _copied(blocks: DataFrame, first: DataFrame) -> DataFrame:
+    """Blocks that a smaller document holds: doc_id, tag, at, and the source's id and at."""
+    found = blocks.join(first.select("rh", "rx", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")), ["rh", "rx"])
+    return found.filter("source < doc_id").select("doc_id", F.shiftrightunsigned("at", 36).alias("tag"), "at", "source", "source_at")
 
 
-def copied_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, at (see pack): runs of windows whose words also start in a document with a smaller id.
+def block_matches(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, at, source, source_at (see pack): blocks and windows whose words also start in the document source, the smallest one.
 
-    Only blocks whose anchor occurs in two documents are looked at further. Least ids per block
-    are map-side minima; a block equal to an earlier document's is covered whole, and of the
-    others with a shared anchor only the first document of each distinct block goes on to single
-    windows, so that exact copies, however many, cost a row each. The blocks are made twice rather
-    than stored; the texts are dealt by doc_id once, in an exchange that drop_copied reuses.
+    Only blocks whose anchor occurs in two documents are looked at further. First places are
+    map-side minima; a block equal to an earlier document's is one match, and of the others with a
+    shared anchor only the first of each distinct block goes on to single windows, so that exact
+    copies, however many, cost a row each. The blocks are made twice rather than stored; the
+    texts are dealt by doc_id once, in an exchange that drop_copied reuses.
     """
     texts = _texts(docs).filter("doc_id is not null")
     blocks = texts.mapInArrow(_blocks, "doc_id long, anchor long, rh long, rx long, at long")
     shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     shared = materialise(shared, "shared-anchors")  # so that both sides of the join are plain exchanges, which AQE splits at a hot anchor
     blocks = materialise(blocks.join(shared, "anchor", "left_semi"), "shared-blocks")
-    index = materialise(blocks.groupBy("rh", "rx").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("anchor").alias("anchor")), "blocks-by-words")
-    variants = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi"))
+    place = F.min(F.struct("doc_id", "at")).alias("first")
+    index = materialise(blocks.groupBy("rh", "rx").agg(place, F.max("doc_id").alias("last_doc"), F.min("anchor").alias("anchor")), "blocks-by-words")
+    variants = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi"))
     variants = materialise(variants.filter("variants > 1 and lo < hi").select("anchor", "variants"), "variants")
     index = materialise(index.join(variants, "anchor", "left").drop("anchor"), "index")
-    whole = _covered(blocks, index.filter("first_doc < last_doc").select("rh", "rx", "first_doc"))
-    edge = blocks.join(index.filter("variants > 1").select("rh", "rx", "first_doc"), ["rh", "rx"]).filter("first_doc = doc_id")
-    listed = edge.groupBy("doc_id").agg(F.collect_list("at").alias("blocks"))  # at most a document's blocks
-    windows = texts.join(listed, "doc_id").mapInArrow(_windows, "doc_id long, rh long, rx long, at long")
-    first = windows.groupBy("rh", "rx").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return whole.unionByName(_covered(windows, first.select("rh", "rx", "first_doc")))
+    whole = _copied(blocks, index.filter("first.doc_id < last_doc"))
+    edge = index.filter("variants > 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
+    listed = edge.groupBy("doc_id", F.shiftrightunsigned("at", 36).alias("tag")).agg(F.collect_list("at").alias("blocks"))  # at most a document's blocks
+    windows = texts.join(listed, ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks").mapInArrow(_windows, "doc_id long, rh long, rx long, at long")
+    first = windows.groupBy("rh", "rx").agg(place, F.max("doc_id").alias("last_doc")).filter("first.doc_id < last_doc")
+    return whole.unionByName(_copied(windows, first))
+
+
+def parse(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, words, source, start in the source) of the factors of one document, from its matches."""
+    _, start, n = unpack(at)
+    _, begin, _ = unpack(source_at)
+    order = np.lexsort((source, start))
+    start, n, source, shift = start[order], n[order], source[order], (begin - start)[order]
+    goes_on = (start[1:] <= start[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (shift[1:] == shift[:-1])
+    new = np.flatnonzero(np.append(True, ~goes_on))
+    end = np.maximum.reduceat(start + n, new) + WINDOW - 1
+    behind = np.append(0, np.maximum.accumulate(end)[:-1])  # a factor starts behind those before it
+    left = np.maximum(start[new], behind)
+    keep = left < end
+    return left[keep], (end - left)[keep], source[new][keep], (left + shift[new])[keep]
+
+
+_FACTORS = "array<struct<start:bigint,n_words:bigint,source:bigint,source_start:bigint>>"
+
+
+def copy_factors(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (27 bits of the text's hash), factors: the copy factors of every document that has some, from left to right.
+
+    A factor's start and source_start are words (from 0) of the document and of the document source,
+    n_words its length. Factors don't overlap; what lies between them is literal.
+    """
+    found = block_matches(docs).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "source", "source_at")).alias("m"))  # at most a document's windows
+
+    def factor(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for r in range(batch.num_rows):
+                m = batch.column(2)[r].values
+                out.append(parse(*(m.field(k).to_numpy(zero_copy_only=False) for k in range(3))))
+            if out:
+                ends = np.append(0, np.cumsum([len(x[0]) for x in out])).astype(np.int32)
+                kinds = ["start", "n_words", "source", "source_start"]
+                rows = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), rows)], ["doc_id", "tag", "factors"])
+
+    return found.mapInArrow(factor, f"doc_id long, tag long, factors {_FACTORS}")
 
 
 def drop_copied(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text: each row's words without those in copied windows.
+    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text: each row's words without those of its copy factors.
 
     kept_text joins the kept words by one space. A window that no earlier document holds is never
     touched, whatever else of the document goes. Null text has no words; null ids are neither
@@ -169,33 +215,30 @@ def drop_copied(docs: DataFrame, with_text: bool = True) -> DataFrame:
     one another; texts of less than WINDOW words lose nothing; an empty table gives no row. Other
     columns are ignored.
     """
-    spans = copied_windows(docs).groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
-    rows = _texts(docs).filter("doc_id is not null").join(spans, "doc_id", "left")
-    rows = rows.unionByName(_texts(docs).filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>")))
+    spans = copy_factors(docs).select("doc_id", "tag", F.col("factors.start").alias("starts"), F.col("factors.n_words").alias("sizes"))
+    rows = _texts(docs).filter("doc_id is not null").join(spans, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "starts", "sizes")
+    none = F.lit(None).cast("array<long>")
+    rows = rows.unionByName(_texts(docs).filter("doc_id is null").withColumns({"starts": none, "sizes": none}))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            tags = batch.column(1).to_numpy(zero_copy_only=False)
-            lists, out = batch.column(3), []
+            starts, sizes, out = batch.column(3), batch.column(4), []
             for s in slices(batch.column(2)):
                 w = words(s)
                 raw = s.data.tobytes()
                 for r in range(s.last - s.first):
-                    lo, hi = w.first[r], w.first[r + 1]
-                    keep = np.ones(hi - lo, bool)
-                    if lists[s.first + r].is_valid:
-                        tag, start, n = unpack(lists[s.first + r].values.to_numpy(zero_copy_only=False))
-                        mine = tag == tags[s.first + r]
-                        depth = np.zeros(hi - lo + 1, np.int64)
-                        np.add.at(depth, start[mine], 1)
-                        np.add.at(depth, start[mine] + n[mine] + WINDOW - 1, -1)
-                        keep = np.cumsum(depth[:-1]) == 0
-                    text = raw[s.offsets[r] : s.offsets[r + 1]]
-                    if keep.all():
-                        kept = b" ".join(text.split())
-                    else:
-                        kept = b" ".join(x for x, k in zip(text.split(), keep.tolist(), strict=True) if k)
-                    out.append((int(hi - lo), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
+                    n = int(w.first[r + 1] - w.first[r])
+                    text = raw[s.offsets[r] : s.offsets[r + 1]].split()
+                    gone = 0
+                    if starts[s.first + r].is_valid:
+                        keep, at = [], 0
+                        for start, size in zip(starts[s.first + r].as_py(), sizes[s.first + r].as_py(), strict=True):
+                            keep += text[at:start]
+                            at = start + size
+                            gone += size
+                        text = keep + text[at:]
+                    kept = b" ".join(text)
+                    out.append((n, gone, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
             if out:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]

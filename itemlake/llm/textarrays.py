@@ -1,7 +1,8 @@
 """Words, hashes and n-grams of many texts at once, as numpy arrays over Arrow string buffers.
 
 A word is a run of bytes other than space and 0x09-0x0D. Hashes are 64-bit polynomials (modulo
-2**64, finished by a mixer); spans of words get two with different bases, 128 bits together.
+2**64, finished by a mixer). Spans of words get two with different bases; over the words' hashes
+"byte" and "other", which share neither base nor byte values, they are 128 bits together.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASES = {"byte": 0x9E3779B97F4A7C15, "a": 0xD1342543DE82EF95, "b": 0xAF251AF3B0F025B5}
+_BASES = {"byte": 0x9E3779B97F4A7C15, "other": 0xD6E8FEB86659FD93, "a": 0xD1342543DE82EF95, "b": 0xAF251AF3B0F025B5}
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_WORD_TABLE = _TABLE.copy()
-_WORD_TABLE[[32, 9, 10, 11, 12, 13]] = 0
+_WORD_TABLES = {"byte": _TABLE.copy(), "other": _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)}
+for _t in _WORD_TABLES.values():
+    _t[[32, 9, 10, 11, 12, 13]] = 0
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -65,11 +67,11 @@ class Words:
     row: np.ndarray  # in the slice
     first: np.ndarray  # each row's first word; one more entry
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
+    def hashes(self, data: np.ndarray, base: str = "byte") -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, U)
-        up, down = powers("byte", len(data))
-        values = _WORD_TABLE[data]
+        up, down = powers(base, len(data))
+        values = _WORD_TABLES[base][data]
         values *= up
         return mixed(np.add.reduceat(values, self.start) * down[self.start])
 

@@ -160,6 +160,28 @@ def test_substring(spark, docs, rows):
         want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
     assert sorted(map(tuple, substring.drop_copied(docs).collect()), key=str) == sorted(want, key=str)
     assert substring.drop_copied(docs.filter("false"), with_text=False).count() == 0
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(words(t))
+    found = substring.copy_factors(docs).collect()
+    assert found
+    for r in found:  # every factor is a copy of its source, and they don't overlap
+        end = 0
+        for f in r.factors:
+            assert f.start >= end and f.source < r.doc_id
+            end = f.start + f.n_words
+            assert any(x[f.start : end] == y[f.source_start : f.source_start + f.n_words] for x in texts[r.doc_id] for y in texts[f.source])
+        if r.doc_id == 10:
+            assert len(r.factors) <= 3
+
+
+def test_factors_run_on_through_blocks_and_borders(spark):
+    a, b = prose(61, 900), prose(62, 400)
+    said = [(1, a), (2, b), (3, a[:500] + b[:300] + ["new"] + a[500:520] + b[10:90] + a[100:900]), (3, a[40:100]), (3, a[40:100])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in said], "doc_id long, text string")
+    got = {len(r.factors): [(f.start, f.n_words, f.source, f.source_start) for f in r.factors] for r in substring.copy_factors(df).collect()}
+    assert got == {1: [(0, 60, 1, 40)], 4: [(0, 500, 1, 0), (500, 300, 2, 0), (821, 80, 2, 10), (901, 800, 1, 100)]}
+    assert sorted(r.n_removed for r in substring.drop_copied(df).filter("doc_id = 3").collect()) == [60, 60, 1680]
 
 
 # --- 4
