@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.llm.textarrays import Slice, Words, all_spans, mixed, slices, span_hash, span_prefix, words
-from itemlake.llm.tiles import count_links, groups, stars
+from itemlake.llm.tiles import classes_of, count_links, groups, stars
 from itemlake.operators.graph import connected_components
 from itemlake.plans.scratch import materialise
 
@@ -83,6 +83,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _text_keys(s: Slice, w: Words, rows: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of all words of the rows, in order."""
+    return [span_hash(span_prefix(w.hashes(s.data, how), b), b, w.first[:-1][rows], n) for how, b in (("byte", "a"), ("other", "b"))]
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (128-bit hash of the words in order), sig; of rows with an id and a word."""
 
@@ -90,11 +95,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
         for batch in it:
             for s in slices(batch.column(1)):
                 w = words(s)
-                h = w.hashes(s.data)
                 n = np.diff(w.first)
                 sig = signatures(*shingles(s, w))
                 take = np.flatnonzero(n)
-                k = [span_hash(span_prefix(h, b), b, w.first[:-1][take], n[take]) for b in "ab"]
+                k = _text_keys(s, w, take, n[take])
                 ids = batch.column(0).slice(s.first, s.last - s.first).take(pa.array(take))
                 yield pa.RecordBatch.from_arrays([ids, _signed(k[0]), _signed(k[1]), pa.array([x.tobytes() for x in sig[take]], pa.binary())], ["doc_id", "k1", "k2", "sig"])
 
@@ -194,20 +198,16 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
     """
     ratio = Fraction(str(threshold))
     sets = materialise(document_sets(docs), "sets")
-    reps = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    reps = materialise(reps, "reps")
+    reps = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # ids may have several texts: each has a number
     edges = candidate_edges(reps, threshold, recall, bucket, depth, near=threshold - 0.2, same=0.9)
-    clusters = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    members = clusters.join(reps.select(F.col("rep").alias("id"), "copies", "k1", "k2"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # an id that two texts share is no proof of the text: the words' hash is compared in the tile
-    members = members.join(texts, "id").filter("text is not null")
+    clusters = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    members = clusters.join(reps.select("rep", "id", "copies", "k1", "k2"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    members = materialise(_hashed_sets(members.join(texts, "id"), threshold), "cluster-sets")
 
     def linked(table: pa.Table) -> np.ndarray:
-        sets_ = []
-        for s in slices(table.column("text")):
-            h, starts = shingles(s, words(s))
-            sets_ += [np.unique(h[starts[r] : starts[r + 1]]) for r in range(len(starts) - 1)]
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         size = np.array([len(x) for x in sets_])
         _, column, seen = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets_)), size)
@@ -223,12 +223,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99,
         either = size[:, None] + size[None, :] - both
         return both * ratio.denominator >= either * ratio.numerator
 
-    members = _own_text(members)
     found = materialise(count_links(members, tile, linked), "links")
-    totals = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id")
-    result = reps.select("k1", "k2", F.col("rep").alias("id"), "copies").join(totals, "id", "left").join(classes, "id", "left")
-    per_set = result.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
+    classes = classes_of(found, reps.select(F.col("rep").alias("id"), F.col("id").alias("name"))).withColumnRenamed("id", "rep")
+    result = reps.select("k1", "k2", "rep", "id", "copies").join(classes, "rep", "left")
+    per_set = result.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "id").alias("class_id"))
     placed = sets.select("doc_id", "k1", "k2").join(per_set, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wordless = ids.filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
@@ -246,21 +244,29 @@ def drop_near(docs: DataFrame, **join) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
-def _own_text(members: DataFrame) -> DataFrame:
-    """Keep the text whose words have the row's hash, once."""
+def _hashed_sets(members: DataFrame, threshold: float) -> DataFrame:
+    """cluster, id, copies, band, hashes: each number's set of shingles, once, made from the text whose words have its keys.
+
+    Linked sets' sizes differ by a factor of threshold at most, so a band is a range of sizes as
+    wide as that, and a set can only be linked into its own band and the neighbouring ones.
+    """
+    schema = "cluster long, id long, copies long, band int, hashes binary"
 
-    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keep = np.zeros(batch.num_rows, bool)
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("k1", "k2"))
             for s in slices(batch.column("text")):
                 w = words(s)
-                h, n = w.hashes(s.data), np.diff(w.first)
+                n = np.diff(w.first)
                 full = np.flatnonzero(n)
-                same = np.ones(len(full), bool)
-                for base, k in (("a", k1), ("b", k2)):
-                    same &= span_hash(span_prefix(h, base), base, w.first[:-1][full], n[full]) == k[s.first + full]
-                keep[s.first + full[same]] = True
-            yield batch.filter(pa.array(keep))
-
-    return members.mapInArrow(check, members.schema).dropDuplicates(["cluster", "id", "k1", "k2"])
+                own = np.ones(len(full), bool)
+                for key, k in zip(_text_keys(s, w, full, n[full]), (k1, k2), strict=True):
+                    own &= key == k[s.first + full]
+                h, starts = shingles(s, w)
+                sets = [np.unique(h[starts[r] : starts[r + 1]]) for r in full[own]]
+                band = np.floor(np.log(np.maximum(1, [len(x) for x in sets])) / -np.log(threshold) + 1e-9).astype(np.int32) if 0 < threshold < 1 else np.zeros(len(sets), np.int32)
+                at = pa.array(s.first + full[own])
+                columns = [batch.column(c).take(at) for c in ("cluster", "rep", "copies")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(band), pa.array([x.tobytes() for x in sets], pa.binary())], ["cluster", "id", "copies", "band", "hashes"])
+
+    return members.select("cluster", "rep", "copies", "k1", "k2", "text").mapInArrow(make, schema).dropDuplicates(["id"])

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemlake.operators.graph import connected_components
+
 LINKS = "id long, links long, low long"
 
 
@@ -35,20 +37,24 @@ def stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_tiles(members: DataFrame, tile: int) -> DataFrame:
-    """members (cluster, id, ...) dealt to tiles: adds tile_a <= tile_b and chunk.
+    """members (cluster, id, band, ...) dealt to tiles: adds tile_a <= tile_b and chunk.
 
-    A cluster of n rows has ceil(n / tile) chunks, by the hash of id; each two chunks, and each chunk
-    with itself, make a tile, so that two members meet in exactly one and a task holds 2 * tile
-    rows or so, whatever the cluster's size.
+    Only members of the same band or of neighbouring ones are to meet. A band of a cluster with n rows has
+    ceil(n / tile) chunks, by the hash of id; each two chunks of one band or of neighbours, and
+    each chunk with itself, make a tile, so that two members meet in at most one and a task holds
+    2 * tile rows or so, whatever the cluster's size.
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"))
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("chunks"))
+    around = sizes.select("cluster", F.col("band").alias("other_band"), F.col("chunks").alias("others"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+    code = lambda band, chunk: F.shiftleft(F.col(band).cast("long"), 32) + chunk
     return (
-        members.join(sizes, "cluster")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        members.join(sizes.join(around, ["cluster", "band"]), ["cluster", "band"])
+        .withColumn("chunk", code("band", F.pmod(F.xxhash64("id"), F.col("chunks"))))
+        .withColumn("other", F.explode(F.expr("sequence(0L, others - 1)")))
+        .withColumn("other", code("other_band", F.col("other")))
         .withColumn("tile_a", F.least("chunk", "other"))
         .withColumn("tile_b", F.greatest("chunk", "other"))
-        .drop("other", "chunks")
+        .drop("other", "others", "other_band", "chunks", "band")
     )
 
 
@@ -78,7 +84,7 @@ def groups(it: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
 
 
 def count_links(members: DataFrame, tile: int, linked: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """members (cluster, id, copies, ...) to LINKS rows: how many copies of others id is linked to in a tile, and the smallest id of its part.
+    """members (cluster, id, band, copies, ...) to LINKS rows: how many copies of others id is linked to in a tile, and the smallest id of its part.
 
     linked(table) is the boolean matrix of a tile's rows. Sum links by id for all; the rows' (id, low)
     are edges that connect the linked members.
@@ -102,3 +108,11 @@ def count_links(members: DataFrame, tile: int, linked: Callable[[pa.Table], np.n
 
     rows = in_tiles(members, tile).repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInArrow(compare, LINKS)
+
+
+def classes_of(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, smallest, links: for each linked id its number of links and the smallest name (ids: id, name) of those it reaches."""
+    totals = links.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = connected_components(links.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "id")
+    lowest = parts.join(ids, "id").groupBy("component").agg(F.min("name").alias("smallest"))
+    return totals.join(parts, "id").join(lowest, "component").select("id", "smallest", "links")

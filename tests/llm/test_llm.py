@@ -422,6 +422,31 @@ def test_jaccard(spark, docs, rows):
     assert jaccard.jaccard_join(docs.filter("false")).count() == 0
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
+    near = lambda w, i: " ".join([*w[:i], "edit", *w[i + 1 :]])
+    said = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 20)), (3, near(a, 60)), (4, near(b, 40)), (5, " ".join(c)), (5, " ".join(c)), (9, near(c, 4))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in said], "doc_id long, text string, rep long")
+    got = sorted(map(tuple, jaccard.jaccard_join(df, threshold=0.7).collect()))
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 1), (5, 5, 2), (5, 5, 2), (9, 5, 2)]
+
+
+def test_jaccard_recall_where_every_node_is_large(spark):
+    r, common = random.Random(8), prose(80, 40)
+    said = []
+    for k in range(150):  # pairs of 0.8 or little more, in documents that all share most of their words
+        own = prose(1000 + k, 24)
+        twin = list(own)
+        twin[r.randint(5, 18)] = "other"
+        said += [common + own, common + twin]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in said]
+    want = sum(5 * len(x & y) >= 4 * len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(said)], "doc_id long, text string")
+    assert want >= 300
+    got = jaccard.jaccard_join(df, bucket=8).agg(F.sum("n_links")).first()[0]
+    assert got >= 0.97 * want
+
+
 def test_jaccard_runs_allow_for_every_choice(spark, monkeypatch):
     asked, real = [], jaccard.runs_for
     monkeypatch.setattr(jaccard, "runs_for", lambda *a: asked.append(real(*a)) or asked[-1])
@@ -451,6 +476,23 @@ def test_vectors(spark):
         assert all(got[i][1] == 3 for i in range(20, 35)) and got[41] == (2, 40, False) and got[3][2]
         assert all(got[i] == (0, i, True) for i in (100, 101, 102, 103, 104, 105, None)) and got[107] == (1, 106, False)
     assert vectors.near_vectors(df.filter("false")).count() == 0
+    twice = spark.createDataFrame([(1, x[3].tolist()), (1, x[50].tolist()), (2, (x[3] * 2 + 0.01).tolist()), (3, (x[3] * 3 - 0.01).tolist()), (4, (x[50] * 2 + 0.01).tolist())], df.select("vec_id", "embedding").schema)
+    assert sorted(map(tuple, vectors.near_vectors(twice).collect())) == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False)]
+
+
+def test_windows_reach_over_partitions(spark):
+    x = np.random.default_rng(6).standard_normal((700, 6))
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.97
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    parts = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = vectors.near_vectors(df, threshold=0.97, passes=1, window=700, block=800, recall=0.0)  # one pass in 40 partitions meets every pair
+        assert [r.n_links for r in sorted(got.collect())] == (cos.sum(1) - 1).tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts[1])
 
 
 def test_vectors_recall_follows_the_number_of_rows(spark):
