@@ -239,9 +239,10 @@ def drop_near(docs: DataFrame, **join) -> DataFrame:
     Rows without an id stay; of rows with equal id and text one stays.
     """
     first = jaccard_join(docs, **join).filter("doc_id = class_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text"), F.struct(*docs.columns).alias("row"))  # whatever the other columns are called
+    same = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    kept = rows.filter("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    return kept.select("row.*").unionByName(rows.filter("doc_id is null").select("row.*"))
 
 
 def _hashed_sets(members: DataFrame, threshold: float) -> DataFrame:

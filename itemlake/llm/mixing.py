@@ -131,5 +131,6 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = 32, temp
 
 def mixed(docs: DataFrame, **plan) -> DataFrame:
     """docs, all rows and columns (whatever their values), in the order of the mixture; see mix for nulls, ties and empty tables."""
-    placed = mix(docs.select("*"), carry=docs.columns, **plan)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # whatever the other columns are called
+    placed = mix(whole, carry=["_row"], **plan)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")

@@ -437,12 +437,12 @@ def train_tagger(docs: DataFrame, sample_docs: int = 1500, sample_windows: int =
     if not total:
         return None
     versions = max(1, min(32, sample_docs // total))
-    limit = int(min(1.0, 1.3 * sample_docs / total) * (1 << 62)) * 2 - (1 << 62) * 2
-    drawn = some.filter(F.col("key") <= limit).dropDuplicates(["key"]) if limit < (1 << 63) - 1 else some.dropDuplicates(["key"])
+    limit = min((1 << 63) - 1, int(1.3 * sample_docs / total * 2.0**64) - (1 << 63))
+    drawn = some.filter(F.col("key") <= limit).dropDuplicates(["key"])
     got = drawn.mapInArrow(cut, "key long, codes binary, tags binary").orderBy("key").limit(sample_docs).collect()
-    codes, tags = (np.concatenate([np.frombuffer(r[c], np.int8) for r in got]).reshape(-1, WINDOW).astype(np.int64) for c in ("codes", "tags"))
-    if not len(codes):
+    if not any(r.codes for r in got):
         return None
+    codes, tags = (np.concatenate([np.frombuffer(r[c], np.int8) for r in got]).reshape(-1, WINDOW).astype(np.int64) for c in ("codes", "tags"))
     tagger = Tagger()
     tagger.fit(codes, tags, steps)
     return tagger

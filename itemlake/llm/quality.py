@@ -38,13 +38,14 @@ def trusted_ids(labels: DataFrame, limit: int) -> list[int]:
     return [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, trusted_limit: int = 20_000, prior: float = 10_000.0) -> np.ndarray | None:
+def log_ratio(docs: DataFrame, labels: DataFrame, trusted_limit: int = 20_000, prior: float = 50_000.0, evidence: float = 500_000.0) -> np.ndarray | None:
     """Per bucket, log of the trusted over the raw probability, in units of 1 / POINT; None if no document is trusted.
 
     The raw counts are those of every document, repeated rows included; the trusted ones those of at
-    most trusted_limit labelled ids, with prior more grams dealt as the raw ones are, so that a
-    bucket which is as usual in both has ratio 1 however few are trusted. Counts are summed per task before the shuffle, and BUCKETS sums
-    reach the driver.
+    most trusted_limit labelled ids, with prior more grams dealt as the raw ones are (and more in
+    proportion as fewer than evidence grams are trusted), so that a bucket which is as usual in both
+    has ratio 1, and little evidence leaves all ratios near 1 and rejects little. Counts are summed per task before the shuffle, and
+    BUCKETS sums reach the driver.
     """
     ids = np.sort(np.array(trusted_ids(labels, trusted_limit), np.int64))
 
@@ -66,6 +67,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_limit: int = 20_000, p
         raw[r.bucket], good[r.bucket] = r.raw, r.good
     if not good.sum():
         return None
+    prior *= max(1.0, evidence / good.sum())
     base = raw / raw.sum()
     seen = raw > 0
     p = np.zeros(BUCKETS)
@@ -150,7 +152,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = -0.4,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **rules) -> DataFrame:
-    """The rows of docs, all columns, whose text is kept; the text decides, whatever the ids."""
+    """The rows of docs, all columns whatever their names, whose text is kept (see quality_scores).
+
+    The text decides: null, empty and short texts go, rows that repeat a text share its fate, null
+    ids don't matter but are never trusted, texts of any length are read whole. Without trusted rows
+    only the base rules reject; an empty table stays empty.
+    """
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, rules.get("trusted_limit", 20_000)))
     at, threshold = docs.columns.index("text"), rules.get("threshold", -0.4)
 
