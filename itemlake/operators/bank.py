@@ -156,7 +156,8 @@ def merge_choice_sets(pairs: DataFrame, items: DataFrame, versions: DataFrame, l
     kept = links.join(gone.withColumnRenamed("choice_set_id", "set_a"), "set_a", "left_anti").join(gone.withColumnRenamed("choice_set_id", "set_b"), "set_b", "left_anti").select("set_a", "set_b", "shared", "relation")
     touched = good.select("target").distinct()
     fresh = near_set_links(items2, min_shared).filter("shared <= 4")
-    fresh = fresh.join(touched, (fresh["set_a"] == touched["target"]) | (fresh["set_b"] == touched["target"]), "left_semi").join(kept.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti")
+    met = [fresh.join(touched.withColumnRenamed("target", side), side, "left_semi").select(*fresh.columns) for side in ("set_a", "set_b")]
+    fresh = met[0].unionByName(met[1]).distinct().join(kept.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti").select(*fresh.columns)
     report = fit.join(moved, "source", "left").select("source", "target", F.coalesce("moved", F.lit(0)).alias("moved"), "error")
     return items2, v2.select(*versions.columns), kept.unionByName(fresh), report
 

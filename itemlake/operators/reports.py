@@ -43,17 +43,24 @@ def report_order() -> list:
 
 
 def strata(rows: DataFrame) -> DataFrame:
-    """stratum_kind, stratum, n_items, mean_p, median_p, mean_disc by negativity, by type and in all: one pass over grouping sets."""
-    r = rows.select("negative", F.coalesce("item_type", F.lit("?")).alias("item_type"), "p", "disc")
-    spark = rows.sparkSession
-    g = spark.sql(
-        """SELECT grouping(negative) AS gn, grouping(item_type) AS gt, negative, item_type, count(*) AS n_items, avg(p) AS mean_p, median(p) AS median_p, avg(disc) AS mean_disc
-           FROM {r} GROUP BY GROUPING SETS ((negative), (item_type), ())""",
-        r=r,
-    )
-    kind = F.when(F.col("gn") == 0, "negative").when(F.col("gt") == 0, "item_type").otherwise("total")
-    name = F.when(F.col("gn") == 0, F.when(F.col("negative"), "negative").otherwise("positive")).when(F.col("gt") == 0, F.col("item_type")).otherwise("total")
-    return g.select(kind.alias("stratum_kind"), name.alias("stratum"), "n_items", "mean_p", "median_p", "mean_disc")
+    """stratum_kind, stratum, n_items, mean_p, median_p, mean_disc by negativity, by type and in all.
+
+    Rates are counted per stratum and value first, on the map side; the median is read off a running sum of those counts.
+    """
+    kinds = F.array(
+        F.struct(F.lit("negative").alias("kind"), F.when(F.col("negative"), "negative").otherwise("positive").alias("name")),
+        F.struct(F.lit("item_type").alias("kind"), F.coalesce("item_type", F.lit("?")).alias("name")), F.struct(F.lit("total").alias("kind"), F.lit("total").alias("name")),
+    )
+    each = rows.select(F.explode(kinds).alias("s"), "p", "disc")
+    per = each.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("disc").alias("sum_disc"), F.count("disc").alias("n_disc"))
+    upto = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)
+    per = per.withColumn("upto", F.sum(known).over(upto)).withColumn("known", F.sum(known).over(Window.partitionBy("s")))
+    at = lambda k: F.min(F.when(F.col("p").isNotNull() & (F.col("upto") > k), F.col("p")))
+    middle = (at(F.expr("(known - 1) div 2")) + at(F.expr("known div 2"))) / 2
+    return per.groupBy("s").agg(
+        F.sum("n").alias("n_items"), F.try_divide(F.sum(F.col("p") * F.col("n")), F.sum(known)).alias("mean_p"), middle.alias("median_p"), F.try_divide(F.sum("sum_disc"), F.sum("n_disc")).alias("mean_disc")
+    ).select(F.col("s.kind").alias("stratum_kind"), F.col("s.name").alias("stratum"), "n_items", "mean_p", "median_p", "mean_disc")
 
 
 def pattern_report(counts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:

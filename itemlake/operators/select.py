@@ -135,9 +135,13 @@ def assign_positions(selected: DataFrame) -> DataFrame:
 
 
 def replacement_pool(c: DataFrame, selected: DataFrame) -> DataFrame:
-    """request_id and the eligible candidates it didn't choose."""
-    requests = selected.select("request_id").distinct()
-    return c.join(requests).join(selected.select("request_id", "question_id"), ["request_id", "question_id"], "left_anti")  # a row a request and candidate
+    """request_id and the eligible candidates it didn't choose: a row for each request and candidate is what is asked for.
+
+    The requests, one row for all, are put beside every candidate; candidates stay where they are.
+    """
+    requests = selected.agg(F.array_sort(F.collect_set("request_id")).alias("requests"))
+    each = c.crossJoin(F.broadcast(requests)).withColumn("request_id", F.explode("requests")).drop("requests")
+    return each.join(selected.select("request_id", "question_id"), ["request_id", "question_id"], "left_anti")
 
 
 def selected_by_type(selected: DataFrame) -> DataFrame:
@@ -224,20 +228,32 @@ def _pick(request: Request, pool: pd.DataFrame) -> list[int]:
 def select_candidates(requests: list[Request], pool: DataFrame, families: DataFrame, neighbourhoods: DataFrame, prune: bool = True) -> DataFrame:
     """request_id, seq, question_id, qversion_id, item_type of the greedy selection under all limits.
 
-    Every limit depends only on a candidate's profile (type, tags, new, negative, set group), and
-    none opens again, so of the candidates without relatives sharing a profile only as many as a
-    request could take, the first ones, go to its group: a group holds few rows however large the
-    bank, and requests run in parallel. prune=False keeps all rows, for comparison.
+    Every limit depends only on a candidate's profile (type, tags, new, negative), its set group and its
+    family, and none opens again. A request takes total items, so it closes at most total families,
+    and total / max_per_set_group groups (G). Hence, in order of preference, without loss: of a family only
+    the first of each profile and group can be taken, and of those in one profile only the first
+    G + 1; of a profile and group only the first cap + total; of a profile only the first total +
+    total (G + 1) + G (cap + total). So a group's size depends on the request and the number of
+    profiles, not on the bank; requests run in parallel. prune=False keeps all rows, for comparison.
     """
     spark = pool.sparkSession
-    sizes = families.groupBy("family_id").agg((F.count(F.lit(1)) > 1).alias("related"))
-    rows = pool.join(families, "question_id").join(sizes, "family_id").join(neighbourhoods, "choice_set_id").withColumn("is_new", F.col("p").isNull())
-    caps = [(r.request_id, k, min(x for x in (r.total, (r.types or {k: r.total}).get(k, 0), r.max_per_set_group or r.total) if x is not None)) for r in requests for k in C.ITEM_TYPES]
-    limits = spark.createDataFrame(caps, "request_id long, item_type string, cap int")
-    rows = rows.join(F.broadcast(limits), "item_type")  # a row a request and type
-    profile = Window.partitionBy("request_id", "item_type", "tags", "is_new", "negative", "group_key", "related").orderBy(*preference_order())
-    if prune:
-        rows = rows.withColumn("_rank", F.row_number().over(profile)).filter("related or _rank <= cap")
+    rows = pool.join(families, "question_id").join(neighbourhoods, "choice_set_id").withColumn("is_new", F.col("p").isNull())
+    limits = []
+    for r in requests:
+        groups = r.total // r.max_per_set_group if r.max_per_set_group else 0
+        for k in C.ITEM_TYPES:
+            cap = min(x for x in (r.total, (r.types or {k: r.total}).get(k, 0), r.max_per_set_group or r.total) if x is not None)
+            if (r.types or {k: 1}).get(k, 0) > 0:
+                limits.append((r.request_id, k, cap + r.total, groups + 1, r.total + r.total * (groups + 1) + groups * (cap + r.total)))
+    limited = spark.createDataFrame(limits, "request_id long, item_type string, in_group int, in_family int, in_profile int")
+    rows = rows.join(F.broadcast(limited), "item_type")  # a row a request and type
+    profile = ["request_id", "item_type", "tags", "is_new", "negative"]
+    if prune and limits:
+        steps = [(["group_key", "family_id"], F.lit(1), 1), (["group_key"], F.col("in_group"), 2), (["family_id"], F.col("in_family"), 3), ([], F.col("in_profile"), 4)]
+        for more, most, column in steps:
+            number = F.row_number().over(Window.partitionBy(*profile, *more).orderBy(*preference_order()))
+            largest = 1 if column == 1 else max(x[column] for x in limits)  # a constant, so that tasks cut before the exchange
+            rows = rows.withColumn("_rank", number).filter(F.col("_rank") <= largest).filter(F.col("_rank") <= most)
     by_id = {r.request_id: r for r in requests}
     order = ["times_used", "_year", "question_id"]
 

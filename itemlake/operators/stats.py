@@ -149,10 +149,13 @@ def previous_stats(stats: DataFrame) -> DataFrame:
     """exam_id, qversion_id, prev_p, prev_disc: the question's strictly earlier exam with the latest date (then the largest id).
 
     A null date on another exam sorts first; where this exam's date is null every other exam counts as earlier.
+    One exchange by question; a frame over the dates before grows as it goes, so a question's history is read once.
     """
-    cur = stats.select(*ITEM, "question_id", "exam_date")
-    old = stats.select("question_id", F.col("exam_id").alias("o_exam"), F.coalesce("exam_date", F.lit("")).alias("o_date"), "p", "disc")
-    earlier = (F.col("o_exam") != F.col("exam_id")) & (F.col("exam_date").isNull() | (F.col("exam_date") == "") | (F.col("o_date") < F.col("exam_date")))
-    last = F.struct("o_date", "o_exam")
-    found = cur.join(old, "question_id").filter(earlier).groupBy(*ITEM).agg(F.max_by("p", last).alias("prev_p"), F.max_by("disc", last).alias("prev_disc"))
-    return cur.select(*ITEM).join(found, ITEM, "left")
+    own = Window.partitionBy("question_id")
+    cur = stats.select(*ITEM, "question_id", "exam_date", "p", "disc", F.struct(F.coalesce("exam_date", F.lit("")).alias("date"), "exam_id").alias("_at"))
+    cur = cur.withColumn("_no", F.dense_rank().over(own.orderBy("_at.date"))).withColumn("_last", F.max("_at").over(own))
+    before = own.orderBy("_no").rangeBetween(Window.unboundedPreceding, -1)
+    other = F.when(F.col("exam_id") != F.col("_last.exam_id"), F.col("_at"))
+    undated = F.coalesce("exam_date", F.lit("")) == ""
+    prev = lambda c: F.when(~undated, F.max_by(c, "_at").over(before)).when(F.col("exam_id") != F.col("_last.exam_id"), F.max_by(c, "_at").over(own)).otherwise(F.max_by(c, other).over(own))
+    return cur.select(*ITEM, prev("p").alias("prev_p"), prev("disc").alias("prev_disc"))

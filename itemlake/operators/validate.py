@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
+from itemlake.plans.scratch import materialise
 
 ISSUE = ["exam_id", "position", "code", "blocking", "message"]
 P_TOLERANCE = 1e-3
@@ -41,6 +42,12 @@ def _whole(df: DataFrame, code: str, blocking: bool, message: Column | str) -> D
     return _issues(df, code, blocking, message, F.lit(None))
 
 
+def _by_rules(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Issues of several rules (condition, code, blocking, message) in one pass over df."""
+    found = [F.when(rule, F.struct(F.lit(code).alias("code"), F.lit(blocking).alias("blocking"), (F.lit(text) if isinstance(text, str) else text).alias("message"))) for rule, code, blocking, text in rules]
+    return df.select("exam_id", F.col("position").cast("long").alias("position"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("exam_id", "position", "i.*")
+
+
 def header_issues(columns: DataFrame, required: Iterable[str] = ("position", "correct", "p", "disc")) -> DataFrame:
     """From columns (exam_id, role, key, n): missing fixed columns, and pattern columns missing, unknown or doubled. key is the pattern of a count column."""
     exams = columns.select("exam_id").distinct()
@@ -195,26 +202,32 @@ def finalize_checks(items: DataFrame, exams: DataFrame, status: DataFrame, famil
     status: question_id, status. families: question_id, family_id. neighbourhoods: choice_set_id,
     linked_id with each set linked to itself. Pair checks join within (exam, family) and (exam, set).
     """
-    it = items.join(status, "question_id", "left")
+    it = materialise(items.join(status, "question_id", "left"), "exam-items")  # read by every check
     e = exams.select(F.col("id").alias("exam_id"))
-    per = it.groupBy("exam_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(C.is_negative(F.col("stem_html"))).alias("neg"))
-    parts = [_whole(e.join(per, "exam_id", "left_anti"), "empty_exam", True, "no items")]
+    places = it.groupBy("exam_id", F.col("position").cast("long").alias("position")).agg(F.count(F.lit(1)).alias("n"), F.count_if(C.is_negative(F.col("stem_html"))).alias("neg"))
+    per = places.groupBy("exam_id").agg(  # an exam's positions
+        F.sum("n").alias("n"), F.sum("neg").alias("neg"), F.array_sort(F.collect_list("position")).alias("at"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("position")))).alias("twice"),
+    )
     total = F.lit(expected_positions).cast("long") if expected_positions is not None else F.col("n")
-    slots = per.select("exam_id", F.explode(F.when(total > 0, F.sequence(F.lit(1).cast("long"), total))).alias("position"))
-    gaps = slots.join(it.select("exam_id", F.col("position").cast("long").alias("position")).distinct(), ["exam_id", "position"], "left_anti")
-    gaps = gaps.groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("position")), lambda x: x.cast("string")), ",").alias("t"))
-    parts.append(_whole(gaps, "position_gap", True, _text("no item at ", F.col("t"))))
-    twice = it.groupBy("exam_id", "position").count().filter("count > 1").groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("position")), lambda x: x.cast("string")), ",").alias("t"))
-    parts.append(_whole(twice, "position_duplicate", True, _text("positions used twice: ", F.col("t"))))
-    parts.append(_issues(it.filter("status = 'draft'"), "draft_included", True, "a draft can't be asked"))
-    parts.append(_issues(it.filter("status = 'retired'"), "retired_included", False, "a retired question"))
-    need = C.required_count(F.col("item_type"))
-    keyed = it.filter(F.coalesce("correct", F.lit("")) != "")
-    parts.append(_issues(it.filter(F.coalesce("correct", F.lit("")) == ""), "no_correct", True, "no key"))
-    parts.append(_issues(keyed.filter("item_type is null"), "type_underivable", True, _text("type can't be derived: ", C.type_problem(F.col("stem_html")))))
-    parts.append(_issues(keyed.filter(F.length("correct") != need), "correct_count", True, _text(F.col("item_type"), " with ", F.length("correct"), " keys")))
-    again = it.withColumn("first", F.first("position").over(Window.partitionBy("exam_id", "question_id").orderBy("position"))).withColumn("r", F.row_number().over(Window.partitionBy("exam_id", "question_id").orderBy("position")))
-    parts.append(_issues(again.filter("r > 1"), "duplicate_question", True, _text("same question as position ", F.col("first"))))
+    gaps = F.array_except(F.when(total > 0, F.sequence(F.lit(1).cast("long"), total)), "at")
+    told = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    exam_rules = [
+        (F.size(gaps) > 0, "position_gap", True, _text("no item at ", told(gaps))), (F.size("twice") > 0, "position_duplicate", True, _text("positions used twice: ", told("twice"))),
+    ]
+    if limits.max_negative is not None:
+        exam_rules.append((F.col("neg") > limits.max_negative, "negative_over_limit", False, _text(F.col("neg"), " negative items")))
+    if limits.max_negative_ratio is not None:
+        exam_rules.append((F.col("neg") / F.col("n") > limits.max_negative_ratio, "negative_over_ratio", False, _text(F.col("neg"), " negative items of ", F.col("n"))))
+    same = Window.partitionBy("exam_id", "question_id").orderBy("position")
+    again = it.withColumn("first", F.first("position").over(same)).withColumn("r", F.row_number().over(same))
+    keyed, need = F.coalesce("correct", F.lit("")) != "", C.required_count(F.col("item_type"))
+    item_rules = [
+        (F.col("status") == "draft", "draft_included", True, "a draft can't be asked"), (F.col("status") == "retired", "retired_included", False, "a retired question"), (~keyed, "no_correct", True, "no key"),
+        (keyed & F.col("item_type").isNull(), "type_underivable", True, _text("type can't be derived: ", C.type_problem(F.col("stem_html")))),
+        (keyed & (F.length("correct") != need), "correct_count", True, _text(F.col("item_type"), " with ", F.length("correct"), " keys")),
+        (F.col("r") > 1, "duplicate_question", True, _text("same question as position ", F.col("first"))),
+    ]
+    parts = [_whole(e.join(per, "exam_id", "left_anti"), "empty_exam", True, "no items"), _by_rules(per.withColumn("position", F.lit(None)), exam_rules), _by_rules(again, item_rules)]
     fam = it.select("exam_id", "position", "question_id").join(families, "question_id")
     a, b = fam.select("exam_id", "family_id", F.col("position").alias("pa"), F.col("question_id").alias("qa")), fam.select("exam_id", "family_id", "position", "question_id")
     related = a.join(b, ["exam_id", "family_id"]).filter("position > pa and question_id <> qa")
@@ -224,10 +237,6 @@ def finalize_checks(items: DataFrame, exams: DataFrame, status: DataFrame, famil
         near = sets.select("exam_id", "choice_set_id").join(neighbourhoods, "choice_set_id").join(sets.select("exam_id", F.col("choice_set_id").alias("linked_id"), "n"), ["exam_id", "linked_id"])
         over = near.groupBy("exam_id", "choice_set_id").agg(F.sum("n").alias("n")).filter(F.col("n") > limits.max_per_set_group)
         parts.append(_whole(over, "set_group_over_limit", False, _text(F.col("n"), " items of set ", F.col("choice_set_id"), " and those near it")))
-    if limits.max_negative is not None:
-        parts.append(_whole(per.filter(F.col("neg") > limits.max_negative), "negative_over_limit", False, _text(F.col("neg"), " negative items")))
-    if limits.max_negative_ratio is not None:
-        parts.append(_whole(per.filter(F.col("neg") / F.col("n") > limits.max_negative_ratio), "negative_over_ratio", False, _text(F.col("neg"), " negative items of ", F.col("n"))))
     if limits.type_distribution:
         want = items.sparkSession.createDataFrame(list(limits.type_distribution.items()), "item_type string, want int")
         got = it.groupBy("exam_id", F.coalesce("item_type", F.lit("?")).alias("item_type")).agg(F.count(F.lit(1)).alias("got"))
