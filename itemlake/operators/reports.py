@@ -17,9 +17,10 @@ def crosswalk(items: DataFrame, dated: DataFrame, exams: DataFrame, questions: D
     last_exam_year is the latest year of all other exams of the question, later ones included.
     """
     e = exams.select(F.col("id").alias("exam_id"), C.exam_year(F.col("exam_date")).alias("year"))
-    asked = items.select(*ITEM, "question_id").join(e, "exam_id")
-    other = asked.select("question_id", F.col("exam_id").alias("o_exam"), F.col("year").alias("o_year"))
-    last = asked.join(other, "question_id").filter("o_exam <> exam_id").groupBy(*ITEM).agg(F.max("o_year").alias("last_exam_year"))
+    every = Window.partitionBy("question_id")
+    asked = items.select(*ITEM, "question_id").join(e, "exam_id").withColumn("at", F.struct("year", "exam_id")).withColumn("top", F.max("at").over(every))
+    next_ = F.max(F.when(F.col("exam_id") != F.col("top.exam_id"), F.col("at"))).over(every)
+    last = asked.select(*ITEM, F.when(F.col("exam_id") != F.col("top.exam_id"), F.col("top.year")).otherwise(next_["year"]).alias("last_exam_year"))
     return (
         items.join(last, ITEM, "left").join(previous_stats(dated), ITEM, "left").join(tags_of(questions, tags), "question_id", "left")
         .select("exam_id", "position", "question_id", "version_no", "item_type", C.is_negative(F.col("stem_html")).alias("negative"),

@@ -229,6 +229,51 @@ FROM {question_versions} v LEFT JOIN ok o ON o.choice_set_id = v.choice_set_id""
 }
 
 
+MORE |= {
+    "o_cells": "SELECT c.exam_id, c.position, c.pattern, CASE WHEN c.pattern = '' AND r.odd IS NOT NULL THEN TRY_CAST(r.odd AS DOUBLE) ELSE CAST(c.cnt AS DOUBLE) END AS cnt FROM {table_counts} c JOIN {table_rows} r ON r.exam_id = c.exam_id AND r.position = c.position WHERE NOT r.free",
+    "o_scanned": """SELECT r.*, t.total, t.counted, CASE WHEN r.exam_id % 2 = 0 THEN CAST(r.permille AS DOUBLE) / 10 / 100 ELSE CAST(r.permille AS DOUBLE) / 1000 END AS p_reported
+  FROM {table_rows} r LEFT JOIN (SELECT c.exam_id, c.position, coalesce(sum(c.cnt), 0) AS total, coalesce(sum(CASE WHEN c.pattern = q.correct THEN c.cnt END), 0) AS counted
+    FROM {o_cells} c JOIN {table_rows} q ON q.exam_id = c.exam_id AND q.position = c.position GROUP BY c.exam_id, c.position) t ON t.exam_id = r.exam_id AND t.position = r.position""",
+    "o_scan_exams": """SELECT x.exam_id, CASE WHEN x.exam_id % 2 = 1 THEN concat('exam ', x.exam_id) END AS exam_name, CASE WHEN x.exam_id % 2 = 1 THEN concat(x.exam_id, '-08-25') END AS exam_date,
+    CASE WHEN x.exam_id % 2 = 1 THEN x.n + CASE WHEN x.exam_id % 5 = 0 THEN 1 ELSE 0 END END AS n_examinees, s.derived_n, s.kinds, s.n_free, s.n_rows, s.n_items, s.total
+  FROM {exam_totals} x JOIN (SELECT exam_id, count(*) AS n_items, count(*) FILTER (WHERE free) AS n_free, count(*) FILTER (WHERE NOT free) AS n_rows, count(DISTINCT total) FILTER (WHERE NOT free) AS kinds, max(total) AS total,
+      CASE WHEN count(DISTINCT CAST(trunc(total) AS BIGINT)) FILTER (WHERE total <> 0) = 1 THEN max(CAST(trunc(total) AS BIGINT)) FILTER (WHERE total <> 0) END AS derived_n FROM {o_scanned} GROUP BY exam_id) s ON s.exam_id = x.exam_id""",
+    "o_scan_modal": "SELECT exam_id, total FROM (SELECT exam_id, total, row_number() OVER (PARTITION BY exam_id ORDER BY count(*) DESC, min(position)) AS rn FROM {o_scanned} WHERE NOT free GROUP BY exam_id, total) m WHERE rn = 1",
+}
+_OFF_GRID = "total > 0 AND NOT coalesce(abs(disc - round_even(disc * floor(trunc(total) * 0.25), 0) / floor(trunc(total) * 0.25)) <= 0.001, false)"
+SQL |= {
+    "scan_rows": f"SELECT exam_id, position, CASE WHEN free THEN '' ELSE correct END AS correct, {r('p_reported')}, CASE WHEN exam_id % 2 = 1 THEN n_correct END AS n_correct_reported, {r('disc')}, CASE WHEN free THEN 'non_mcq' ELSE 'mcq' END AS kind, {r('total')}, {r('counted')} FROM {{o_scanned}}",
+    "scan_counts": f"SELECT exam_id, position, pattern, {r('cnt')}, cnt IS NULL AS unreadable FROM {{o_cells}}",
+    "scan_columns": """SELECT x.exam_id, CAST(c.column_no AS BIGINT) AS column_no, c.role, c.key FROM {exam_totals} x JOIN (
+    SELECT 1 AS odd, k + 5 AS column_no, 'count' AS role, pattern AS key FROM {patterns} UNION ALL SELECT 0, k + 7, 'count', pattern FROM {patterns}
+    UNION ALL SELECT * FROM (VALUES (1, 0, 'position', NULL), (1, 1, 'correct', NULL), (1, 2, 'p', NULL), (1, 3, 'n_correct', NULL), (1, 4, 'disc', NULL), (0, 0, 'position', NULL), (0, 1, 'points', NULL),
+      (0, 2, 'adjustment', NULL), (0, 3, 'correct', NULL), (0, 4, 'p', NULL), (0, 5, 'disc', NULL), (0, 6, 'ignored', NULL)) AS t(odd, column_no, role, key)) c ON c.odd = x.exam_id % 2""",
+    "scan_meta": "SELECT exam_id, exam_name, exam_date, n_examinees, derived_n, coalesce(n_examinees, derived_n) AS effective_n, exam_id % 2 = 0 AS percent, CASE WHEN exam_id % 2 = 0 THEN 'ssdb' ELSE 'legacy' END AS dialect FROM {o_scan_exams}",
+    "validate_scan": f"""SELECT exam_id, CAST(NULL AS BIGINT) AS position, 'non_mcq_skipped' AS code, false AS blocking FROM {{o_scan_exams}} WHERE n_free > 0
+  UNION ALL SELECT exam_id, NULL, 'row_count', true FROM {{o_scan_exams}} WHERE n_rows <> n_items
+  UNION ALL SELECT exam_id, NULL, 'n_not_declared', false FROM {{o_scan_exams}} WHERE n_examinees IS NULL
+  UNION ALL SELECT exam_id, NULL, 'n_mismatch', true FROM {{o_scan_exams}} WHERE kinds = 1 AND CAST(trunc(total) AS BIGINT) <> n_examinees
+  UNION ALL SELECT exam_id, position, CASE odd WHEN 'x' THEN 'count_unreadable' WHEN '-2' THEN 'count_negative' ELSE 'count_not_integer' END, true FROM {{o_scanned}} WHERE odd IS NOT NULL AND NOT free
+  UNION ALL SELECT DISTINCT s.exam_id, CAST(NULL AS BIGINT), 'total_mismatch', true FROM {{o_scanned}} s JOIN {{o_scan_modal}} m ON m.exam_id = s.exam_id WHERE NOT s.free AND s.total <> m.total
+  UNION ALL SELECT exam_id, position, 'p_mismatch', true FROM {{o_scanned}} WHERE NOT free AND total > 0 AND abs(counted / total - p_reported) > 0.001
+  UNION ALL SELECT exam_id, position, 'disc_off_grid', false FROM {{o_scanned}} WHERE NOT free AND {_OFF_GRID}""",
+    "stored_key": SQL["answer_key"],
+    "stored_counts": "SELECT exam_id, qversion_id, pattern, CAST(cnt * CASE WHEN exam_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS cnt FROM {item_pattern_counts}",
+    "stored_stats": f"SELECT d.exam_id, d.qversion_id, {i('d.n', 'n')}, {r('d.p', 'p')}, f.flags FROM {{o_dated}} d JOIN {{o_flags}} f USING (exam_id, qversion_id)",
+    "stored_crosswalk": SQL["crosswalk"],
+    "resolve_printed": """WITH g AS (SELECT choice_set_id, string_agg(text_html, chr(31) ORDER BY text_html) AS sig, count(*) AS n FROM {choice_set_items} GROUP BY 1), old AS (SELECT sig, min(choice_set_id) AS id FROM g WHERE choice_set_id % 2 = 0 GROUP BY sig),
+new AS (SELECT sig, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY min(choice_set_id), sig) AS id FROM g WHERE n = 5 AND sig NOT IN (SELECT sig FROM old) GROUP BY sig),
+m AS (SELECT g.choice_set_id AS batch_key, CAST(coalesce(o.id, n.id) AS BIGINT) AS choice_set_id, o.id IS NULL AS created FROM g LEFT JOIN old o ON o.sig = g.sig LEFT JOIN new n ON n.sig = g.sig WHERE g.n = 5),
+p AS (SELECT m.*, i.text_html, row_number() OVER (PARTITION BY batch_key ORDER BY i.text_html) AS j FROM m JOIN {choice_set_items} i ON i.choice_set_id = m.batch_key),
+pk AS (SELECT *, row_number() OVER (PARTITION BY batch_key, text_html ORDER BY j) AS k FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY choice_set_id, text_html ORDER BY item_no) AS k FROM {choice_set_items}),
+u AS (SELECT pk.batch_key, pk.choice_set_id, pk.created, pk.j, CASE WHEN pk.created THEN pk.j ELSE s.item_no END AS no FROM pk LEFT JOIN s ON NOT pk.created AND s.choice_set_id = pk.choice_set_id AND s.text_html = pk.text_html AND s.k = pk.k)
+SELECT batch_key, choice_set_id, CASE WHEN count(no) = 5 AND count(DISTINCT no) = 5 THEN string_agg(CAST(no AS VARCHAR), '' ORDER BY j) END AS choice_order, created FROM u GROUP BY batch_key, choice_set_id, created""",
+    "report_order": f"SELECT exam_id, qversion_id, row_number() OVER (PARTITION BY exam_id ORDER BY {_RANK}, position) AS place FROM {{o_dated}}",
+    "term_order": "SELECT text_html, row_number() OVER (ORDER BY appearances DESC, text_html) AS place FROM {o_perf}",
+    "decode_flags": "SELECT exam_id, qversion_id, CAST(len(list_filter(string_split(flags, ','), lambda f: f <> '')) AS BIGINT) AS n_flags, array_to_string(list_filter(string_split(flags, ','), lambda f: f <> '') || ['a'], '|') AS back FROM {o_flags}",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql, MORE) for name, sql in SQL.items()}
 

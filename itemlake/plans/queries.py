@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
 from itemlake.operators import bank as M
@@ -15,7 +16,8 @@ from itemlake.operators import select as L
 from itemlake.operators import stats as S
 from itemlake.operators import validate as V
 from itemlake.sources import frequency, sinks, textruns
-from itemlake.plans.scratch import materialise
+from itemlake.plans.numbering import number_rows
+from itemlake.plans.scratch import materialise, new_folder
 from itemlake.sources.project import Bank
 
 PAGE_TAGS = ("p", "li")
@@ -203,6 +205,78 @@ def _parsed(v: Views) -> DataFrame:
     return V.parsed_issues(q.drop("choice_set_id"), choices).select("exam_id", "position", "code", "blocking")
 
 
+def _exam_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("exam_id", F.regexp_extract("file", "exam_id=([0-9]+)", 1).cast("long"))
+
+
+def _written(v: Views) -> frequency.Scan:
+    """The bank's frequency tables written for every exam, in both dialects, and scanned again."""
+    percent = F.col("exam_id") % 2 == 0
+    exams = v.exam_totals.select("exam_id", percent.alias("percent"), F.concat(F.lit("exam "), F.col("exam_id").cast("string")).alias("name"), F.concat(F.col("exam_id").cast("string"), F.lit("-08-25")).alias("exam_date"), (F.col("n") + F.when(F.col("exam_id") % 5 == 0, 1).otherwise(0)).alias("n_examinees"))
+    m = F.col("permille")
+    rate = F.when(percent, F.format_string("%d.%d", F.expr("permille div 10"), m % 10)).otherwise(F.format_string("%d.%03d", F.expr("permille div 1000"), m % 1000))
+    rows = v.table_rows
+    cells = v.table_counts.join(rows.select("exam_id", "position", "free", "odd"), ["exam_id", "position"])
+    cell = F.when(F.col("free"), "-").when((F.col("pattern") == C.BLANK) & F.col("odd").isNotNull(), F.col("odd")).otherwise(F.col("cnt").cast("string"))
+    folder = new_folder(v.spark, "frequency")
+    sinks.write_frequency_tables(rows.withColumn("p", rate), cells.withColumn("cell", cell), exams, folder)
+    return frequency.scan_item_stats(v.spark, folder)
+
+
+def _scan_rows(v: Views) -> DataFrame:
+    s = _written(v)
+    totals = s.rows.select("file", "line_no", "total", "counted")
+    return _exam_of(s.all_rows.join(totals, ["file", "line_no"], "left")).select("exam_id", "position", "correct", "p_reported", "n_correct_reported", "disc", "kind", "total", "counted")
+
+
+def _scan_meta(v: Views) -> DataFrame:
+    s = _written(v)
+    return _exam_of(s.meta.join(s.examinees, "file").join(s.dialects, "file")).select("exam_id", "exam_name", "exam_date", "n_examinees", "derived_n", "effective_n", "percent", "dialect")
+
+
+def _validate_scan(v: Views) -> DataFrame:
+    s = _written(v)
+    free = _exam_of(s.non_mcq).groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_non_mcq"))
+    issues = V.validate_stats(_exam_of(s.rows), v.exam_items, _exam_of(s.counts), _exam_of(s.columns), _exam_of(s.meta).select("exam_id", "n_examinees"), free)
+    return issues.select("exam_id", "position", "code", "blocking")
+
+
+def _stored_key(v: Views) -> DataFrame:
+    folder = new_folder(v.spark, "keys")
+    sinks.write_answer_key(v.exam_items, folder)
+    return _exam_of(frequency.read_answer_key(v.spark, folder)).select("exam_id", "position", "correct")
+
+
+def _stored_counts(v: Views) -> DataFrame:
+    """Pattern counts stored, and those of some exams replaced."""
+    folder = new_folder(v.spark, "stored-counts")
+    sinks.write_pattern_counts(v.item_pattern_counts, folder)
+    sinks.write_pattern_counts(v.item_pattern_counts.filter("exam_id % 4 = 0").withColumn("cnt", F.col("cnt") * 2), folder)
+    return v.spark.read.parquet(folder).select("exam_id", "qversion_id", "pattern", "cnt")
+
+
+def _stored_stats(v: Views) -> DataFrame:
+    folder = new_folder(v.spark, "stored-stats")
+    sinks.write_item_stats(v.dated.join(v.flags, S.ITEM).select(*S.ITEM, "n", "p", "flags"), folder)
+    return v.spark.read.parquet(folder).select(*S.ITEM, "n", "p", "flags")
+
+
+def _stored_crosswalk(v: Views) -> DataFrame:
+    """The crosswalk table written as CSV with others, and read back."""
+    folder, table = new_folder(v.spark, "tables"), R.crosswalk(v.items, v.dated, v.exams, v.questions, v.question_tags)
+    sinks.write_tables({"crosswalk": table, "flags": R.flag_report(v.report)}, folder, "csv")
+    kinds = ", ".join(f"{c} {'string' if t.startswith('array') else t}" for c, t in table.dtypes)
+    return v.spark.read.schema(kinds).option("header", True).csv(f"{folder}/crosswalk")
+
+
+def _resolved(v: Views) -> DataFrame:
+    """Sets in print again, with spaces around their texts, against every other set of the bank."""
+    items = v.choice_set_items.filter("choice_set_id % 2 = 0")
+    sets = M.set_signatures(items).select(F.col("choice_set_id").alias("id"), "signature").groupBy("signature").agg(F.min("id").alias("id")).select("id", "signature")
+    batch = _printed(v).withColumn("texts", F.transform("texts", lambda t: F.concat(F.lit(" "), t, F.lit("  "))))
+    return M.resolve_printed(sets, items, batch)[2].select("batch_key", "choice_set_id", "choice_order", "created")
+
+
 _CANDIDATE = ["question_id", "qversion_id", "correct", "choice_set_id", "status", "item_type", "negative", "tags", "last_exam_year", "times_used", "p", "disc", "flags"]
 
 _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
@@ -291,6 +365,19 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "correct_issues": _odd_keys,
     "header_issues": _headers,
     "parsed_issues": _parsed,
+    "scan_rows": _scan_rows,
+    "scan_counts": lambda v: _exam_of(_written(v).counts).select("exam_id", "position", "pattern", "cnt", "unreadable"),
+    "scan_columns": lambda v: _exam_of(_written(v).columns).select("exam_id", F.col("i").alias("column_no"), "role", "key"),
+    "scan_meta": _scan_meta,
+    "validate_scan": _validate_scan,
+    "stored_key": _stored_key,
+    "stored_counts": _stored_counts,
+    "stored_stats": _stored_stats,
+    "stored_crosswalk": _stored_crosswalk,
+    "resolve_printed": _resolved,
+    "report_order": lambda v: v.report.select(*S.ITEM, F.row_number().over(Window.partitionBy("exam_id").orderBy(*R.report_order()[1:])).alias("place")),
+    "term_order": lambda v: number_rows(R.item_performance(v.appearances).select(F.col("text_html"), (-F.col("appearances")).alias("fewer")), ["fewer", "text_html"], "place").select("text_html", "place"),
+    "decode_flags": lambda v: v.flags.select(*S.ITEM, F.size(C.decode_flags(C.encode_flags(F.col("flags")))).alias("n_flags"), F.array_join(C.decode_flags(F.concat(C.encode_flags(F.col("flags")), F.lit(",a,,"))), "|").alias("back")),
     "rename_tags": lambda v: M.rename_tags(v.question_tags, v.question_tags.select("tag", F.concat(F.substring("tag", 1, 7), F.lit("*")).alias("new_tag")).distinct()),
 }
 

@@ -43,6 +43,19 @@ SELECT e.exam_id, e.position, e.qversion_id, CASE WHEN e.position % 19 = 0 THEN
   round(CAST(sum(CASE WHEN c.pattern = e.correct_asked THEN c.cnt ELSE 0 END) AS DOUBLE) / sum(c.cnt), 3) + CASE WHEN e.position % 29 = 0 THEN 0.01 ELSE 0 END AS p_reported,
   CASE WHEN e.position % 31 = 0 THEN '全員正解' ELSE 'none' END AS adjustment, sum(c.cnt) AS total
 FROM {exam_items} e JOIN {item_pattern_counts} c ON c.exam_id = e.exam_id AND c.qversion_id = e.qversion_id GROUP BY e.exam_id, e.position, e.qversion_id, e.correct_asked""",
+    # frequency tables as they come from a marking system: all items of an exam have one total, some have no options
+    "item_totals": "SELECT exam_id, qversion_id, CAST(sum(cnt) AS BIGINT) AS total FROM {item_pattern_counts} GROUP BY exam_id, qversion_id",
+    "exam_totals": "SELECT exam_id, max(total) AS n FROM {item_totals} GROUP BY exam_id",
+    "table_counts": """
+SELECT e.exam_id, e.position, p.pattern, CAST(coalesce(c.cnt, 0) + CASE WHEN p.pattern = '' THEN n.n - t.total ELSE 0 END AS BIGINT) AS cnt
+FROM {exam_items} e CROSS JOIN {patterns} p JOIN {item_totals} t ON t.exam_id = e.exam_id AND t.qversion_id = e.qversion_id JOIN {exam_totals} n ON n.exam_id = e.exam_id
+LEFT JOIN {item_pattern_counts} c ON c.exam_id = e.exam_id AND c.qversion_id = e.qversion_id AND c.pattern = p.pattern""",
+    "table_rows": """
+SELECT e.exam_id, e.position, CASE WHEN e.position % 25 = 0 THEN '記述式' ELSE e.correct_asked END AS correct, e.position % 25 = 0 AS free,
+  CASE WHEN e.exam_id % 3 = 0 AND e.position % 40 = 3 THEN 'x' WHEN e.exam_id % 3 = 0 AND e.position % 40 = 5 THEN '-2' WHEN e.exam_id % 3 = 0 AND e.position % 40 = 7 THEN '0.5' END AS odd,
+  c.cnt AS n_correct, CAST(floor(c.cnt * 1000 / n.n) AS BIGINT) AS permille, d.disc
+FROM {exam_items} e JOIN {table_counts} c ON c.exam_id = e.exam_id AND c.position = e.position AND c.pattern = e.correct_asked JOIN {exam_totals} n ON n.exam_id = e.exam_id
+JOIN {item_disc} d ON d.exam_id = e.exam_id AND d.qversion_id = e.qversion_id""",
 }
 
 
