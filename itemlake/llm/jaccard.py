@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.llm.textarrays import Slice, Words, all_spans, mixed, slices, span_hash, span_prefix, words
-from itemlake.llm.tiles import classes_of, count_links, groups, stars
+from itemlake.llm.tiles import classes_of, count_links, groups, local_components
 from itemlake.operators.graph import connected_components
 from itemlake.plans.scratch import materialise
 
@@ -134,9 +134,18 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
             alike = np.zeros((len(ids), len(ids)), np.int16)
             for j in range(COORDINATES):
                 alike += sig[:, None, j] == sig[None, :, j]
-            a, b = stars(ids, alike >= near * COORDINATES)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            chunk = table.column("chunk").to_numpy()
+            close = alike >= near * COORDINATES
+            inside = local_components(close & (chunk[:, None] == chunk[None, :]))
+            if table.column("tile_a")[0] == table.column("tile_b")[0]:
+                low = inside
+                heads = np.arange(len(ids))
+            else:  # each chunk's own tile tells its parts; this one adds what joins parts of the two
+                low = local_components(close)
+                heads = np.unique(inside)
+            take = heads[low[heads] != heads]
+            if len(take):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(ids[low[take]])], ["a", "b"])
 
     def alike(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return (sig := _sig(batch.column("sig"))), (sig == _sig(batch.column("pivot_sig"))).mean(1)
@@ -168,7 +177,7 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
             members.withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
             .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
             .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-            .select("node", F.least("chunk", "other").alias("tile_a"), F.greatest("chunk", "other").alias("tile_b"), "rep", "sig")
+            .select("node", F.least("chunk", "other").alias("tile_a"), F.greatest("chunk", "other").alias("tile_b"), "chunk", "rep", "sig")
         )
         keys = ["node", "tile_a", "tile_b"]
         found = tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")

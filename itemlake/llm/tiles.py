@@ -29,13 +29,6 @@ def local_components(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, smallest id of its component) that connect what the matrix connects; ids ascend."""
-    low = ids[local_components(linked)]
-    take = low != ids
-    return ids[take], low[take]
-
-
 def in_tiles(members: DataFrame, tile: int) -> DataFrame:
     """members (cluster, id, band, ...) dealt to tiles: adds tile_a <= tile_b and chunk.
 
