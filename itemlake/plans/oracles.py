@@ -274,6 +274,37 @@ SELECT batch_key, choice_set_id, CASE WHEN count(no) = 5 AND count(DISTINCT no)
 }
 
 
+_GREEDY = """WITH RECURSIVE reach(q, f) AS (SELECT a, b FROM {o_edges} UNION SELECT r.q, e.b FROM reach r JOIN {o_edges} e ON e.a = r.f), fam AS (SELECT q, min(f) AS f FROM reach GROUP BY q),
+grp AS (SELECT s AS choice_set_id, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS group_key FROM {o_near} GROUP BY s),
+rq AS (SELECT * FROM (VALUES (1, 30, NULL, 2, NULL, MAP {'A': 5, 'X2': 10, 'X3': 10}, NULL), (2, 50, NULL, 2, 3, NULL, MAP {'Brand#13': 5, 'Brand#11': 7}), (3, 20, 4, 1, NULL, NULL, NULL)) AS t(request_id, total, new_target, most_group, most_negative, types, tags)),
+c AS (SELECT p.question_id, p.qversion_id, p.item_type, string_split(p.tags, ',') AS c_tags, p.p IS NULL AS is_new, p.negative, f.f AS family, g.group_key, row_number() OVER (ORDER BY p.times_used, coalesce(p.last_exam_year, -1), p.question_id) AS ord
+  FROM {o_pool} p JOIN fam f ON f.q = p.question_id JOIN grp g ON g.choice_set_id = p.choice_set_id),
+run(request_id, turn, n, place, took, fams, groups, kinds, used, neg, fresh) AS (
+  SELECT request_id, CASE WHEN new_target > 0 THEN 1 ELSE 2 END, 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0, 0 FROM rq
+  UNION ALL
+  SELECT request_id, CASE WHEN b IS NULL THEN 2 ELSE turn END, CASE WHEN b IS NULL THEN n ELSE n + 1 END, CASE WHEN b IS NULL THEN 0 ELSE b.ord END, b.ord,
+    CASE WHEN b IS NULL THEN fams ELSE fams || [b.family] END, CASE WHEN b IS NULL THEN groups ELSE groups || [b.group_key] END, CASE WHEN b IS NULL THEN kinds ELSE kinds || [b.item_type] END,
+    CASE WHEN b.tag IS NULL THEN used ELSE used || [b.tag] END, neg + CASE WHEN b.negative THEN 1 ELSE 0 END, fresh + CASE WHEN b.is_new THEN 1 ELSE 0 END
+  FROM (SELECT s.request_id, s.turn, s.n, s.fams, s.groups, s.kinds, s.used, s.neg, s.fresh,
+      arg_min({'ord': c.ord, 'family': c.family, 'group_key': c.group_key, 'item_type': c.item_type, 'negative': c.negative, 'is_new': c.is_new,
+               'tag': list_min(list_filter(c.c_tags, lambda t: coalesce(r.tags[t], 0) > len(list_filter(s.used, lambda u: u = t))))}, c.ord) FILTER (WHERE
+        c.ord > s.place AND (s.turn = 2 OR c.is_new) AND NOT list_contains(s.fams, c.family) AND NOT (c.is_new AND r.new_target IS NOT NULL AND s.fresh >= r.new_target)
+        AND NOT (c.negative AND r.most_negative IS NOT NULL AND s.neg >= r.most_negative) AND len(list_filter(s.groups, lambda x: x = c.group_key)) < r.most_group
+        AND (r.types IS NULL OR len(list_filter(s.kinds, lambda x: x = c.item_type)) < coalesce(r.types[c.item_type], 0))
+        AND (r.tags IS NULL OR len(list_filter(c.c_tags, lambda t: coalesce(r.tags[t], 0) > len(list_filter(s.used, lambda u: u = t)))) > 0)) AS b
+    FROM run s JOIN rq r ON r.request_id = s.request_id CROSS JOIN c WHERE s.n < r.total GROUP BY s.request_id, s.turn, s.n, s.fams, s.groups, s.kinds, s.used, s.neg, s.fresh) q
+  WHERE b IS NOT NULL OR turn = 1)"""
+SQL |= {
+    "select_candidates": _GREEDY + """ SELECT CAST(run.request_id AS BIGINT) AS request_id, CAST(run.n AS BIGINT) AS seq, c.question_id, c.qversion_id, c.item_type FROM run JOIN c ON c.ord = run.took""",
+    "unmet": _GREEDY + """, fin AS (SELECT DISTINCT ON (request_id) * FROM run ORDER BY request_id, n DESC, turn DESC),
+short AS (SELECT r.request_id, 'total' AS kind, '' AS key, r.total - f.n AS shortfall FROM rq r JOIN fin f USING (request_id)
+  UNION ALL SELECT r.request_id, 'new', '', r.new_target - f.fresh FROM rq r JOIN fin f USING (request_id) WHERE r.new_target IS NOT NULL
+  UNION ALL SELECT request_id, 'type', k, types[k] - len(list_filter(kinds, lambda x: x = k)) FROM (SELECT r.request_id, r.types, f.kinds, unnest(map_keys(r.types)) AS k FROM rq r JOIN fin f USING (request_id) WHERE r.types IS NOT NULL) a
+  UNION ALL SELECT request_id, 'tag', k, tags[k] - len(list_filter(used, lambda x: x = k)) FROM (SELECT r.request_id, r.tags, f.used, unnest(map_keys(r.tags)) AS k FROM rq r JOIN fin f USING (request_id) WHERE r.tags IS NOT NULL) b)
+SELECT CAST(request_id AS BIGINT) AS request_id, kind, key, CAST(shortfall AS BIGINT) AS shortfall FROM short WHERE shortfall > 0""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql, MORE) for name, sql in SQL.items()}
 
