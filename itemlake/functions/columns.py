@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import json
+from html import entities
+
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -33,12 +37,31 @@ def pattern_order(pattern: Column) -> Column:
 # --- markup -----------------------------------------------------------------------------------
 
 
-def strip_tags(html: Column) -> Column:
-    """Text without tags and comments, with the three basic entities and &quot; &#39; decoded."""
-    s = F.regexp_replace(html, "(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    return s
+def _reference(piece: Column) -> Column:
+    """A text that begins with & with the character reference there, if it is one, decoded."""
+    number = F.coalesce(
+        F.regexp_extract(piece, "^&#([0-9]{1,9})", 1).try_cast("long"), F.conv(F.nullif(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,8})", 1), F.lit("")), 16, 10).cast("long"),
+    )
+    high = F.try_element_at(F.array(*[F.lit(html.unescape(f"&#{n};")) for n in range(0x80, 0xA0)]), (number - 0x7F).cast("int"))
+    char = (
+        F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd").when(number.between(0x80, 0x9F), high)
+        .when(number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127), "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    )
+    full = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
+    short = F.regexp_extract(piece, f"^&({'|'.join(sorted((n for n in entities.html5 if not n.endswith(';')), key=len, reverse=True))})", 1)
+    names = F.from_json(F.lit(json.dumps(entities.html5)), "map<string,string>")
+    named = lambda name: F.concat(F.try_element_at(names, name), F.substr(piece, F.length(name) + 2))
+    return (
+        F.when(number.isNotNull(), F.concat(char, F.regexp_replace(piece, "^&#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
+        .when(F.try_element_at(names, full).isNotNull(), named(full)).when(short != "", named(short)).otherwise(piece)
+    )
+
+
+def strip_tags(html_text: Column) -> Column:
+    """Text without tags and comments, with all character references decoded once: numbers, HTML's names, and those of them that need no semicolon."""
+    s = F.regexp_replace(html_text, "(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>", "")
+    pieces = F.transform(F.split(s, "(?=&)"), lambda p: F.when(F.startswith(p, F.lit("&")), _reference(p)).otherwise(p))
+    return F.when(F.contains(s, F.lit("&")), F.array_join(pieces, "")).otherwise(s)
 
 
 def has_tag(html: Column, tag: str) -> Column:

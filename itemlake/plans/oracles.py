@@ -305,6 +305,27 @@ SELECT CAST(request_id AS BIGINT) AS request_id, kind, key, CAST(shortfall AS BI
 }
 
 
+_MARKUP = "regexp_replace(html, '<!--.*?-->|<[A-Za-z/!?][^>]*>', '', 'gs')"
+_NAMED = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&copy;?", "©"), ("&middot;?", "·"))
+_DECODED = _MARKUP
+for _name, _char in _NAMED:
+    _DECODED = f"regexp_replace({_DECODED}, '{_name}', '{_char}', 'g')"
+MORE |= {
+    # & itself last, so that what it makes isn't decoded again
+    "o_plain": f"SELECT page_id, regexp_replace({_DECODED}, '&amp;?', '&', 'g') AS t FROM {{pages}}",
+    "o_prop_rows": """SELECT CASE WHEN n % 6 = 0 OR n % 6 = 1 OR n % 7 = 0 THEN 'strong' END AS f1, CASE WHEN n % 5 = 0 THEN 'i' END AS f2, CASE WHEN n = 2 THEN 'sup' END AS f3,
+    CASE WHEN n % 11 = 0 THEN 'underline' END AS u1, CASE WHEN n > 12 THEN 'strike' END AS u2, CASE n % 4 WHEN 0 THEN 'size=10.5pt' WHEN 1 THEN 'size=12pt' END AS u3, CASE WHEN n % 9 = 0 THEN 'color=FF0000' END AS u4,
+    CASE WHEN n = 6 THEN 'highlight=YELLOW' END AS u5, CASE WHEN n = 3 THEN 'all_caps' END AS u6, CASE n % 6 WHEN 0 THEN 'ＭＳ ゴシック' WHEN 1 THEN 'MS Gothic' WHEN 2 THEN 'ＭＳ 明朝' ELSE 'none' END AS ea,
+    CASE WHEN n % 3 = 0 THEN 'Times New Roman' ELSE 'none' END AS asc_, n FROM (SELECT length(text) AS n FROM {o_runs}) w""",
+}
+SQL |= {
+    "strip_tags": "SELECT page_id, length(t) AS n, md5(t) AS text_md5 FROM {o_plain}",
+    "run_formats": "SELECT concat_ws('+', f1, f2, f3) AS formats, concat_ws('+', u1, u2, u3, u4, u5, u6) AS unexpected, count(*) AS n_runs FROM {o_prop_rows} GROUP BY 1, 2",
+    "font_census": """SELECT entry, count(*) AS n_runs FROM (SELECT unnest(list_filter([concat('eastAsia=', ea), concat('ascii=', asc_), CASE WHEN n % 7 = 0 THEN 'bold' END, CASE WHEN n % 5 = 0 THEN 'italic' END, CASE WHEN n = 2 THEN 'sup' END,
+    u1, u2, string_split(u3, '=')[1], string_split(u4, '=')[1], string_split(u5, '=')[1], u6], lambda x: x IS NOT NULL)) AS entry FROM {o_prop_rows} WHERE n > 0) e GROUP BY entry""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql, MORE) for name, sql in SQL.items()}
 

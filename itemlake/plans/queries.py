@@ -205,6 +205,15 @@ def _parsed(v: Views) -> DataFrame:
     return V.parsed_issues(q.drop("choice_set_id"), choices).select("exam_id", "position", "code", "blocking")
 
 
+def _properties(v: Views) -> DataFrame:
+    """Words as runs with the properties that a word processor stores."""
+    n = F.length("text")
+    return v.runs.drop("formats").withColumns({
+        "bold": n % 7 == 0, "italic": n % 5 == 0, "superscript": n == 2, "underline": n % 11 == 0, "strike": n > 12, "all_caps": n == 3, "size": F.when(n % 4 == 0, 10.5).when(n % 4 == 1, 12.0),
+        "east_asia": F.when(n % 6 == 0, "ＭＳ ゴシック").when(n % 6 == 1, "MS Gothic").when(n % 6 == 2, "ＭＳ 明朝"), "ascii_name": F.when(n % 3 == 0, "Times New Roman"), "color": F.when(n % 9 == 0, "FF0000"), "highlight": F.when(n == 6, "YELLOW"),
+    })
+
+
 def _exam_of(df: DataFrame) -> DataFrame:
     return df.withColumn("exam_id", F.regexp_extract("file", "exam_id=([0-9]+)", 1).cast("long"))
 
@@ -344,6 +353,8 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "choice_orders": lambda v: v.question_versions.select("id", C.correct_to_item_nos(F.col("correct"), F.col("choice_order")).alias("nos"), C.item_nos_to_correct(C.correct_to_item_nos(F.col("correct"), F.col("choice_order")), F.col("choice_order")).alias("back"), C.is_choice_order(F.col("choice_order")).alias("valid"), C.label_to_item_no(F.lit("b"), F.col("choice_order")).alias("b_is"), C.item_no_to_label(F.lit(2), F.col("choice_order")).alias("two_is")),
     "merge_runs": lambda v: textruns.merge_runs(v.runs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("islands"), F.sum(F.length("text")).alias("chars"), F.sum(F.size("formats")).alias("formats")),
     "format_census": lambda v: textruns.format_census(v.runs),
+    "font_census": lambda v: textruns.font_census(_properties(v)),
+    "run_formats": lambda v: textruns.run_formats(_properties(v)).groupBy(F.array_join("formats", "+").alias("formats"), F.array_join("unexpected", "+").alias("unexpected")).agg(F.count(F.lit(1)).alias("n_runs")),
     "fragment_html": lambda v: textruns.fragment_html(textruns.merge_runs(v.runs)).select("doc_id", "paragraph", F.md5(F.col("html").cast("binary")).alias("html_md5")),
     "segment_questions": lambda v: textruns.segment_questions(textruns.drop_noise(v.paragraphs)[0]).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")),
     "upsert_choice_sets": _upsert,

@@ -10,6 +10,7 @@ from itemlake.functions import columns as C
 
 PARAGRAPH = ["doc_id", "paragraph"]
 # Line and marker patterns of the document format.
+GOTHIC = ("ゴシック", "gothic")
 NOISE = ("^\\s*[0-9]+\\s*$", "^[\\s　]*[<＜]\\s*以上", "学年.*番号.*氏名", "^[\\s　]*氏\\s*名[\\s　]*$")
 QUESTION = "^[\\s　]*([0-9０-９]{1,3})[.．、]?[\\s　]+(?=\\S)"
 CHOICE = "^[\\s　]*([ａ-ｅa-e])[.．、]?[\\s　]*"
@@ -70,6 +71,37 @@ def segment_questions(paragraphs: DataFrame) -> DataFrame:
     return p.select("doc_id", "paragraph", F.last("number", ignorenulls=True).over(upto).alias("number"), kind.alias("kind"), F.when(F.col("mark") == "choice", F.col("label")).alias("label"), body.alias("text"))
 
 
+def run_formats(runs: DataFrame) -> DataFrame:
+    """runs with formats and unexpected, from the columns of a document's run properties that are there.
+
+    bold, italic, superscript, subscript, underline, strike, all_caps (boolean), east_asia, ascii_name,
+    color, highlight (string), size (points). A bold run or one in a gothic font is strong; what no tag
+    stands for is unexpected, as name or name=value.
+    """
+    has = set(runs.columns)
+    on = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in has else F.lit(False)
+    value = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
+    font = F.lower(C.narrow(F.coalesce(value("east_asia"), F.lit(""))))
+    gothic = F.contains(font, F.lit(GOTHIC[0])) | F.contains(font, F.lit(GOTHIC[1]))
+    tags = F.array(F.when(gothic | on("bold"), "strong"), F.when(on("italic"), "i"), F.when(on("superscript"), "sup"), F.when(on("subscript"), "sub"))
+    size = F.regexp_replace(value("size"), r"\.0+$", "")
+    odd = F.array(
+        F.when(on("underline"), "underline"), F.when(on("strike"), "strike"), F.concat(F.lit("size="), size, F.lit("pt")), F.concat(F.lit("color="), value("color")),
+        F.concat(F.lit("highlight="), value("highlight")), F.when(on("all_caps"), "all_caps"),
+    )
+    return runs.withColumn("formats", F.array_compact(tags)).withColumn("unexpected", F.array_compact(odd))
+
+
+def font_census(runs: DataFrame) -> DataFrame:
+    """entry, n_runs over runs with text: fonts of both scripts, and every property that is set, with values left out."""
+    has = set(runs.columns)
+    fonts = [F.concat(F.lit(f"{label}="), F.coalesce(F.col(c), F.lit("none"))) for label, c in (("eastAsia", "east_asia"), ("ascii", "ascii_name")) if c in has]
+    flags = [F.when(F.col(c), name) for c, name in (("bold", "bold"), ("italic", "italic"), ("superscript", "sup"), ("subscript", "sub")) if c in has]
+    known = run_formats(runs.filter(F.coalesce("text", F.lit("")) != ""))
+    found = F.concat(F.array_compact(F.array(*fonts, *flags)), F.transform("unexpected", lambda u: F.substring_index(u, "=", 1)))
+    return known.select(F.explode(found).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
 def format_census(runs: DataFrame) -> DataFrame:
     """format, n_runs, n_chars: each format of a run counts, 'plain' where it has none."""
     f = _formats()

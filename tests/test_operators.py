@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +68,24 @@ def test_columns(spark):
     assert f(lambda c: C.encode_flags(C.decode_flags(c)), "b,a,,b") == "a,b"
     assert f(C.exam_year, "2025-08-25") == 2025 and f(C.exam_year, "x") is None
     assert spark.createDataFrame([(0.525, "X2", 0.529, True)], "p double, k string, d double, n boolean").select(C.candidate_label(F.col("p"), F.col("k"), F.col("d"), F.col("n")).alias("x")).first().x.startswith("正答率52%(X2) D=0.529")
-    assert C.all_patterns(spark).count() == 31
+    assert [(r.pattern, r.ord, r.size) for r in C.all_patterns(spark).orderBy("ord").collect()] == [("".join(p), i, len(p)) for i, p in enumerate(p for k in range(1, 6) for p in combinations("abcde", k))]
+
+
+def test_nfkc_of_whole_texts(spark, sf_dir):
+    import unicodedata
+
+    odd = "①ﾊﾟＡｂ　ﬁ㍿e\u0301"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("text", F.lit(odd)).alias("text"))
+    rows = docs.select("text", C.nfkc(F.col("text")).alias("x")).collect()
+    assert rows and all(r.x == (None if r.text is None else unicodedata.normalize("NFKC", r.text)) for r in rows)
+
+
+def test_character_references(spark):
+    import html
+
+    said = ["a &lt;b&gt; &amp;lt; &amp;amp;", "&#233;&#xE9;&#Xe9;&#128;&#0;&#55296;&#1114112;&#39", "&copy &notit; &notin; &nosuch; &am &amp", "&&&#12;x&", "&Eacute;&hellip;&ndash;&nbsp;x", "no", "", "&#x1F600;&acE;&lt&gt"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", C.strip_tags(F.col("t")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: html.unescape(t) for i, t in enumerate(said)}
 
 
 def table(rows: dict[str, dict[str, float]], legacy: bool = True, keys: str = "b") -> str:
