@@ -326,6 +326,23 @@ SQL |= {
 }
 
 
+SQL |= {
+    "import_exams": f"""WITH imp AS (SELECT t.exam_id, t.position, t.item_type FROM {{o_items}} t JOIN (SELECT choice_set_id FROM {{choice_set_items}} GROUP BY 1 HAVING count(*) = 5) s ON s.choice_set_id = t.choice_set_id WHERE t.exam_id % 2 = 1 OR t.item_type IS NOT NULL),
+per AS (SELECT exam_id, count(*) FILTER (WHERE item_type IS NOT NULL) AS n_items, bool_or(item_type IS NULL) AS refused FROM imp GROUP BY exam_id),
+st AS (SELECT i.exam_id, count(*) AS n_stats, max(x.n) AS n, sum(CAST(r.n_correct AS DOUBLE) / x.n) AS sum_p FROM imp i JOIN per p ON p.exam_id = i.exam_id AND NOT p.refused JOIN {{table_rows}} r ON r.exam_id = i.exam_id AND r.position = i.position JOIN {{exam_totals}} x ON x.exam_id = i.exam_id GROUP BY i.exam_id)
+SELECT e.id AS exam_id, CASE WHEN st.exam_id IS NOT NULL THEN 'imported' WHEN per.refused THEN 'draft' ELSE 'finalized' END AS status, st.n AS n_examinees, nullif(per.n_items, 0) AS n_items, st.n_stats, {r('st.sum_p', 'sum_p')}
+FROM {{exams}} e LEFT JOIN per ON per.exam_id = e.id LEFT JOIN st ON st.exam_id = e.id""",
+    "choice_emphasis": _EMPHASIS.replace("{src}", "{o_items}") + " UNION ALL SELECT t.exam_id, t.position, 'emphasis_in_choice', false FROM {o_items} t JOIN {choice_set_items} s ON s.choice_set_id = t.choice_set_id WHERE s.choice_set_id % 4 = 0 AND s.item_no = 3",
+    "bank_filters": "WITH live AS (SELECT * FROM {o_cand} WHERE status <> 'retired') " + " UNION ALL ".join(
+        f"SELECT '{name}' AS condition, question_id FROM {src} WHERE {rule}" for name, src, rule in (
+            ("tag", "live", "list_contains(string_split(tags, ','), 'Brand#13')"), ("type", "live", "item_type = 'X2'"), ("negative", "live", "negative"), ("plain", "live", "NOT negative"), ("p_max", "live", "p <= 0.4"), ("disc", "live", "disc >= 0.3"),
+            ("flag", "live", "list_contains(string_split(flags, ','), 'no_stats')"), ("year", "live", "last_exam_year = 1998"), ("unused", "live", "last_exam_year IS NULL"), ("set", "live", "choice_set_id = 7"), ("retired", "{o_cand}", "true"),
+            ("several", "live", "item_type = 'X3' AND p BETWEEN 0.1 AND 0.8 AND NOT negative AND status <> 'draft'"),
+        )
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql, MORE) for name, sql in SQL.items()}
 

@@ -278,6 +278,41 @@ def _stored_crosswalk(v: Views) -> DataFrame:
     return v.spark.read.schema(kinds).option("header", True).csv(f"{folder}/crosswalk")
 
 
+def _imported(v: Views) -> DataFrame:
+    """Every exam of the bank imported anew into an empty one, with uniform totals; odd exams with the questions whose type can't be told."""
+    parsed = v.items.filter("exam_id % 2 = 1 or item_type is not null").join(_printed(v).withColumnRenamed("batch_key", "choice_set_id"), "choice_set_id")
+    parsed = materialise(parsed.select("exam_id", "position", "qversion_id", "stem_html", "texts", "correct"), "parsed")
+    none = lambda s: v.spark.createDataFrame([], s)
+    bank = {
+        "sets": none("id long, signature string"), "set_items": none("choice_set_id long, item_no long, text_html string"), "questions": v.questions.filter("false"), "versions": v.question_versions.filter("false"),
+        "exam_items": v.exam_items.filter("false"), "exams": v.exams.withColumn("status", F.lit("draft")),
+    }
+    rows = parsed.select("exam_id", "position", "correct").join(v.exam_totals, "exam_id").withColumn("total", F.col("n").cast("double")).drop("n")
+    counts = v.table_counts.join(parsed.select("exam_id", "position"), ["exam_id", "position"], "left_semi").filter("cnt > 0")
+    new, _ = M.import_exams(bank, parsed.select("exam_id", "position", "stem_html", "texts"), rows, counts, none("exam_id long, qversion_id long, disc double"))
+    items = new["exam_items"].groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_items"))
+    stats = new["stats"].groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_stats"), F.sum("p").alias("sum_p"))
+    return new["exams"].select(F.col("id").alias("exam_id"), "status", "n_examinees").join(items, "exam_id", "left").join(stats, "exam_id", "left")
+
+
+def _choice_emphasis(v: Views) -> DataFrame:
+    """Emphasis in stems and, where every fourth set's third text is emphasised, in choices."""
+    q = v.items.select("exam_id", "position", "stem_html", "choice_set_id")
+    text = F.when((F.col("choice_set_id") % 4 == 0) & (F.col("item_no") == 3), F.concat(F.lit("<strong>"), "text_html", F.lit("</strong>"))).otherwise(F.col("text_html"))
+    choices = q.select("exam_id", "position", "choice_set_id").join(v.choice_set_items, "choice_set_id").select("exam_id", "position", text.alias("text_html"))
+    return V.emphasis_issues(q, choices).select("exam_id", "position", "code", "blocking")
+
+
+def _filters(v: Views) -> DataFrame:
+    """Each condition of the bank filter by itself, and several together."""
+    every = {
+        "tag": {"tag": "Brand#13"}, "type": {"item_type": "X2"}, "negative": {"negative": True}, "plain": {"negative": False}, "p_max": {"p_max": 0.4}, "disc": {"min_disc": 0.3}, "flag": {"flag": "no_stats"}, "year": {"last_exam_year": 1998},
+        "unused": {"last_exam_year": L.UNUSED}, "set": {"choice_set_id": 7}, "retired": {"include_retired": True}, "several": {"item_type": "X3", "p_min": 0.1, "p_max": 0.8, "negative": False, "include_draft": False},
+    }
+    c = materialise(v.candidates, "candidates")
+    return V.union(L.bank_filter(c, **x).select(F.lit(name).alias("condition"), "question_id") for name, x in every.items())
+
+
 def _resolved(v: Views) -> DataFrame:
     """Sets in print again, with spaces around their texts, against every other set of the bank."""
     items = v.choice_set_items.filter("choice_set_id % 2 = 0")
@@ -386,6 +421,9 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "stored_stats": _stored_stats,
     "stored_crosswalk": _stored_crosswalk,
     "resolve_printed": _resolved,
+    "import_exams": _imported,
+    "choice_emphasis": _choice_emphasis,
+    "bank_filters": _filters,
     "report_order": lambda v: v.report.select(*S.ITEM, F.row_number().over(Window.partitionBy("exam_id").orderBy(*R.report_order()[1:])).alias("place")),
     "term_order": lambda v: number_rows(R.item_performance(v.appearances).select(F.col("text_html"), (-F.col("appearances")).alias("fewer")), ["fewer", "text_html"], "place").select("text_html", "place"),
     "decode_flags": lambda v: v.flags.select(*S.ITEM, F.size(C.decode_flags(C.encode_flags(F.col("flags")))).alias("n_flags"), F.array_join(C.decode_flags(F.concat(C.encode_flags(F.col("flags")), F.lit(",a,,"))), "|").alias("back")),
