@@ -108,9 +108,10 @@ def conversation_digests(formatted: DataFrame, loss_role: str = "assistant") ->
     """Read formatted turns back, conversation by conversation, and digest what the parser recovers.
 
     Rows are dealt by conv_id and sorted, and each conversation streams through one parser and two
-    running hashes, so the memory of a task doesn't depend on a conversation's length. loss_spans
-    are the character ranges of the loss mask in the formatted text (start:end, comma-joined).
-    Each conversation with at least one row gives one row; an empty table none.
+    running hashes, which is what a SHA-256 of all its turns asks for: a task holds one turn and the
+    ranges of loss_spans, about twenty bytes a turn, whatever the texts' length. loss_spans are the
+    character ranges of the loss mask in the formatted text (start:end, comma-joined). Each
+    conversation with at least one row gives one row, null ids together; an empty table none.
     """
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
