@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import html
 import json
-from html import entities
-
 from collections.abc import Sequence
+from html import entities
 from itertools import combinations
 
 import pandas as pd
@@ -20,6 +19,7 @@ ITEM_TYPES = ("A", "X2", "X3", "X4", "XX")
 INSTRUCTIONS = {"A": "1つ選べ。", "X2": "2つ選べ。", "X3": "3つ選べ。", "X4": "4つ選べ。", "XX": "すべて選べ。"}
 NEGATIVE_WORDS = ("ない", "でない", "含まれない", "誤っている")
 FORMAT_TAGS = ("strong", "i", "sup", "sub")
+# Fixed value: the characters between which a space is dropped.
 JAPANESE = "[\\u3040-\\u30ff\\u4e00-\\u9fff\\u3005\\u8c48-\\ufaff]"
 PATTERNS = tuple("".join(c) for n in range(1, 6) for c in combinations(LABELS, n))
 
@@ -152,6 +152,7 @@ def render_choice(text: Column, override: Column | None = None) -> Column:
 
 _ALL = "(?:すべて|全て)(?:を)?選べ"
 _SOME = "([1-9一二三四五])\\s*つ(?:を)?選べ"
+# Fixed value: the wording of an instruction.
 _RAW = f"(?:{_ALL}|[1-9１-９一二三四五][　\\s]*つ(?:を)?選べ)[。.]?"
 
 
