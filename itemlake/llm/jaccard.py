@@ -110,8 +110,9 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     """(a, b): star edges among reps (rep, sig) whose estimated similarity is near or more.
 
     All runs start at once, each with its own root. In a node of at most bucket members all are
-    compared; a larger one's smallest member is compared with all, members not the same as it go on
-    to the node's children, and after depth levels a node is cut into tiles that are compared whole.
+    compared; a larger one's smallest member, the pivot, is compared with all, and members not the
+    same as it go on to the node's children. After depth levels the members of a large node that are
+    not near its pivot are compared with all, in tiles; those near it have their edge already.
     Nodes with the same members are compared whole once; larger ones of them all go on, as their
     children differ. The root chooses too, so a tree of depth levels has depth + 1 choices.
     """
@@ -165,33 +166,48 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
                 row, down = _children(node, sig[go], threshold)
                 yield pa.RecordBatch.from_arrays([_signed(down), pa.array(batch.column("rep").to_numpy(zero_copy_only=False)[go][row])], ["node", "rep"])
 
+    def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alike(batch)[1] >= near)], ["node", "rep", "sig", "joined"])
+
+    def compared(tiled: DataFrame) -> DataFrame:
+        keys = ["node", "tile_a", "tile_b"]
+        return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
     edges, nodes = None, reps.select("rep", "sig").mapInArrow(first, child)
     for level in range(depth + 1):
         nodes = materialise(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1")
         sizes = materialise(sizes, "node-sizes")
-        whole = sizes if level == depth else sizes.filter(F.col("n") <= bucket)
-        whole = whole.groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).drop("who")
-        members = nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep")
-        tiled = (
-            members.withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
-            .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-            .select("node", F.least("chunk", "other").alias("tile_a"), F.greatest("chunk", "other").alias("tile_b"), "chunk", "rep", "sig")
-        )
-        keys = ["node", "tile_a", "tile_b"]
-        found = tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+        whole = sizes.filter(F.col("n") <= bucket).groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).select("node")
+        zero = F.lit(0).cast("long")
+        found = compared(nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep").select("node", zero.alias("tile_a"), zero.alias("tile_b"), zero.alias("chunk"), "rep", "sig"))
         edges = found if edges is None else edges.unionByName(found)
-        big = sizes.filter(F.col("n") > bucket).drop("who")
-        if level == depth or not big.take(1):
+        big = sizes.filter(F.col("n") > bucket)
+        if not big.take(1):
             break
+        if level == depth:
+            big = big.groupBy("who", "n", "pivot").agg(F.min("node").alias("node"))
         pivots = big.join(reps.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        large = materialise(nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "pivot", "sig", "pivot_sig"), "large-nodes")
+        large = materialise(nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig"), "large-nodes")
         edges = edges.unionByName(large.mapInArrow(to_pivot, "a long, b long"))
         nodes = large.mapInArrow(deeper, child)
+    else:
+        edges = edges.unionByName(compared(_rest_tiles(large.mapInArrow(joined, "node long, rep long, sig binary, joined boolean"), bucket)))
     return edges
 
 
+def _rest_tiles(members: DataFrame, bucket: int) -> DataFrame:
+    """members (node, rep, sig, joined) dealt to tiles in which every two members meet of which one at least isn't joined."""
+    count = lambda which: F.ceil(F.count_if(which) / bucket).cast("long")
+    sizes = members.groupBy("node").agg(count(~F.col("joined")).alias("open"), count(F.col("joined")).alias("done")).filter("open > 0")
+    rows = members.join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("joined"), F.col("done")).otherwise(F.col("open")))))
+    rows = rows.withColumn("chunk", F.when(F.col("joined"), F.col("open") + F.col("chunk")).otherwise(F.col("chunk")))  # joined chunks after the open ones
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, if(joined, open, open + done) - 1)")))
+    return rows.select("node", F.least("chunk", "other").alias("tile_a"), F.greatest("chunk", "other").alias("tile_b"), "chunk", "rep", "sig")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99, bucket: int = 128, depth: int = 4, tile: int = 256) -> DataFrame:
     """doc_id, class_id, n_links for every row: links to rows whose 5-word shingle sets have Jaccard >= threshold.
 
