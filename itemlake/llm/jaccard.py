@@ -110,9 +110,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     """(a, b): star edges among reps (rep, sig) whose estimated similarity is near or more.
 
     All runs start at once, each with its own root. In a node of at most bucket members all are
-    compared; a larger one's smallest member, the pivot, is compared with all, and members not the
-    same as it go on to the node's children. After depth levels the members of a large node that are
-    not near its pivot are compared with all, in tiles; those near it have their edge already.
+    compared; a larger one's smallest member, the pivot, is compared with all, and those near it have
+    their edge. If at most bucket members are not near it, or after depth levels, these are compared
+    with all, in tiles, and the node is done; else members not the same as the pivot go on to the
+    node's children.
     Nodes with the same members are compared whole once; larger ones of them all go on, as their
     children differ. The root chooses too, so a tree of depth levels has depth + 1 choices.
     """
@@ -151,25 +152,17 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     def alike(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return (sig := _sig(batch.column("sig"))), (sig == _sig(batch.column("pivot_sig"))).mean(1)
 
-    def to_pivot(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                take = alike(batch)[1] >= near
-                yield pa.RecordBatch.from_arrays([batch.column("rep").filter(pa.array(take)), batch.column("pivot").filter(pa.array(take))], ["a", "b"])
+                share = alike(batch)[1]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(share >= near), pa.array(share >= same)], ["node", "rep", "sig", "pivot", "joined", "equal"])
 
     def deeper(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                sig, share = alike(batch)
-                go = np.flatnonzero(share < same)
-                node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)[go]
-                row, down = _children(node, sig[go], threshold)
-                yield pa.RecordBatch.from_arrays([_signed(down), pa.array(batch.column("rep").to_numpy(zero_copy_only=False)[go][row])], ["node", "rep"])
-
-    def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alike(batch)[1] >= near)], ["node", "rep", "sig", "joined"])
+                row, down = _children(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _sig(batch.column(2)), threshold)
+                yield pa.RecordBatch.from_arrays([_signed(down), batch.column(1).take(pa.array(row))], ["node", "rep"])
 
     def compared(tiled: DataFrame) -> DataFrame:
         keys = ["node", "tile_a", "tile_b"]
@@ -187,14 +180,16 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
         big = sizes.filter(F.col("n") > bucket)
         if not big.take(1):
             break
-        if level == depth:
+        if level == depth:  # nothing goes on, so nodes with the same members are one
             big = big.groupBy("who", "n", "pivot").agg(F.min("node").alias("node"))
         pivots = big.join(reps.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        large = materialise(nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig"), "large-nodes")
-        edges = edges.unionByName(large.mapInArrow(to_pivot, "a long, b long"))
-        nodes = large.mapInArrow(deeper, child)
-    else:
-        edges = edges.unionByName(compared(_rest_tiles(large.mapInArrow(joined, "node long, rep long, sig binary, joined boolean"), bucket)))
+        large = nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig")
+        large = materialise(large.mapInArrow(judge, "node long, rep long, sig binary, pivot long, joined boolean, equal boolean"), "large-nodes")
+        edges = edges.unionByName(large.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        opened = large.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"))
+        few = materialise(opened.withColumn("ends", (F.col("open") <= bucket) | F.lit(level == depth)), "open-members")
+        edges = edges.unionByName(compared(_rest_tiles(large.join(few.filter("ends and open > 0").select("node"), "node", "left_semi"), bucket)))
+        nodes = large.filter("not equal").join(few.filter("not ends").select("node"), "node", "left_semi").select("node", "rep", "sig").mapInArrow(deeper, child)
     return edges
 
 
