@@ -45,7 +45,7 @@ def tokens(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Term:
-    """A word, or a stem with any ending; weight and misspelled are log odds of toxic to clean texts that hold it."""
+    """A word, or a stem with any ending; weight and misspelled (no more than weight) are log odds of toxic to clean texts that hold it."""
 
     text: str
     stem: bool
@@ -326,9 +326,12 @@ def training_texts(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return signed.groupBy("signature", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
+_QUOTATION = re.compile('"[^"\n]{1,200}"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»')
+
+
 def _term_keys(text: str) -> set[str]:
-    """What a text holds: its words, ended by a space, and their stems."""
-    words = set(tokens(text))
+    """What a text says outside quotations: its words, ended by a space, and their stems. Words that mark a context are no terms."""
+    words = set(tokens(_QUOTATION.sub(" ", text))) - REPORTING - DIRECTED
     keys = {w + " " for w in words if len(w) >= 3}
     keys.update(w[:n] for w in words for n in _STEMS if n <= len(w))
     return keys
@@ -366,8 +369,8 @@ def chance(toxic: int, clean: int, share: float) -> float:
     return -n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, false_share: float = 0.05) -> list[tuple[str, int, int]]:
-    """The terms (as _term_keys) that hold more toxic texts than chance, at a false discovery rate (Benjamini-Hochberg).
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, false_share: float = 0.05, least_odds: float = 4.0) -> list[tuple[str, int, int]]:
+    """The terms (as _term_keys) that hold more toxic texts than chance, at a false discovery rate (Benjamini-Hochberg) and least_odds times as often as clean ones.
 
     Of terms with equal evidence the more specific comes first; what lies below a chosen stem is left
     out, and a stem whose toxic texts the chosen terms below it explain.
@@ -379,7 +382,7 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, tes
     out = []
     for _, _, _, key, t, c in ranked[:last]:
         below = sum(n for k, n in chosen.items() if k.startswith(key.rstrip()) and not key.endswith(" "))
-        if any(key.startswith(k) for k in chosen if not k.endswith(" ")) or (below and chance(max(t - below, 0) or 1, c, share) > math.log(false_share / max(tested, 1))):
+        if _log_odds(t, c, toxic, clean) < math.log(least_odds) or any(key.startswith(k) for k in chosen if not k.endswith(" ")) or (below and chance(max(t - below, 0) or 1, c, share) > math.log(false_share / max(tested, 1))):
             continue
         chosen[key] = t
         out.append((key, t, c))
@@ -482,5 +485,5 @@ def toxic_scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*rest.schema.names, "score", "predicted"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(score, schema)
