@@ -249,6 +249,13 @@ SQL |= {
     UNION ALL SELECT * FROM (VALUES (1, 0, 'position', NULL), (1, 1, 'correct', NULL), (1, 2, 'p', NULL), (1, 3, 'n_correct', NULL), (1, 4, 'disc', NULL), (0, 0, 'position', NULL), (0, 1, 'points', NULL),
       (0, 2, 'adjustment', NULL), (0, 3, 'correct', NULL), (0, 4, 'p', NULL), (0, 5, 'disc', NULL), (0, 6, 'ignored', NULL)) AS t(odd, column_no, role, key)) c ON c.odd = x.exam_id % 2""",
     "scan_meta": "SELECT exam_id, exam_name, exam_date, n_examinees, derived_n, coalesce(n_examinees, derived_n) AS effective_n, exam_id % 2 = 0 AS percent, CASE WHEN exam_id % 2 = 0 THEN 'ssdb' ELSE 'legacy' END AS dialect FROM {o_scan_exams}",
+    "scan_quoted": """SELECT exam_id, position, position + CASE WHEN exam_id % 2 = 0 THEN 1 ELSE 4 END AS line_no, CASE WHEN exam_id % 2 = 1 THEN concat('"final", ', exam_id, chr(13), chr(10), 'part 2') END AS exam_name,
+    CASE WHEN exam_id % 2 = 0 THEN CASE position % 9 WHEN 0 THEN concat('left out:', chr(10), '"', position, '",', chr(10), chr(10), 'see minutes') WHEN 1 THEN '5" rule' ELSE 'none' END END AS adjustment,
+    CASE WHEN free THEN '' ELSE correct END AS correct FROM {table_rows}""",
+    "quoted_key": """WITH k AS (SELECT exam_id, CAST(position AS BIGINT) AS position, correct_asked AS correct, CASE WHEN position % 10 = 0 THEN 'one_cell' WHEN position % 11 = 0 THEN 'no_position' END AS code FROM {exam_items}),
+    m AS (SELECT exam_id, max(position) AS last FROM k WHERE exam_id % 3 = 0 GROUP BY exam_id)
+    SELECT exam_id, CAST(NULL AS BIGINT) AS line_no, position, correct, CAST(NULL AS VARCHAR) AS code FROM k WHERE code IS NULL UNION ALL SELECT exam_id, position + 1, NULL, NULL, code FROM k WHERE code IS NOT NULL
+    UNION ALL SELECT exam_id, NULL, last + 1, 'abe', NULL FROM m UNION ALL SELECT exam_id, last + 2, NULL, NULL, 'unclosed_quote' FROM m""",
     "validate_scan": f"""SELECT exam_id, CAST(NULL AS BIGINT) AS position, 'non_mcq_skipped' AS code, false AS blocking FROM {{o_scan_exams}} WHERE n_free > 0
   UNION ALL SELECT exam_id, NULL, 'row_count', true FROM {{o_scan_exams}} WHERE n_rows <> n_items
   UNION ALL SELECT exam_id, NULL, 'n_not_declared', false FROM {{o_scan_exams}} WHERE n_examinees IS NULL

@@ -44,7 +44,7 @@ class Views(Bank):
     """The bank with what operators derive from it, made once a query."""
 
     #: Facts that several operators of a query read: stored once rather than made from the responses again.
-    FACTS = ("item_pattern_counts", "exam_items", "item_disc")
+    FACTS = ("item_pattern_counts", "exam_items", "item_disc", "exam_totals", "table_counts", "table_rows")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.FACTS and name not in self.made:
@@ -218,8 +218,8 @@ def _exam_of(df: DataFrame) -> DataFrame:
     return df.withColumn("exam_id", F.regexp_extract("file", "exam_id=([0-9]+)", 1).cast("long"))
 
 
-def _written(v: Views) -> frequency.Scan:
-    """The bank's frequency tables written for every exam, in both dialects, and scanned again."""
+def _written(v: Views, quoted: bool = False) -> frequency.Scan:
+    """The bank's frequency tables written for every exam, in both dialects, and scanned again; quoted ones have line ends and quotes in cells."""
     percent = F.col("exam_id") % 2 == 0
     exams = v.exam_totals.select("exam_id", percent.alias("percent"), F.concat(F.lit("exam "), F.col("exam_id").cast("string")).alias("name"), F.concat(F.col("exam_id").cast("string"), F.lit("-08-25")).alias("exam_date"), (F.col("n") + F.when(F.col("exam_id") % 5 == 0, 1).otherwise(0)).alias("n_examinees"))
     m = F.col("permille")
@@ -227,6 +227,10 @@ def _written(v: Views) -> frequency.Scan:
     rows = v.table_rows
     cells = v.table_counts.join(rows.select("exam_id", "position", "free", "odd"), ["exam_id", "position"])
     cell = F.when(F.col("free"), "-").when((F.col("pattern") == C.BLANK) & F.col("odd").isNotNull(), F.col("odd")).otherwise(F.col("cnt").cast("string"))
+    if quoted:
+        exams = exams.withColumn("name", F.concat(F.lit('"final", '), F.col("exam_id").cast("string"), F.lit("\r\npart 2")))
+        note = F.concat(F.lit("left out:\n\""), F.col("position").cast("string"), F.lit('",\n\nsee minutes'))
+        rows = rows.withColumn("adjustment", F.when(F.col("position") % 9 == 0, note).when(F.col("position") % 9 == 1, '5" rule').otherwise("none"))
     folder = new_folder(v.spark, "frequency")
     sinks.write_frequency_tables(rows.withColumn("p", rate), cells.withColumn("cell", cell), exams, folder)
     return frequency.scan_item_stats(v.spark, folder)
@@ -243,6 +247,35 @@ def _scan_meta(v: Views) -> DataFrame:
     return _exam_of(s.meta.join(s.examinees, "file").join(s.dialects, "file")).select("exam_id", "exam_name", "exam_date", "n_examinees", "derived_n", "effective_n", "percent", "dialect")
 
 
+def _scan_quoted(v: Views) -> DataFrame:
+    """Where records lie and what their quoted cells say, which hold line ends, commas and quotes."""
+    s = _written(v, quoted=True)
+    rows = s.all_rows.join(s.meta.select("file", "exam_name"), "file")
+    return _exam_of(rows).select("exam_id", "position", "line_no", "exam_name", "adjustment", "correct")
+
+
+def _key_files(v: Views) -> str:
+    """Answer keys with a record of one cell, one without a position and cells over two lines; in every third exam a quote stays open."""
+    p, key = F.col("position"), v.exam_items.select("exam_id", "position", F.col("correct_asked").alias("correct"))
+    line = F.when(p % 10 == 0, p.cast("string")).when(p % 11 == 0, F.concat(F.lit("x,"), "correct")).when(p % 7 == 0, F.concat(p.cast("string"), F.lit(',"'), "correct", F.lit('\n"')))
+    lines = key.select("exam_id", "position", line.otherwise(F.concat(p.cast("string"), F.lit(",\""), "correct", F.lit('"'))).alias("line"))
+    last = key.groupBy("exam_id").agg((F.max("position") + 1).alias("position")).filter("exam_id % 3 = 0")
+    lines = lines.unionByName(last.select("exam_id", "position", F.concat(p.cast("string"), F.lit(',"ab\nrest\n1,a')).alias("line")))
+    head = key.select("exam_id").distinct().select("exam_id", F.lit(0).alias("position"), F.lit("問題,正答肢").alias("line"))
+    folder = new_folder(v.spark, "keys")
+    lines.unionByName(head).repartition("exam_id").sortWithinPartitions("exam_id", "position").select("exam_id", "line").write.partitionBy("exam_id").option("lineSep", "\r\n").text(folder)
+    return folder
+
+
+def _quoted_key(v: Views) -> DataFrame:
+    folder = _key_files(v)
+    rows, issues = frequency.read_answer_key(v.spark, folder), frequency.key_issues(v.spark, folder)
+    none = F.lit(None)
+    both = rows.select("file", none.cast("long").alias("line_no"), "position", "correct", none.cast("string").alias("code"))
+    both = both.unionByName(issues.select("file", "line_no", none.cast("long").alias("position"), none.cast("string").alias("correct"), "code"))
+    return _exam_of(both).drop("file")
+
+
 def _validate_scan(v: Views) -> DataFrame:
     s = _written(v)
     free = _exam_of(s.non_mcq).groupBy("exam_id").agg(F.count(F.lit(1)).alias("n_non_mcq"))
@@ -415,6 +448,8 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "scan_counts": lambda v: _exam_of(_written(v).counts).select("exam_id", "position", "pattern", "cnt", "unreadable"),
     "scan_columns": lambda v: _exam_of(_written(v).columns).select("exam_id", F.col("i").alias("column_no"), "role", "key"),
     "scan_meta": _scan_meta,
+    "scan_quoted": _scan_quoted,
+    "quoted_key": _quoted_key,
     "validate_scan": _validate_scan,
     "stored_key": _stored_key,
     "stored_counts": _stored_counts,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
 from itemlake.plans.scratch import materialise
+from itemlake.sources.records import read_records
 
 # Header names and cell markers of the two dialects.
 ALIASES = {
@@ -26,17 +28,13 @@ ALIASES = {
 }
 META = {"exam_name": "試験名", "exam_date": "試験日", "n_examinees": "受験者数", "disc_type": "識別係数定義"}
 NON_MCQ = ("記述式", "論述式", "記述", "自由記述")
+KEY_HEADER = "問題"
 EMPTY_CELLS = ("-", "‐", "―", "—", "ー", "")
 
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
 
 def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no, cells of every line that isn't empty; byte-order marks and quotes are taken off. A file is one exam's table and small."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    cell = lambda c: F.regexp_replace(C.trim_all(F.regexp_replace(c, '^\\s*"(.*)"\\s*$', "$1")), '""', '"')
-    rows = lines.select("file", (F.col("i") + 1).alias("line_no"), F.transform(F.split("line", _COMMA), cell).alias("cells"))
+    """file, line_no, cells, unclosed of every record that isn't empty (see records.read_records); cells are trimmed."""
+    rows = read_records(spark, paths).withColumn("cells", F.transform("cells", C.trim_all))
     return rows.filter(F.exists("cells", lambda c: c != ""))
 
 
@@ -88,42 +86,79 @@ def unpivot_counts(wide: DataFrame, keys: Iterable[str] = ("exam_id", "position"
 
 
 class Scan:
-    """The tables of a scan, keyed by file. Each is parsed once and stored, as every validation rule reads them."""
+    """The tables of a scan, keyed by file. Each is made when asked for, once, and stored, as every validation rule reads them."""
 
     def __init__(self, spark: SparkSession, paths: str | list[str]):
-        lines = scan_lines(spark, paths)
-        self.meta = materialise(exam_meta(lines), "meta")
-        header, body = _table(lines)
-        self.columns = materialise(resolve_columns(header), "columns")
-        self.dialects = detect_dialect(self.columns, self.meta)
+        self.lines = materialise(scan_lines(spark, paths), "lines")
+
+    @property
+    def issues(self) -> DataFrame:
+        """file, line_no, code: records whose quote nothing closes; they hold the rest of their file."""
+        return self.lines.filter("unclosed").select("file", "line_no", F.lit("unclosed_quote").alias("code"))
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return materialise(exam_meta(self.lines), "meta")
+
+    @cached_property
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return _table(self.lines)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return materialise(resolve_columns(self._tables[0]), "columns")
+
+    @cached_property
+    def dialects(self) -> DataFrame:
+        return detect_dialect(self.columns, self.meta)
+
+    @cached_property
+    def _cells(self) -> DataFrame:
+        """A row per cell of a named column; what a short row lacks is empty."""
+        body = self._tables[1]
         cells = body.select("file", "line_no", F.posexplode("cells").alias("i", "cell"))
-        long = body.select("file", "line_no").join(self.columns, "file").join(cells, ["file", "line_no", "i"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
-        long = materialise(long, "cells")
+        long = body.select("file", "line_no").join(self.columns, "file").join(cells, ["file", "line_no", "i"], "left")
+        return materialise(long.withColumn("cell", F.coalesce("cell", F.lit(""))), "cells")
+
+    @cached_property
+    def all_rows(self) -> DataFrame:
         empty = F.col("cell").isin(*EMPTY_CELLS)
-        count = F.col("role") == "count"
         of = lambda role: F.max(F.when(F.col("role") == role, F.col("cell"))).alias(role)
-        rows = long.groupBy("file", "line_no").agg(*[of(r) for r in ("position", "correct", "p", "n_correct", "disc", "points", "adjustment")], F.bool_and(F.when(count, empty)).alias("all_empty"))
+        rows = self._cells.groupBy("file", "line_no").agg(*[of(r) for r in ("position", "correct", "p", "n_correct", "disc", "points", "adjustment")], F.bool_and(F.when(F.col("role") == "count", empty)).alias("all_empty"))
         rows = rows.join(self.dialects, "file")
         raw = F.coalesce("correct", F.lit(""))
         words = F.exists(F.array(*map(F.lit, NON_MCQ)), lambda w: F.contains(raw, w))
         free = F.coalesce("all_empty", F.lit(False)) | words | ~F.lower(raw).rlike("^[a-e]*$")
         number = lambda c: F.col(c).try_cast("double")
-        self.all_rows = rows.select(
+        rows = rows.select(
             "file", "line_no", F.coalesce(number("position").cast("long"), F.lit(0)).alias("position"), raw.alias("correct_raw"), C.normalize_correct(raw).alias("correct"),
             F.when(F.col("percent"), number("p") / 100).otherwise(number("p")).alias("p_reported"), number("n_correct").cast("long").alias("n_correct_reported"),
             number("disc").alias("disc"), number("points").alias("points"), "adjustment", F.when(free, "non_mcq").otherwise("mcq").alias("kind"),
         )
-        self.all_rows = materialise(self.all_rows, "rows")
+        return materialise(rows, "rows")
+
+    @property
+    def non_mcq(self) -> DataFrame:
+        return self.all_rows.filter("kind = 'non_mcq'")
+
+    @cached_property
+    def counts(self) -> DataFrame:
         mcq = self.all_rows.filter("kind = 'mcq'").select("file", "line_no", "position")
-        value = number("cell")
-        self.counts = long.filter(count).join(mcq, ["file", "line_no"]).select("file", "line_no", "position", F.col("key").alias("pattern"), F.when(~empty, value).alias("cnt"), (empty | value.isNull()).alias("unreadable"))
-        self.counts = materialise(self.counts, "counts")
-        totals = self.counts.groupBy("file", "line_no").agg(F.coalesce(F.sum("cnt"), F.lit(0.0)).alias("total"))
-        counted = self.counts.join(self.all_rows.select("file", "line_no", "correct"), ["file", "line_no"]).filter("pattern = correct").groupBy("file", "line_no").agg(F.sum("cnt").alias("counted"))
-        self.rows = self.all_rows.filter("kind = 'mcq'").join(totals, ["file", "line_no"]).join(counted, ["file", "line_no"], "left").withColumn("counted", F.coalesce("counted", F.lit(0.0)))
-        self.rows = materialise(self.rows, "mcq-rows")
-        self.non_mcq = self.all_rows.filter("kind = 'non_mcq'")
-        self.examinees = derive_n(self.rows, self.meta)
+        empty, value = F.col("cell").isin(*EMPTY_CELLS), F.col("cell").try_cast("double")
+        counts = self._cells.filter("role = 'count'").join(mcq, ["file", "line_no"])
+        return materialise(counts.select("file", "line_no", "position", F.col("key").alias("pattern"), F.when(~empty, value).alias("cnt"), (empty | value.isNull()).alias("unreadable")), "counts")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        correct = self.all_rows.filter("kind = 'mcq'").select("file", "line_no", "correct")
+        sums = self.counts.join(correct, ["file", "line_no"]).groupBy("file", "line_no").agg(
+            F.coalesce(F.sum("cnt"), F.lit(0.0)).alias("total"), F.coalesce(F.sum(F.when(F.col("pattern") == F.col("correct"), F.col("cnt"))), F.lit(0.0)).alias("counted")
+        )
+        return materialise(self.all_rows.filter("kind = 'mcq'").join(sums, ["file", "line_no"]), "mcq-rows")
+
+    @cached_property
+    def examinees(self) -> DataFrame:
+        return derive_n(self.rows, self.meta)
 
 
 def scan_item_stats(spark: SparkSession, paths: str | list[str]) -> Scan:
@@ -136,10 +171,23 @@ def derive_n(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return meta.select("file", "n_examinees").join(per, "file", "left").select("file", F.when(F.col("k") == 1, F.col("t")).alias("derived_n"), F.coalesce("n_examinees", F.when(F.col("k") == 1, F.col("t"))).alias("effective_n"))
 
 
+def _key_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    lines = scan_lines(spark, paths).filter(F.col("cells")[0] != KEY_HEADER)
+    return lines.withColumn("position", F.col("cells")[0].try_cast("long"))
+
+
 def read_answer_key(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, position, correct of key files."""
-    lines = scan_lines(spark, paths).filter((F.size("cells") >= 2) & (F.col("cells")[0] != "問題"))
-    return lines.select("file", F.col("cells")[0].cast("long").alias("position"), C.normalize_correct(F.col("cells")[1]).alias("correct"))
+    """file, position, correct of key files; what key_issues names as one cell or without a position is left out."""
+    rows = _key_lines(spark, paths).filter("size(cells) >= 2 and position is not null")
+    return rows.select("file", "position", C.normalize_correct(F.col("cells")[1]).alias("correct"))
+
+
+def key_issues(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, line_no, code of records of key files: one_cell and no_position have no key, unclosed_quote has the rest of its file in a cell."""
+    rows = _key_lines(spark, paths)
+    code = F.when(F.size("cells") < 2, "one_cell").when(F.col("position").isNull(), "no_position")
+    codes = F.filter(F.array(code, F.when(F.col("unclosed"), "unclosed_quote")), lambda c: c.isNotNull())
+    return rows.select("file", "line_no", F.explode(codes).alias("code"))
 
 
 def whole_counts(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.functions import columns as C
@@ -19,18 +19,24 @@ def write_answer_key(exam_items: DataFrame, path: str) -> None:
     rows.repartition("exam_id").sortWithinPartitions("exam_id", "問題").write.partitionBy("exam_id").option("header", True).option("lineSep", "\r\n").mode("overwrite").csv(path)
 
 
+def csv_cell(text: Column) -> Column:
+    """The text as a CSV cell: quoted, with quotes doubled, if it holds a comma, a quote or a line end."""
+    return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
 def frequency_lines(rows: DataFrame, counts: DataFrame, exams: DataFrame) -> DataFrame:
     """exam_id, line_no, line of the frequency tables of many exams, as sources.frequency reads them.
 
-    rows: exam_id, position, correct, p, n_correct, disc (p and disc as they are to stand there). counts: exam_id, position,
+    rows: exam_id, position, correct, p, n_correct, disc (p and disc as they are to stand there) and, if not 'none', adjustment. counts: exam_id, position,
     pattern, cell. exams: exam_id, percent (rates from 0 to 100 and no lines about the exam; else name, date and n_examinees).
     """
     order = [*C.PATTERNS, C.BLANK, C.OTHER]
     cells = counts.groupBy("exam_id", "position").pivot("pattern", order).agg(F.first("cell"))
     cells = cells.select("exam_id", "position", F.concat_ws(",", *[F.coalesce(F.col(f"`{p}`"), F.lit("0")) for p in order]).alias("cells"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = lambda c: csv_cell(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    adjustment = text("adjustment") if "adjustment" in rows.columns else F.lit("none")
     body = rows.join(cells, ["exam_id", "position"]).join(exams.select("exam_id", "percent"), "exam_id")
-    line = F.when(F.col("percent"), F.concat_ws(",", text("position"), F.lit("5"), F.lit("none"), text("correct"), text("p"), text("disc"), F.lit("0.1"), "cells"))
+    line = F.when(F.col("percent"), F.concat_ws(",", text("position"), F.lit("5"), adjustment, text("correct"), text("p"), text("disc"), F.lit("0.1"), "cells"))
     line = line.otherwise(F.concat_ws(",", text("position"), text("correct"), text("p"), text("n_correct"), text("disc"), "cells"))
     about = [F.concat_ws(",", F.lit(label), text(c)) for label, c in (("#試験名", "name"), ("#試験日", "exam_date"), ("#受験者数", "n_examinees"))]
     names = ",".join(C.PATTERNS)
