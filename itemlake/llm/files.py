@@ -13,6 +13,12 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def make_folder(uri: str) -> None:
+    """Readers find the folder, empty, where no task has anything to write."""
+    store, path = open_store(uri)
+    store.create_dir(path, recursive=True)
+
+
 def write_atomically(uri: str, attempt: str, chunks) -> int:
     """Write chunks under a name private to the attempt, then rename; returns the size."""
     store, path = open_store(uri)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itemlake.llm.files import open_store, write_atomically
+from itemlake.llm.files import make_folder, open_store, write_atomically
 from itemlake.llm.pretokens import PieceEncoder, binary
 from itemlake.plans.scratch import materialise
 
@@ -231,10 +231,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     Rows are range-partitioned and sorted by doc_id (then text), nulls first, and a partition writes
     files of whole documents with about file_tokens tokens each, named in that order. A file's
     frequency table counts all its tokens. Null text counts as empty and has the end id only;
-    repeated rows are repeated documents; an empty table writes no file. Other columns are ignored.
+    repeated rows are repeated documents; an empty table leaves an empty folder. Other columns, whatever their names, are ignored.
     With match_added the strings of the file's added tokens are those tokens, as in Tokenizer.encode;
     otherwise they are ordinary text.
     """
+    make_folder(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -291,7 +292,8 @@ def read_tokens(spark: SparkSession, folder: str, blocks_a_task: int = 8) -> Dat
     """doc_id, start, tokens (binary, little-endian u32) of every document in folder's files, in parallel from the checkpoints.
 
     start counts the tokens of all documents before, files in the order of their names. A task owns
-    the documents that start in its blocks and reads on to their ends. Damaged files raise.
+    the documents that start in its blocks and reads on to their ends. Damaged files raise. Null ids
+    stay null, null and empty texts have their end id; a folder without token files gives no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ranstok").load(folder).select("path", "length")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itemlake.llm.files import open_store, write_atomically
+from itemlake.llm.files import make_folder, open_store, write_atomically
 from itemlake.plans.scratch import materialise
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -52,10 +52,12 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str =
 
     Of rows whose payloads (UTF-8 html; null: empty) are equal and at least min_bytes long, the one
     with the largest id is a response and the others revisit it. Rows that repeat that id are all
-    responses; a null id never is the largest unless all are null. Other columns are ignored.
+    responses; a null id never is the largest unless all are null. Other columns are ignored. An empty
+    table leaves an empty folder.
     One file per shuffle partition, rows sorted by id and digest, so that a task that runs again
     writes the same bytes; files appear under their final name only when whole.
     """
+    make_folder(folder)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload")))
