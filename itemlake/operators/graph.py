@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.functions import columns as C
@@ -26,12 +26,19 @@ def _star_small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each component is a star, and another round changes nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf")))
+    per = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
+    return per.filter("leaf > 1 or (leaf = 1 and least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node id reachable.
 
     Alternating large-star / small-star rounds, each written to the shared folder, until the edge
-    set is a forest of stars. Work per round is linear in the edges; hot nodes are reduced by
-    map-side minima, and the joins back are plain sort-merge joins that AQE can split.
+    set is a forest of stars, which a round's own output tells. Work per round is linear in the edges; hot
+    nodes are reduced by map-side minima, and the joins back are plain sort-merge joins that AQE can split.
     Edges with a null end and self loops are ignored (a self loop alone yields no row).
     """
     e = (
@@ -41,13 +48,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     e = materialise(e, "cc")
-    before = None
     for _ in range(max_rounds):
-        e = materialise(_star_small(_star_large(e)), "cc")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if now == before:
+        if _is_star_forest(e):
             break
-        before = now
+        e = materialise(_star_small(_star_large(e)), "cc")
     else:
         raise RuntimeError("connected_components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -58,21 +62,76 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 # --- choice sets ------------------------------------------------------------------------------
 
 
-def near_set_links(items: DataFrame, min_shared: int = 3) -> DataFrame:
-    """set_a < set_b, shared, relation of sets sharing at least min_shared distinct texts (choice_set_id, text_html); not closed transitively.
+def set_classes(items: DataFrame) -> DataFrame:
+    """choice_set_id, class_id, size of (choice_set_id, text_html): sets with the same distinct texts are one class, named by its smallest id.
+
+    Null texts don't count; all sets without a text are one class of size 0, which has no links. The key is a hash of the hashed texts in order.
+    """
+    hashed = F.array_sort(F.collect_set(F.sha2("text_html", 256)))
+    sets = items.groupBy("choice_set_id").agg(hashed.alias("hashed")).filter("choice_set_id is not null")
+    sets = sets.select("choice_set_id", F.sha2(F.array_join("hashed", ""), 256).alias("texts_key"), F.size("hashed").alias("size"))
+    sets = materialise(sets, "sets")
+    classes = sets.groupBy("texts_key").agg(F.min("choice_set_id").alias("class_id"))
+    return sets.join(classes, "texts_key").select("choice_set_id", "class_id", "size")
+
 
-    Prefix filter: with texts ordered by rarity, two sets that share k texts share one among each
-    side's first size - k + 1, so only those join; frequent texts rarely do.
+def class_links(items: DataFrame, classes: DataFrame, min_shared: int = 3) -> DataFrame:
+    """set_a < set_b, shared between the classes (their ids) that share at least min_shared distinct texts.
+
+    One set a class takes part, however many sets are equal. Prefix filter: with texts ordered by
+    rarity, two sets that share k texts share one among each side's first size - k + 1, so only those
+    join. A pair comes out at its first common prefix text alone, and only if the texts from there
+    on can still be k on both sides, so no pair is made twice.
     """
-    texts = items.select("choice_set_id", "text_html").filter("text_html is not null").distinct()
+    own = classes.filter(F.col("choice_set_id") == F.col("class_id")).filter(F.col("size") >= min_shared).select("choice_set_id")
+    texts = items.join(own, "choice_set_id", "left_semi").select("choice_set_id", "text_html").filter("text_html is not null").distinct()
+    texts = materialise(texts, "class-texts")
     df = texts.groupBy("text_html").agg(F.count(F.lit(1)).alias("df"))
     sets = texts.join(df, "text_html").groupBy("choice_set_id").agg(F.array_sort(F.collect_list(F.struct("df", "text_html"))).alias("t"))
-    sets = sets.select("choice_set_id", F.col("t.text_html").alias("texts")).filter(F.size("texts") >= min_shared)
-    prefix = sets.select("choice_set_id", "texts", F.explode(F.slice("texts", F.lit(1), F.size("texts") - (min_shared - 1))).alias("key"))
-    a, b = (prefix.select("key", F.col("choice_set_id").alias(f"set_{x}"), F.col("texts").alias(f"texts_{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter("set_a < set_b").dropDuplicates(["set_a", "set_b"])
-    shared = pairs.select("set_a", "set_b", F.size(F.array_intersect("texts_a", "texts_b")).alias("shared")).filter(F.col("shared") >= min_shared)
-    return shared.withColumn("relation", F.coalesce(C.relation_for(F.col("shared")), F.lit("manual")))
+    sets = sets.select("choice_set_id", F.col("t.text_html").alias("texts"))
+    prefix = sets.select("choice_set_id", "texts", F.posexplode(F.slice("texts", F.lit(1), F.size("texts") - (min_shared - 1))).alias("at", "key"))
+    a, b = (prefix.select("key", F.col("choice_set_id").alias(f"set_{x}"), F.col("texts").alias(f"texts_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    left = F.least(F.size("texts_a") - F.col("at_a"), F.size("texts_b") - F.col("at_b"))
+    pairs = a.join(b, "key").filter("set_a < set_b").filter(left >= min_shared)
+    both = pairs.withColumn("both", F.array_intersect("texts_a", "texts_b"))
+    return both.filter((F.col("both")[0] == F.col("key")) & (F.size("both") >= min_shared)).select("set_a", "set_b", F.size("both").alias("shared"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """class_id, linked_class, shared in both directions."""
+    return links.select(F.col("set_a").alias("class_id"), F.col("set_b").alias("linked_class"), "shared").unionByName(
+        links.select(F.col("set_b").alias("class_id"), F.col("set_a").alias("linked_class"), "shared")
+    )
+
+
+def link_counts(classes: DataFrame, links: DataFrame, min_shared: int = 3) -> DataFrame:
+    """choice_set_id, n_links: the other sets that each set is linked to, from classes and links between them alone."""
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    own = sizes.select("class_id", F.when(F.col("size") >= min_shared, F.col("n") - 1).otherwise(0).alias("k"))
+    near = _both_ways(links).join(sizes.select(F.col("class_id").alias("linked_class"), F.col("n").alias("k")), "linked_class").select("class_id", "k")
+    per = own.unionByName(near).groupBy("class_id").agg(F.sum("k").alias("n_links"))
+    return classes.select("choice_set_id", "class_id").join(per, "class_id").select("choice_set_id", "n_links")
+
+
+def expand_links(classes: DataFrame, links: DataFrame, min_shared: int = 3) -> DataFrame:
+    """set_a < set_b, shared of all linked sets: members of linked classes, and members of one class among themselves."""
+    own = classes.filter(F.col("choice_set_id") == F.col("class_id")).filter(F.col("size") >= min_shared)
+    several = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = own.join(several, "class_id", "left_semi").select("class_id", F.col("class_id").alias("linked_class"), F.col("size").alias("shared"))
+    one, other = (classes.select(F.col("class_id").alias(c), F.col("choice_set_id").alias(s)) for c, s in (("class_id", "x"), ("linked_class", "y")))
+    pairs = _both_ways(links).filter("class_id < linked_class").unionByName(same).join(one, "class_id").join(other, "linked_class")
+    pairs = pairs.filter("class_id <> linked_class or x < y")
+    return pairs.select(F.least("x", "y").alias("set_a"), F.greatest("x", "y").alias("set_b"), "shared")
+
+
+def near_set_links(items: DataFrame, min_shared: int = 3) -> DataFrame:
+    """set_a < set_b, shared, relation of sets sharing at least min_shared distinct texts (choice_set_id, text_html); not closed transitively.
+
+    A row for each pair, so n equal sets give n(n-1)/2; set_classes, class_links and link_counts say the same in rows linear in the sets.
+    """
+    classes = set_classes(items)
+    links = expand_links(classes, class_links(items, classes, min_shared), min_shared)
+    return links.withColumn("relation", F.coalesce(C.relation_for(F.col("shared")), F.lit("manual")))
 
 
 def apply_link_overrides(auto: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
@@ -89,11 +148,51 @@ def linked_sets(links: DataFrame) -> DataFrame:
     return both.unionByName(links.select(F.col("set_b").alias("choice_set_id"), F.col("set_a").alias("linked_id"))).distinct()
 
 
-def closed_neighbourhood(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """choice_set_id, group_key: the sorted ids of the set and of those linked to it, joined by commas."""
+def _fingerprint(ids: Column) -> list[Column]:
+    """Two independent hashes of an id; sets of ids are compared by the exclusive or of each, which no order of them changes."""
+    return [F.xxhash64(F.lit(salt), ids.cast("long")).alias(f"h{k}") for k, salt in enumerate(("one", "two"))]
+
+
+def _group_key() -> Column:
+    return F.concat(F.lpad(F.hex("h0"), 16, "0"), F.lpad(F.hex("h1"), 16, "0"))
+
+
+def closed_neighbourhood(sets: DataFrame, links: DataFrame, as_text: bool = False) -> DataFrame:
+    """choice_set_id, group_key: equal for two sets if they and those linked to them are the same sets.
+
+    links may be any (overrides too). The key is 128 bits however many sets are linked, made by a
+    mergeable aggregate; as_text gives the sorted ids joined by commas instead, a list as long as the neighbourhood.
+    """
     own = sets.select("choice_set_id", F.col("choice_set_id").alias("linked_id"))
     group = own.unionByName(linked_sets(links).join(sets.select("choice_set_id"), "choice_set_id", "left_semi"))
-    return group.groupBy("choice_set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("linked_id")), lambda x: x.cast("string")), ",").alias("group_key"))
+    if as_text:
+        return group.groupBy("choice_set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("linked_id")), lambda x: x.cast("string")), ",").alias("group_key"))
+    hashed = group.distinct().select("choice_set_id", *_fingerprint(F.col("linked_id")))
+    return hashed.groupBy("choice_set_id").agg(F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1")).select("choice_set_id", _group_key().alias("group_key"))
+
+
+def set_groups(classes: DataFrame, links: DataFrame, min_shared: int = 3) -> DataFrame:
+    """choice_set_id, group_key of closed_neighbourhood for the links of class_links, without a row per linked pair of sets.
+
+    The fingerprint of a neighbourhood is that of its classes, of which each is made once.
+    """
+    per = classes.select("class_id", "size", *_fingerprint(F.col("choice_set_id"))).groupBy("class_id", "size").agg(F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+    near = _both_ways(links).join(per.select(F.col("class_id").alias("linked_class"), "h0", "h1"), "linked_class").select("class_id", "h0", "h1")
+    whole = per.filter(F.col("size") >= min_shared).select("class_id", "h0", "h1").unionByName(near).groupBy("class_id").agg(F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+    linked = classes.join(whole, "class_id").select("choice_set_id", _group_key().alias("group_key"))
+    lone = classes.filter(F.col("size") < min_shared).select("choice_set_id", *_fingerprint(F.col("choice_set_id"))).select("choice_set_id", _group_key().alias("group_key"))
+    return linked.unionByName(lone)
+
+
+def group_links(classes: DataFrame, links: DataFrame, groups: DataFrame, min_shared: int = 3) -> DataFrame:
+    """group_key, linked_key: a group with itself and with every group that holds a set linked to its sets.
+
+    Sets of one group have the same neighbours, so what one of them is linked to all are.
+    """
+    keys = classes.join(groups, "choice_set_id").select("class_id", "group_key").distinct()
+    other = keys.select(F.col("class_id").alias("linked_class"), F.col("group_key").alias("linked_key"))
+    near = _both_ways(links).join(keys, "class_id").join(other, "linked_class").select("group_key", "linked_key")
+    return near.unionByName(groups.select("group_key", F.col("group_key").alias("linked_key"))).distinct()
 
 
 # --- lineage ----------------------------------------------------------------------------------

@@ -195,12 +195,13 @@ def parsed_issues(questions: DataFrame, choices: DataFrame) -> DataFrame:
     ])
 
 
-def finalize_checks(items: DataFrame, exams: DataFrame, status: DataFrame, families: DataFrame, neighbourhoods: DataFrame, limits: ExamLimits = ExamLimits(), expected_positions: int | None = None) -> DataFrame:
+def finalize_checks(items: DataFrame, exams: DataFrame, status: DataFrame, families: DataFrame, groups: DataFrame, group_links: DataFrame, limits: ExamLimits = ExamLimits(), expected_positions: int | None = None) -> DataFrame:
     """Issues that decide whether an exam can be finalized.
 
     items: exam_id, position, qversion_id, question_id, correct, stem_html, item_type, choice_set_id.
-    status: question_id, status. families: question_id, family_id. neighbourhoods: choice_set_id,
-    linked_id with each set linked to itself. Pair checks join within (exam, family) and (exam, set).
+    status: question_id, status. families: question_id, family_id. groups (choice_set_id, group_key) and
+    group_links (group_key, linked_key, each linked to itself) as graph.set_groups and graph.group_links
+    give them. Pair checks join within (exam, family); sets near one another are counted by group.
     """
     it = materialise(items.join(status, "question_id", "left"), "exam-items")  # read by every check
     e = exams.select(F.col("id").alias("exam_id"))
@@ -233,9 +234,10 @@ def finalize_checks(items: DataFrame, exams: DataFrame, status: DataFrame, famil
     related = a.join(b, ["exam_id", "family_id"]).filter("position > pa and question_id <> qa")
     parts.append(_issues(related, "derived_together", True, _text("derived from the same question as position ", F.col("pa"))))
     if limits.max_per_set_group:
-        sets = it.groupBy("exam_id", "choice_set_id").agg(F.count(F.lit(1)).alias("n"))
-        near = sets.select("exam_id", "choice_set_id").join(neighbourhoods, "choice_set_id").join(sets.select("exam_id", F.col("choice_set_id").alias("linked_id"), "n"), ["exam_id", "linked_id"])
-        over = near.groupBy("exam_id", "choice_set_id").agg(F.sum("n").alias("n")).filter(F.col("n") > limits.max_per_set_group)
+        sets = it.groupBy("exam_id", "choice_set_id").agg(F.count(F.lit(1)).alias("n")).join(groups, "choice_set_id")
+        asked = sets.groupBy("exam_id", F.col("group_key").alias("linked_key")).agg(F.sum("n").alias("n"))
+        near = asked.join(group_links, "linked_key").groupBy("exam_id", "group_key").agg(F.sum("n").alias("n")).filter(F.col("n") > limits.max_per_set_group)
+        over = sets.select("exam_id", "choice_set_id", "group_key").join(near, ["exam_id", "group_key"])
         parts.append(_whole(over, "set_group_over_limit", False, _text(F.col("n"), " items of set ", F.col("choice_set_id"), " and those near it")))
     if limits.type_distribution:
         want = items.sparkSession.createDataFrame(list(limits.type_distribution.items()), "item_type string, want int")

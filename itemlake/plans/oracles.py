@@ -230,6 +230,11 @@ FROM {question_versions} v LEFT JOIN ok o ON o.choice_set_id = v.choice_set_id""
 
 
 MORE |= {
+    "o_copies": """SELECT choice_set_id AS s, text_html AS t FROM {choice_set_items} UNION ALL SELECT choice_set_id + 100000, text_html FROM {choice_set_items} WHERE choice_set_id % 3 = 1
+    UNION ALL SELECT choice_set_id + 200000, CASE WHEN text_html LIKE 's%' THEN 'other' ELSE text_html END FROM {choice_set_items} WHERE choice_set_id % 4 = 2""",
+    "o_classes": "SELECT s, min(s) OVER (PARTITION BY k) AS c, len(k) AS size FROM (SELECT s, list_sort(list(DISTINCT t)) AS k FROM {o_copies} GROUP BY s) x",
+    "o_copy_links": "SELECT a.s AS a, b.s AS b, count(*) AS shared FROM (SELECT DISTINCT * FROM {o_copies}) a JOIN (SELECT DISTINCT * FROM {o_copies}) b ON a.t = b.t AND a.s <> b.s GROUP BY 1, 2 HAVING count(*) >= 3",
+    "o_copy_near": "SELECT a AS s, list_sort(list(b)) AS k FROM (SELECT a, b FROM {o_copy_links} UNION SELECT s, s FROM {o_copies}) x GROUP BY a",
     "o_cells": "SELECT c.exam_id, c.position, c.pattern, CASE WHEN c.pattern = '' AND r.odd IS NOT NULL THEN TRY_CAST(r.odd AS DOUBLE) ELSE CAST(c.cnt AS DOUBLE) END AS cnt FROM {table_counts} c JOIN {table_rows} r ON r.exam_id = c.exam_id AND r.position = c.position WHERE NOT r.free",
     "o_scanned": """SELECT r.*, t.total, t.counted, CASE WHEN r.exam_id % 2 = 0 THEN CAST(r.permille AS DOUBLE) / 10 / 100 ELSE CAST(r.permille AS DOUBLE) / 1000 END AS p_reported
   FROM {table_rows} r LEFT JOIN (SELECT c.exam_id, c.position, coalesce(sum(c.cnt), 0) AS total, coalesce(sum(CASE WHEN c.pattern = q.correct THEN c.cnt END), 0) AS counted
@@ -249,6 +254,12 @@ SQL |= {
     UNION ALL SELECT * FROM (VALUES (1, 0, 'position', NULL), (1, 1, 'correct', NULL), (1, 2, 'p', NULL), (1, 3, 'n_correct', NULL), (1, 4, 'disc', NULL), (0, 0, 'position', NULL), (0, 1, 'points', NULL),
       (0, 2, 'adjustment', NULL), (0, 3, 'correct', NULL), (0, 4, 'p', NULL), (0, 5, 'disc', NULL), (0, 6, 'ignored', NULL)) AS t(odd, column_no, role, key)) c ON c.odd = x.exam_id % 2""",
     "scan_meta": "SELECT exam_id, exam_name, exam_date, n_examinees, derived_n, coalesce(n_examinees, derived_n) AS effective_n, exam_id % 2 = 0 AS percent, CASE WHEN exam_id % 2 = 0 THEN 'ssdb' ELSE 'legacy' END AS dialect FROM {o_scan_exams}",
+    "neighbourhood_groups": "SELECT s AS choice_set_id, min(s) OVER (PARTITION BY k) AS group_id, count(*) OVER (PARTITION BY k) AS n_sets FROM (SELECT s, list_sort(list(o)) AS k FROM {o_near} GROUP BY s) x",
+    "set_classes": "SELECT s AS choice_set_id, c AS class_id, CAST(size AS BIGINT) AS size FROM {o_classes}",
+    "class_links": "SELECT a AS set_a, b AS set_b, shared FROM {o_copy_links} WHERE a < b AND a IN (SELECT c FROM {o_classes}) AND b IN (SELECT c FROM {o_classes})",
+    "link_counts": "SELECT s AS choice_set_id, (SELECT count(*) FROM {o_copy_links} l WHERE l.a = c.s) AS n_links FROM {o_classes} c",
+    "set_groups": "SELECT s AS choice_set_id, min(s) OVER (PARTITION BY k) AS group_id, count(*) OVER (PARTITION BY k) AS n_sets FROM {o_copy_near}",
+    "group_links": "WITH g AS (SELECT s, min(s) OVER (PARTITION BY k) AS g FROM {o_copy_near}) SELECT DISTINCT x.g AS group_id, y.g AS linked_id FROM (SELECT a, b FROM {o_copy_links} UNION SELECT s, s FROM g) l JOIN g x ON x.s = l.a JOIN g y ON y.s = l.b",
     "scan_quoted": """SELECT exam_id, position, position + CASE WHEN exam_id % 2 = 0 THEN 1 ELSE 4 END AS line_no, CASE WHEN exam_id % 2 = 1 THEN concat('"final", ', exam_id, chr(13), chr(10), 'part 2') END AS exam_name,
     CASE WHEN exam_id % 2 = 0 THEN CASE position % 9 WHEN 0 THEN concat('left out:', chr(10), '"', position, '",', chr(10), chr(10), 'see minutes') WHEN 1 THEN '5" rule' ELSE 'none' END END AS adjustment,
     CASE WHEN free THEN '' ELSE correct END AS correct FROM {table_rows}""",

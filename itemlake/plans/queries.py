@@ -76,6 +76,18 @@ class Views(Bank):
     def links(self) -> DataFrame:
         return self._once("links", lambda: G.near_set_links(self.choice_set_items))
 
+    @property
+    def set_classes(self) -> DataFrame:
+        return self._once("set_classes", lambda: materialise(G.set_classes(self.choice_set_items), "set-classes"))
+
+    @property
+    def class_links(self) -> DataFrame:
+        return self._once("class_links", lambda: materialise(G.class_links(self.choice_set_items, self.set_classes), "class-links"))
+
+    @property
+    def set_groups(self) -> DataFrame:
+        return self._once("set_groups", lambda: G.set_groups(self.set_classes, self.class_links))
+
     @property
     def candidates(self) -> DataFrame:
         dated = self.dated.join(self.flags, S.ITEM)
@@ -123,7 +135,7 @@ def _full(v: Views) -> tuple[list[L.Request], DataFrame]:
         L.Request(1, 30, {"A": 5, "X2": 10, "X3": 10}), L.Request(2, 50, None, {"Brand#13": 5, "Brand#11": 7}, None, 2, 3), L.Request(3, 20, None, None, 0.2, 1),
     ]
     families = G.derivation_family(v.questions, v.question_versions)
-    return requests, L.select_candidates(requests, v.pool, families, G.closed_neighbourhood(v.sets, v.links))
+    return requests, L.select_candidates(requests, v.pool, families, v.set_groups)
 
 
 def _stats_rows(v: Views) -> DataFrame:
@@ -139,10 +151,10 @@ def _validated(v: Views) -> DataFrame:
 
 
 def _finalize(v: Views) -> DataFrame:
-    near = G.linked_sets(v.links).unionByName(v.sets.select("choice_set_id", F.col("choice_set_id").alias("linked_id")))
+    groups = materialise(v.set_groups, "set-groups")
     status = v.questions.select(F.col("id").alias("question_id"), "status")
     limits = V.ExamLimits(max_per_set_group=2, max_negative=20, max_negative_ratio=0.1, type_distribution={"A": 30, "XX": 10})
-    return V.finalize_checks(v.items, v.exams, status, G.derivation_family(v.questions, v.question_versions), near, limits)
+    return V.finalize_checks(v.items, v.exams, status, G.derivation_family(v.questions, v.question_versions), groups, G.group_links(v.set_classes, v.class_links, groups), limits)
 
 
 def _printed(v: Views) -> DataFrame:
@@ -157,6 +169,34 @@ def _upsert(v: Views) -> DataFrame:
     return M.upsert_choice_sets(sets, items, _printed(v))[2]
 
 
+def _with_copies(v: Views) -> DataFrame:
+    """The sets, every third again under another id and in another order, and every fourth again with a text replaced."""
+    s = v.choice_set_items.select("choice_set_id", "text_html")
+    copies = s.filter("choice_set_id % 3 = 1").select((F.col("choice_set_id") + 100000).alias("choice_set_id"), "text_html")
+    odd = s.filter("choice_set_id % 4 = 2").select((F.col("choice_set_id") + 200000).alias("choice_set_id"), F.when(F.col("text_html").startswith("s"), "other").otherwise(F.col("text_html")).alias("text_html"))
+    return s.unionByName(copies).unionByName(odd)
+
+
+def _of_copies(v: Views) -> tuple[DataFrame, DataFrame]:
+    items = _with_copies(v)
+    classes = materialise(G.set_classes(items), "classes")
+    return classes, G.class_links(items, classes)
+
+
+def _smallest(groups: DataFrame) -> DataFrame:
+    """Groups by their smallest set instead of their key, with their size."""
+    per = groups.groupBy("group_key").agg(F.min("choice_set_id").alias("group_id"), F.count(F.lit(1)).alias("n_sets"))
+    return groups.join(per, "group_key").select("choice_set_id", "group_id", "n_sets")
+
+
+def _group_links(v: Views) -> DataFrame:
+    classes, links = _of_copies(v)
+    groups = materialise(G.set_groups(classes, links), "groups")
+    names = groups.groupBy("group_key").agg(F.min("choice_set_id").alias("group_id"))
+    other = names.select(F.col("group_key").alias("linked_key"), F.col("group_id").alias("linked_id"))
+    return G.group_links(classes, links, groups).join(names, "group_key").join(other, "linked_key").select("group_id", "linked_id")
+
+
 def _revisions(v: Views) -> DataFrame:
     latest = L.latest_version(v.question_versions)
     return latest.select(
@@ -390,7 +430,13 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "assign_positions": lambda v: L.assign_positions(_by_quota(v).join(v.pool.select("question_id", "times_used", "last_exam_year"), "question_id")).select("request_id", "question_id", "position"),
     "near_set_links": lambda v: v.links,
     "link_overrides": lambda v: G.apply_link_overrides(v.links, v.links.filter("set_a % 7 = 0").select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b"), F.lit(1).alias("shared")), v.links.filter("set_b % 3 = 0").select("set_a", "set_b")),
-    "closed_neighbourhood": lambda v: G.closed_neighbourhood(v.sets, v.links),
+    "closed_neighbourhood": lambda v: G.closed_neighbourhood(v.sets, v.links, as_text=True),
+    "neighbourhood_groups": lambda v: _smallest(G.closed_neighbourhood(v.sets, v.links)),
+    "set_classes": lambda v: G.set_classes(_with_copies(v)),
+    "class_links": lambda v: _of_copies(v)[1],
+    "link_counts": lambda v: G.link_counts(*_of_copies(v)),
+    "set_groups": lambda v: _smallest(G.set_groups(*_of_copies(v))),
+    "group_links": _group_links,
     "lineage": lambda v: G.lineage(v.questions, v.question_versions),
     "derivation_family": lambda v: G.derivation_family(v.questions, v.question_versions),
     "set_signature": lambda v: M.set_signatures(v.choice_set_items),
