@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
+from itemlake.plans.carry import in_order, last_before
 
 ITEM = ["exam_id", "qversion_id"]
 
@@ -146,16 +147,21 @@ def modal_total(rows: DataFrame) -> DataFrame:
 
 
 def previous_stats(stats: DataFrame) -> DataFrame:
-    """exam_id, qversion_id, prev_p, prev_disc: the question's strictly earlier exam with the latest date (then the largest id).
+    """exam_id, qversion_id, prev_p, prev_disc: the question's strictly earlier exam with the latest date (then the largest id, then version).
 
     A null date on another exam sorts first; where this exam's date is null every other exam counts as earlier.
-    One exchange by question; a frame over the dates before grows as it goes, so a question's history is read once.
+    Rows are sorted over range partitions by question and date, and what comes before a date is carried
+    along (see plans.carry), so a question that holds half of all rows is as many tasks. Of the questions
+    with an undated exam the two latest exams are aggregated.
     """
-    own = Window.partitionBy("question_id")
-    cur = stats.select(*ITEM, "question_id", "exam_date", "p", "disc", F.struct(F.coalesce("exam_date", F.lit("")).alias("date"), "exam_id").alias("_at"))
-    cur = cur.withColumn("_no", F.dense_rank().over(own.orderBy("_at.date"))).withColumn("_last", F.max("_at").over(own))
-    before = own.orderBy("_no").rangeBetween(Window.unboundedPreceding, -1)
-    other = F.when(F.col("exam_id") != F.col("_last.exam_id"), F.col("_at"))
-    undated = F.coalesce("exam_date", F.lit("")) == ""
-    prev = lambda c: F.when(~undated, F.max_by(c, "_at").over(before)).when(F.col("exam_id") != F.col("_last.exam_id"), F.max_by(c, "_at").over(own)).otherwise(F.max_by(c, other).over(own))
-    return cur.select(*ITEM, prev("p").alias("prev_p"), prev("disc").alias("prev_disc"))
+    cur = stats.select("question_id", F.coalesce("exam_date", F.lit("")).alias("date"), "exam_id", "qversion_id", "p", "disc")
+    rows = in_order(cur, ["question_id", "date", "exam_id", "qversion_id"])
+    found = last_before(rows, ["question_id"], ["date"], ["p", "disc"], "prev").filter("date <> ''").select(*ITEM, F.col("prev.p").alias("prev_p"), F.col("prev.disc").alias("prev_disc"))
+    undated = rows.filter("date = ''").select("question_id", *ITEM)
+    asked = rows.join(undated.select("question_id").distinct(), "question_id", "left_semi")
+    exams = asked.groupBy("question_id", "exam_id").agg(F.max(F.struct("date", "exam_id", "qversion_id", "p", "disc")).alias("x"))
+    top = exams.groupBy("question_id").agg(F.max("x").alias("top"))
+    second = exams.join(top, "question_id").filter(F.col("exam_id") != F.col("top.exam_id")).groupBy("question_id").agg(F.max("x").alias("second"))
+    other = undated.join(top, "question_id").join(second, "question_id", "left")
+    prev = F.when(F.col("exam_id") != F.col("top.exam_id"), F.col("top")).otherwise(F.col("second"))
+    return found.unionByName(other.select(*ITEM, prev["p"].alias("prev_p"), prev["disc"].alias("prev_disc")))
