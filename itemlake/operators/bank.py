@@ -68,7 +68,7 @@ def find_duplicates(versions: DataFrame, batch: DataFrame) -> DataFrame:
     return asked.join(known, ["choice_set_id", "plain"]).groupBy("batch_key").agg(F.min("question_id").alias("question_id"))
 
 
-def _checked(batch: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def checked_batch(batch: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """batch with stem_html and correct normalised and blocked: whether a draft check blocks it."""
     b = batch.withColumn("stem_html", C.normalize_stem(F.col("stem_html"))).withColumn("correct", C.normalize_correct(F.coalesce("correct", F.lit(""))))
     rows = b.select(F.lit(0).cast("long").alias("exam_id"), F.col("batch_key").alias("position"), "stem_html", "correct", "status")
@@ -81,7 +81,7 @@ def register_questions(questions: DataFrame, versions: DataFrame, batch: DataFra
     """New questions with version 1 from batch (batch_key, stem_html, choice_set_id, choice_order, correct, status[, derived_from]); report: batch_key, question_id, blocked."""
     if "derived_from" not in batch.columns:
         batch = batch.withColumn("derived_from", F.lit(None).cast("long"))
-    checked = materialise(_checked(batch), "checked")
+    checked = materialise(checked_batch(batch), "checked")
     new = _after(checked.filter("not blocked"), questions, ["batch_key"], "question_id")
     new = materialise(_after(new, versions, ["batch_key"], "id"), "new-questions")
     q = questions.select("id", "status", "derived_from").unionByName(new.select(F.col("question_id").alias("id"), "status", F.col("derived_from").cast("long").alias("derived_from")))
@@ -105,23 +105,37 @@ def requires_new_version() -> Column:
     return changed | (C.normalize_correct(F.col("old_correct")) != F.col("correct")) | ~C.item_type(F.col("old_stem")).eqNullSafe(C.item_type(F.col("stem_html")))
 
 
-def revise_questions(versions: DataFrame, questions: DataFrame, batch: DataFrame, allow_inplace: bool = True) -> tuple[DataFrame, DataFrame]:
-    """versions and a report (question_id, version_no, created_new_version, blocked) after a batch (question_id, stem_html, choice_set_id, choice_order, correct), a row a question.
-
-    A change of set, order, key or item type makes the next version; another stem alone is corrected in place.
-    """
+def revision_rows(versions: DataFrame, questions: DataFrame, batch: DataFrame, allow_inplace: bool = True) -> DataFrame:
+    """The batch checked and beside each question's latest version (old_*), with fresh: whether it makes the next version."""
     keyed = batch.join(questions.select(F.col("id").alias("question_id"), "status"), "question_id").withColumn("batch_key", F.col("question_id"))
     old = latest_version(versions).select(
         "question_id", F.col("id").alias("old_id"), F.col("version_no").alias("old_no"), F.col("choice_set_id").alias("old_set"),
         F.col("choice_order").alias("old_order"), F.col("correct").alias("old_correct"), F.col("stem_html").alias("old_stem"),
     )
-    rows = _checked(keyed).join(old, "question_id").withColumn("fresh", requires_new_version() | F.lit(not allow_inplace))
+    return checked_batch(keyed).join(old, "question_id").withColumn("fresh", requires_new_version() | F.lit(not allow_inplace))
+
+
+def next_versions(rows: DataFrame) -> DataFrame:
+    """Columns of the versions that revision_rows with an id make."""
+    return rows.select("id", "question_id", (F.col("old_no") + 1).alias("version_no"), "choice_set_id", "choice_order", "correct", "stem_html")
+
+
+def revision_report(rows: DataFrame) -> DataFrame:
+    made = F.col("fresh") & ~F.col("blocked")
+    return rows.select("question_id", F.when(made, F.col("old_no") + 1).otherwise(F.col("old_no")).alias("version_no"), made.alias("created_new_version"), "blocked")
+
+
+def revise_questions(versions: DataFrame, questions: DataFrame, batch: DataFrame, allow_inplace: bool = True) -> tuple[DataFrame, DataFrame]:
+    """versions and a report (question_id, version_no, created_new_version, blocked) after a batch (question_id, stem_html, choice_set_id, choice_order, correct), a row a question.
+
+    A change of set, order, key or item type makes the next version; another stem alone is corrected in place.
+    """
+    rows = revision_rows(versions, questions, batch, allow_inplace)
     go = rows.filter("not blocked")
-    new = _after(go.filter("fresh"), versions, ["question_id"], "id").select("id", "question_id", (F.col("old_no") + 1).alias("version_no"), "choice_set_id", "choice_order", "correct", "stem_html")
+    new = next_versions(_after(go.filter("fresh"), versions, ["question_id"], "id"))
     fixed = go.filter("not fresh").select(F.col("old_id").alias("id"), F.col("stem_html").alias("new_stem"))
     kept = versions.join(fixed, "id", "left").withColumn("stem_html", F.coalesce("new_stem", "stem_html")).drop("new_stem")
-    report = rows.select("question_id", F.when(F.col("fresh") & ~F.col("blocked"), F.col("old_no") + 1).otherwise(F.col("old_no")).alias("version_no"), (F.col("fresh") & ~F.col("blocked")).alias("created_new_version"), "blocked")
-    return kept.unionByName(new, allowMissingColumns=True), report
+    return kept.unionByName(new, allowMissingColumns=True), revision_report(rows)
 
 
 def retire_questions(questions: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from itemlake.functions import columns as C
 from itemlake.operators.select import tags_of
 from itemlake.operators.stats import ITEM, previous_stats, top_wrong_k
+from itemlake.plans.medians import medians
+from itemlake.plans.scratch import materialise
 
 
 def crosswalk(items: DataFrame, dated: DataFrame, exams: DataFrame, questions: DataFrame, tags: DataFrame) -> DataFrame:
@@ -130,12 +132,13 @@ def confusion_partner(appearances: DataFrame) -> DataFrame:
 
 
 def item_performance(appearances: DataFrame) -> DataFrame:
-    """One row a term over all exams: appearances by role, two medians and the partner it is most confused with."""
-    per = appearances.groupBy("text_html").agg(
-        F.count(F.lit(1)).alias("appearances"), F.count_if("was_correct").alias("as_correct"), F.count_if(~F.col("was_correct")).alias("as_distractor"),
-        F.median(F.when(F.col("was_correct"), F.col("question_p"))).alias("median_p_when_correct"),
-        F.median(F.when(~F.col("was_correct"), F.col("mark_rate"))).alias("median_mark_rate_when_distractor"),
-    )
+    """One row a term over all exams: appearances by role, two medians (see plans.medians) and the partner it is most confused with."""
+    value = F.when(F.col("was_correct"), F.col("question_p")).otherwise(F.col("mark_rate"))
+    role = materialise(medians(appearances, ["text_html", "was_correct"], value), "medians")
+    of = lambda correct: F.max(F.when(F.col("was_correct") == correct, F.col("median")))
+    middle = role.groupBy("text_html").agg(of(True).alias("median_p_when_correct"), of(False).alias("median_mark_rate_when_distractor"))
+    counts = appearances.groupBy("text_html").agg(F.count(F.lit(1)).alias("appearances"), F.count_if("was_correct").alias("as_correct"), F.count_if(~F.col("was_correct")).alias("as_distractor"))
+    per = counts.join(middle, "text_html")
     full = per.join(confusion_partner(appearances), "text_html", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return full.select(

@@ -44,3 +44,28 @@ def last_before(rows: DataFrame, keys: list[str], group: list[str], values: list
     borders = borders.withColumn("entry", F.last(entry, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = rows.join(borders.select("_part", "entry"), "_part")
     return joined.withColumn(name, F.coalesce("_inner", "entry")["row"]).drop("_own", "_lag", "_start", "_inner", "entry")
+
+
+def last_known(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows (of in_order, by keys first) with last_<value> for each of values: its last value that isn't null up to the row, within the key.
+
+    A window spans a key's rows in one partition. What a partition's first key brings along comes from a row a partition: its first
+    and last key, and what is known of the last one at its end.
+    """
+    own = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({f"_in_{v}": F.last(v, ignorenulls=True).over(own) for v in values}).withColumn("_key", F.struct(*keys))
+    borders = rows.groupBy("_part").agg(
+        F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last"), *[F.max_by(F.struct(f"_in_{v}"), "_at")[f"_in_{v}"].alias(f"end_{v}") for v in values]
+    )
+    over = Window.orderBy("_part")  # a row a partition
+    before = {c: F.lag(c).over(over) for c in ("first", "last", *[f"end_{v}" for v in values])}
+    borders = borders.withColumns({f"before_{c}": e for c, e in before.items()})
+    upto = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    goes_on = F.coalesce(F.col("before_last") == F.col("first"), F.lit(False))
+    for v in values:
+        none, end = F.struct(F.lit(None).cast(rows.schema[v].dataType).alias("x")), F.col(f"before_end_{v}")
+        event = F.when(~goes_on, none).when(end.isNotNull(), F.struct(end.alias("x"))).when(F.col("before_first") != F.col("before_last"), none)
+        borders = borders.withColumn(f"entry_{v}", F.last(event, ignorenulls=True).over(upto)["x"])
+    joined = rows.join(borders.select("_part", "first", *[f"entry_{v}" for v in values]), "_part")
+    found = {f"last_{v}": F.coalesce(f"_in_{v}", F.when(F.col("_key") == F.col("first"), F.col(f"entry_{v}"))) for v in values}
+    return joined.withColumns(found).drop("_key", "first", *[f"_in_{v}" for v in values], *[f"entry_{v}" for v in values])

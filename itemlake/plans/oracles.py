@@ -279,6 +279,21 @@ SQL |= {
     "stored_counts": "SELECT exam_id, qversion_id, pattern, CAST(cnt * CASE WHEN exam_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS cnt FROM {item_pattern_counts}",
     "stored_stats": f"SELECT d.exam_id, d.qversion_id, {i('d.n', 'n')}, {r('d.p', 'p')}, f.flags FROM {{o_dated}} d JOIN {{o_flags}} f USING (exam_id, qversion_id)",
     "stored_crosswalk": SQL["crosswalk"],
+    "stored_flags": SQL["flag_report"],
+    "stored_comparison": SQL["comparison_report"],
+    "stored_patterns": SQL["pattern_report"],
+    "stored_strata": SQL["strata"],
+    "pattern_grid": "SELECT e.id AS exam_id, p.pattern, p.k AS ord, p.size, CAST(coalesce(sum(c.cnt), 0) AS BIGINT) AS cnt FROM {exams} e CROSS JOIN {patterns} p LEFT JOIN {item_pattern_counts} c ON c.exam_id = e.id AND c.pattern = p.pattern WHERE p.k < 31 GROUP BY ALL",
+    "skipped_paragraphs": """SELECT doc_id, paragraph, CASE k WHEN 0 THEN ' 12 ' WHEN 1 THEN '　＜ 以上 ＞' WHEN 2 THEN '学年 番号 氏名' WHEN 4 THEN ' 氏  名' ELSE text END AS text
+    FROM (SELECT *, (doc_id + paragraph) % 17 AS k FROM {o_par}) p WHERE k IN (0, 1, 2, 4) OR (k <> 3 AND k <> 5 AND regexp_matches(text, '^\\s*[0-9]+\\s*$'))""",
+    "nfkc": "SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM (SELECT doc_id, nfc_normalize(text) AS t FROM {documents}) d",
+    "changed_bank": f"""{_NEW}, m AS (SELECT *, (SELECT max(id) FROM {{question_versions}}) + row_number() OVER (ORDER BY batch_key) AS id FROM n),
+    {_REV[5:_REV.rindex('SELECT question_id, CAST(old_no')].replace('b AS (', 'rb AS (', 1).replace('FROM b)', 'FROM rb)').replace('ON q.id = l.question_id)', 'ON q.id = l.question_id WHERE l.question_id % 10 = 0)').replace('SELECT l.question_id, l.version_no', 'SELECT l.question_id, l.id AS old_id, l.choice_set_id, l.version_no', 1).strip()},
+    v AS (SELECT v.id, v.question_id, v.version_no, v.choice_set_id, v.choice_order, v.correct, coalesce(f.new_stem, v.stem_html) AS stem FROM {{question_versions}} v LEFT JOIN f ON f.old_id = v.id AND NOT f.fresh AND NOT f.blocked
+    UNION ALL SELECT m.id, m.question_id, 1, o.choice_set_id, o.choice_order, c.correct, o.stem_html FROM m JOIN {{question_versions}} o ON o.id = m.batch_key JOIN c ON c.batch_key = m.batch_key
+    UNION ALL SELECT (SELECT max(id) FROM m) + row_number() OVER (ORDER BY question_id), question_id, old_no + 1, choice_set_id, new_order, correct, new_stem FROM f WHERE fresh AND NOT blocked),
+    q AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'retired' ELSE status END AS status FROM {{questions}} UNION ALL SELECT m.question_id, c.status FROM m JOIN c ON c.batch_key = m.batch_key)
+    SELECT CAST(v.id AS BIGINT) AS id, CAST(v.question_id AS BIGINT) AS question_id, CAST(version_no AS BIGINT) AS version_no, choice_set_id, choice_order, correct, md5(stem) AS stem_md5, q.status FROM v JOIN q ON q.id = v.question_id""",
     "resolve_printed": """WITH g AS (SELECT choice_set_id, string_agg(text_html, chr(31) ORDER BY text_html) AS sig, count(*) AS n FROM {choice_set_items} GROUP BY 1), old AS (SELECT sig, min(choice_set_id) AS id FROM g WHERE choice_set_id % 2 = 0 GROUP BY sig),
 new AS (SELECT sig, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY min(choice_set_id), sig) AS id FROM g WHERE n = 5 AND sig NOT IN (SELECT sig FROM old) GROUP BY sig),
 m AS (SELECT g.choice_set_id AS batch_key, CAST(coalesce(o.id, n.id) AS BIGINT) AS choice_set_id, o.id IS NULL AS created FROM g LEFT JOIN old o ON o.sig = g.sig LEFT JOIN new n ON n.sig = g.sig WHERE g.n = 5),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
 from itemlake.operators import bank as M
+from itemlake.operators import changes as K
 from itemlake.operators import graph as G
 from itemlake.operators import reports as R
 from itemlake.operators import select as L
@@ -23,6 +24,8 @@ from itemlake.sources.project import Bank
 PAGE_TAGS = ("p", "li")
 KEYWORD = "含まれ"
 WORDS = ("the", "der")
+ASCII = "".join(map(chr, range(0x21, 0x7F))) + " "
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -343,12 +346,42 @@ def _stored_stats(v: Views) -> DataFrame:
     return v.spark.read.parquet(folder).select(*S.ITEM, "n", "p", "flags")
 
 
-def _stored_crosswalk(v: Views) -> DataFrame:
-    """The crosswalk table written as CSV with others, and read back."""
-    folder, table = new_folder(v.spark, "tables"), R.crosswalk(v.items, v.dated, v.exams, v.questions, v.question_tags)
-    sinks.write_tables({"crosswalk": table, "flags": R.flag_report(v.report)}, folder, "csv")
+def _stored_table(v: Views, name: str, table: DataFrame) -> DataFrame:
+    """A report table written as CSV and read back."""
+    folder = new_folder(v.spark, "tables")
+    sinks.write_tables({name: table}, folder, "csv")
     kinds = ", ".join(f"{c} {'string' if t.startswith('array') else t}" for c, t in table.dtypes)
-    return v.spark.read.schema(kinds).option("header", True).csv(f"{folder}/crosswalk")
+    return v.spark.read.schema(kinds).option("header", True).csv(f"{folder}/{name}")
+
+
+def _odd_paragraphs(v: Views) -> DataFrame:
+    """Paragraphs with page numbers, name fields, end marks and blank lines among them."""
+    k = (F.col("doc_id") + F.col("paragraph")) % 17
+    odd = F.when(k == 0, " 12 ").when(k == 1, "　＜ 以上 ＞").when(k == 2, "学年 番号 氏名").when(k == 3, " 　 ").when(k == 4, " 氏  名").when(k == 5, "3. 氏名")
+    return v.paragraphs.withColumn("text", odd.otherwise(F.col("text")))
+
+
+def _changed(v: Views) -> DataFrame:
+    """The bank kept in buckets: new questions registered, every tenth revised and every ninth retired, each as a change set."""
+    questions = K.BucketedTable(v.spark, new_folder(v.spark, "questions"), n_buckets=16).create(v.questions.select("id", "status", "derived_from"))
+    versions = K.BucketedTable(v.spark, new_folder(v.spark, "versions"), bucket_key="question_id", n_buckets=16).create(v.question_versions)
+    puts, new, _ = K.register_changes(_new_questions(v), questions.top(), versions.top())
+    questions.merge(puts)
+    versions.merge(new)
+    batch = _revisions(v).filter("question_id % 10 = 0")
+    keys = batch.select("question_id", F.col("question_id").alias("id"))
+    versions.merge(K.revise_changes(versions.near(keys), questions.near(keys), batch, versions.top())[0])
+    gone = v.questions.filter("id % 9 = 0").select("id", F.col("id").alias("question_id"))
+    questions.merge(K.retire_changes(questions.near(gone), gone))
+    status = questions.read().select(F.col("id").alias("question_id"), "status")
+    return versions.read().join(status, "question_id").select("id", "question_id", "version_no", "choice_set_id", "choice_order", "correct", F.md5("stem_html").alias("stem_md5"), "status")
+
+
+def _pattern_grid(v: Views) -> DataFrame:
+    """How often every answer pattern occurs in each exam, also those that nobody marked."""
+    counts = v.item_pattern_counts.groupBy("exam_id", "pattern").agg(F.sum("cnt").alias("cnt"))
+    grid = v.exams.select(F.col("id").alias("exam_id")).join(F.broadcast(C.all_patterns(v.spark)))  # 31 rows
+    return grid.join(counts, ["exam_id", "pattern"], "left").select("exam_id", "pattern", "ord", "size", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def _imported(v: Views) -> DataFrame:
@@ -500,7 +533,15 @@ _BY_NAME: dict[str, Callable[[Views], DataFrame]] = {
     "stored_key": _stored_key,
     "stored_counts": _stored_counts,
     "stored_stats": _stored_stats,
-    "stored_crosswalk": _stored_crosswalk,
+    "stored_crosswalk": lambda v: _stored_table(v, "crosswalk", R.crosswalk(v.items, v.dated, v.exams, v.questions, v.question_tags)),
+    "stored_flags": lambda v: _stored_table(v, "flags", R.flag_report(v.report)),
+    "stored_comparison": lambda v: _stored_table(v, "comparison", R.comparison_report(v.report)),
+    "stored_patterns": lambda v: _stored_table(v, "patterns", R.pattern_report(v.item_pattern_counts, v.items)),
+    "stored_strata": lambda v: _stored_table(v, "strata", R.strata(v.report)),
+    "changed_bank": _changed,
+    "pattern_grid": _pattern_grid,
+    "skipped_paragraphs": lambda v: textruns.drop_noise(_odd_paragraphs(v))[1],
+    "nfkc": lambda v: v.documents.select("doc_id", C.nfkc(F.translate("text", ASCII, WIDE)).alias("text")).select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5")),
     "resolve_printed": _resolved,
     "import_exams": _imported,
     "choice_emphasis": _choice_emphasis,

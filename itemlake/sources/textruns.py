@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
+from itemlake.plans.carry import in_order, last_known
 
 PARAGRAPH = ["doc_id", "paragraph"]
 # Line and marker patterns of the document format.
@@ -56,19 +57,18 @@ def segment_questions(paragraphs: DataFrame) -> DataFrame:
     """doc_id, paragraph, number, kind, label, text: stem, choice, continuation (of a stem) or stray, by leading markers.
 
     A question begins at a number and space; letters a to e begin a choice once a question has begun;
-    other lines continue a stem until its first choice. Running windows over a document carry the state.
+    other lines continue a stem until its first choice. The last number and the last marker are carried
+    over range partitions by document and paragraph (see plans.carry), so a long document is many tasks.
     """
-    w = Window.partitionBy("doc_id").orderBy("paragraph")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     number = C.narrow(F.regexp_extract("text", "(?U)" + QUESTION, 1))
     letter = F.lower(C.narrow(F.regexp_extract("text", "(?U)" + CHOICE, 1)))
-    p = paragraphs.withColumn("number", F.when(number != "", number.cast("int"))).withColumn("label", F.when(letter != "", letter))
-    p = p.withColumn("q", F.sum(F.col("number").isNotNull().cast("int")).over(upto))
-    mark = F.when(F.col("number").isNotNull(), "stem").when(F.col("label").isNotNull() & (F.col("q") > 0), "choice")
-    p = p.withColumn("mark", mark).withColumn("last", F.last("mark", ignorenulls=True).over(upto))
-    kind = F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("last") == "stem", "continuation").otherwise("stray")
+    p = paragraphs.select(*PARAGRAPH, "text", F.when(number != "", number.cast("int")).alias("number"), F.when(letter != "", letter).alias("label"))
+    p = last_known(in_order(p, PARAGRAPH), ["doc_id"], ["number"])
+    mark = F.when(F.col("number").isNotNull(), "stem").when(F.col("label").isNotNull() & F.col("last_number").isNotNull(), "choice")
+    p = last_known(p.withColumn("mark", mark), ["doc_id"], ["mark"])
+    kind = F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("last_mark") == "stem", "continuation").otherwise("stray")
     body = F.when(F.col("mark") == "stem", F.regexp_replace("text", "(?U)" + QUESTION, "")).when(F.col("mark") == "choice", F.regexp_replace("text", "(?U)" + CHOICE, "")).otherwise(F.col("text"))
-    return p.select("doc_id", "paragraph", F.last("number", ignorenulls=True).over(upto).alias("number"), kind.alias("kind"), F.when(F.col("mark") == "choice", F.col("label")).alias("label"), body.alias("text"))
+    return p.select(*PARAGRAPH, F.col("last_number").alias("number"), kind.alias("kind"), F.when(F.col("mark") == "choice", F.col("label")).alias("label"), body.alias("text"))
 
 
 def run_formats(runs: DataFrame) -> DataFrame:
