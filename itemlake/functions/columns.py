@@ -50,18 +50,24 @@ def _reference(piece: Column) -> Column:
     full = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
     short = F.regexp_extract(piece, f"^&({'|'.join(sorted((n for n in entities.html5 if not n.endswith(';')), key=len, reverse=True))})", 1)
     names = F.from_json(F.lit(json.dumps(entities.html5)), "map<string,string>")
-    named = lambda name: F.concat(F.try_element_at(names, name), F.substr(piece, F.length(name) + 2))
-    return (
-        F.when(number.isNotNull(), F.concat(char, F.regexp_replace(piece, "^&#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
-        .when(F.try_element_at(names, full).isNotNull(), named(full)).when(short != "", named(short)).otherwise(piece)
-    )
+    told = F.transform(F.array(full, short), lambda name: F.concat(F.try_element_at(names, name), F.substr(piece, F.length(name) + 2)))
+    decoded = F.concat(char, F.regexp_replace(piece, "^&#([0-9]+|[xX][0-9a-fA-F]+);?", ""))
+    return F.when(number.isNotNull(), decoded).otherwise(F.coalesce(F.array_compact(told)[0], piece))
+
+
+# Fixed value: the references that most texts have, and what they stand for; the ampersand's is decoded last, so nothing is decoded twice.
+COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
 def strip_tags(html_text: Column) -> Column:
     """Text without tags and comments, with all character references decoded once: numbers, HTML's names, and those of them that need no semicolon."""
     s = F.regexp_replace(html_text, "(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>", "")
+    common = s
+    for reference, char in COMMON.items():
+        common = F.replace(common, F.lit(reference), F.lit(char))
     pieces = F.transform(F.split(s, "(?=&)"), lambda p: F.when(F.startswith(p, F.lit("&")), _reference(p)).otherwise(p))
-    return F.when(F.contains(s, F.lit("&")), F.array_join(pieces, "")).otherwise(s)
+    others = s.rlike(f"&(?!(?:{'|'.join(c[1:] for c in COMMON)}))")
+    return F.when(~F.contains(s, F.lit("&")), s).when(~others, common).otherwise(F.array_join(pieces, ""))
 
 
 def has_tag(html: Column, tag: str) -> Column:
@@ -162,16 +168,21 @@ def _instruction(stem: Column) -> tuple[Column, Column, Column]:
     return plain, plain.rlike(_ALL), F.when(number != "", number.cast("int"))
 
 
+def _by_asked(stem: Column, every: str | None, by_number: dict[str, str]) -> Column:
+    """every where all are to be chosen, else what by_number has for the number asked ('' for none): one lookup, so that the stripped stem is in the plan twice."""
+    plain = narrow(strip_tags(stem))
+    number = F.translate(F.regexp_extract(plain, _SOME, 1), "一二三四五", "12345")
+    return F.when(plain.rlike(_ALL), F.lit(every)).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for kv in by_number.items() for x in kv]), F.coalesce(number, F.lit(""))))
+
+
 def item_type(stem: Column) -> Column:
     """A, X2, X3, X4 or XX from the instruction in the stem; null if there is none or it asks for five or more."""
-    _, every, n = _instruction(stem)
-    return F.when(every, "XX").when(n == 1, "A").when((n >= 2) & (n <= 4), F.concat(F.lit("X"), n.cast("string")))
+    return _by_asked(stem, "XX", {"1": "A", "2": "X2", "3": "X3", "4": "X4"})
 
 
 def type_problem(stem: Column) -> Column:
     """Why item_type is null: five_of_five, over_five or no_instruction."""
-    _, every, n = _instruction(stem)
-    return F.when(every, None).when(n.isNull(), "no_instruction").when(n == 5, "five_of_five").when(n > 5, "over_five")
+    return _by_asked(stem, None, {"": "no_instruction", "5": "five_of_five"} | {str(n): "over_five" for n in range(6, 10)})
 
 
 def instruction_of(stem: Column) -> Column:

@@ -68,9 +68,9 @@ def find_duplicates(versions: DataFrame, batch: DataFrame) -> DataFrame:
     return asked.join(known, ["choice_set_id", "plain"]).groupBy("batch_key").agg(F.min("question_id").alias("question_id"))
 
 
-def checked_batch(batch: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """batch with stem_html and correct normalised and blocked: whether a draft check blocks it."""
-    b = batch.withColumn("stem_html", C.normalize_stem(F.col("stem_html"))).withColumn("correct", C.normalize_correct(F.coalesce("correct", F.lit(""))))
+def checked_batch(batch: DataFrame) -> DataFrame:
+    """batch with stem_html and correct normalised and blocked: whether a draft check blocks it. Stored once normalised, as every check reads the stem."""
+    b = materialise(batch.withColumn("stem_html", C.normalize_stem(F.col("stem_html"))).withColumn("correct", C.normalize_correct(F.coalesce("correct", F.lit("")))), "batch")
     rows = b.select(F.lit(0).cast("long").alias("exam_id"), F.col("batch_key").alias("position"), "stem_html", "correct", "status")
     bad = V.validate_draft(rows).filter("blocking").select(F.col("position").alias("batch_key")).distinct().withColumn("blocked", F.lit(True))
     order = C.is_choice_order(F.col("choice_order"))
@@ -130,7 +130,7 @@ def revise_questions(versions: DataFrame, questions: DataFrame, batch: DataFrame
 
     A change of set, order, key or item type makes the next version; another stem alone is corrected in place.
     """
-    rows = revision_rows(versions, questions, batch, allow_inplace)
+    rows = materialise(revision_rows(versions, questions, batch, allow_inplace), "revisions")
     go = rows.filter("not blocked")
     new = next_versions(_after(go.filter("fresh"), versions, ["question_id"], "id"))
     fixed = go.filter("not fresh").select(F.col("old_id").alias("id"), F.col("stem_html").alias("new_stem"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itemlake.functions import columns as C
+from itemlake.plans.scratch import materialise
 from itemlake.operators.stats import emphasis_violation
 
 
@@ -154,10 +155,12 @@ def select_by_quota(requests: DataFrame, quotas: DataFrame, pool: DataFrame) ->
 
     requests (request_id, total, new_target: null for no share), quotas (request_id, item_type, quota).
     Exactly the greedy order, by windows: first new items up to quota, share and total, then the
-    rest up to what quota and total leave (all items again where no share is set).
+    rest up to what quota and total leave (all items again where no share is set). Candidates are joined
+    once and stored; whether requests and quotas are broadcast is left to their size.
     """
     order = preference_order()
-    rows = pool.withColumn("is_new", F.col("p").isNull()).join(F.broadcast(quotas), "item_type").join(F.broadcast(requests), "request_id")  # small: one row a request and type
+    rows = pool.withColumn("is_new", F.col("p").isNull()).join(quotas, "item_type").join(requests, "request_id")
+    rows = materialise(rows.select("request_id", "total", "new_target", "quota", "question_id", "qversion_id", "item_type", "is_new", "times_used", "last_exam_year"), "asked")  # ranked four times
     w = lambda *k: Window.partitionBy("request_id", *k).orderBy(*order)
     share = F.col("new_target")
     first = rows.filter("is_new and new_target > 0").withColumn("r", F.row_number().over(w("item_type"))).filter("r <= quota")
