@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from itemlake.functions import columns as C
 from itemlake.operators.select import tags_of
 from itemlake.operators.stats import ITEM, previous_stats, top_wrong_k
+from itemlake.plans.heavy import most_frequent
 from itemlake.plans.medians import medians
 from itemlake.plans.scratch import materialise
 
@@ -117,22 +118,22 @@ def confusion_partner(appearances: DataFrame) -> DataFrame:
     """text_html, top_confused_with, top_confused_count, co_occurrences.
 
     For each appearance of a term as a key, the wrong choice with the largest mark rate (ties by
-    text) leads; the partner is the most frequent leader (ties by text), and co_occurrences counts the
-    key appearances in which it stood beside the term as a wrong choice.
+    text) leads; the partner is the most frequent leader (ties by text; see plans.heavy), and co_occurrences
+    counts the key appearances in which it stood beside the term as a wrong choice, for that partner alone.
     """
     keys = appearances.filter("was_correct").select(*ITEM, "text_html", "item_no")
     wrong = appearances.filter("not was_correct").select(*ITEM, F.col("text_html").alias("other"), "mark_rate")
     wrong = wrong.groupBy(*ITEM, "other").agg(F.max("mark_rate").alias("mark_rate"))
     pairs = keys.join(wrong, ITEM).filter("other <> text_html")
     lead = pairs.groupBy(*ITEM, "text_html", "item_no").agg(F.min_by("other", F.struct(-F.col("mark_rate"), F.col("other"))).alias("other"))
-    leads = lead.groupBy("text_html", "other").agg(F.count(F.lit(1)).alias("n"))
-    top = leads.groupBy("text_html").agg(F.min_by(F.struct("other", "n"), F.struct(-F.col("n"), F.col("other"))).alias("x")).select("text_html", "x.other", "x.n")
-    seen = pairs.groupBy("text_html", "other").agg(F.count(F.lit(1)).alias("co_occurrences"))
+    top = materialise(most_frequent(lead, "text_html", "other"), "partners")
+    seen = pairs.join(top.select("text_html", "other"), ["text_html", "other"], "left_semi").groupBy("text_html", "other").agg(F.count(F.lit(1)).alias("co_occurrences"))
     return top.join(seen, ["text_html", "other"]).select("text_html", F.col("other").alias("top_confused_with"), F.col("n").alias("top_confused_count"), "co_occurrences")
 
 
 def item_performance(appearances: DataFrame) -> DataFrame:
     """One row a term over all exams: appearances by role, two medians (see plans.medians) and the partner it is most confused with."""
+    appearances = materialise(appearances.select(*ITEM, "item_no", "text_html", "mark_rate", "question_p", "was_correct"), "appearances")  # read for medians, counts and partners
     value = F.when(F.col("was_correct"), F.col("question_p")).otherwise(F.col("mark_rate"))
     role = materialise(medians(appearances, ["text_html", "was_correct"], value), "medians")
     of = lambda correct: F.max(F.when(F.col("was_correct") == correct, F.col("median")))
