@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,19 +165,14 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
                 row, down = _children(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _sig(batch.column(2)), threshold)
                 yield pa.RecordBatch.from_arrays([_signed(down), batch.column(1).take(pa.array(row))], ["node", "rep"])
 
-    def compared(tiled: DataFrame) -> DataFrame:
-        keys = ["node", "tile_a", "tile_b"]
-        return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
-
-    edges, nodes = None, reps.select("rep", "sig").mapInArrow(first, child)
+    stars, tiles, nodes = [], [], reps.select("rep", "sig").mapInArrow(first, child)
     for level in range(depth + 1):
         nodes = materialise(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1")
         sizes = materialise(sizes, "node-sizes")
         whole = sizes.filter(F.col("n") <= bucket).groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).select("node")
         zero = F.lit(0).cast("long")
-        found = compared(nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep").select("node", zero.alias("tile_a"), zero.alias("tile_b"), zero.alias("chunk"), "rep", "sig"))
-        edges = found if edges is None else edges.unionByName(found)
+        tiles.append(nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep").select("node", zero.alias("tile_a"), zero.alias("tile_b"), zero.alias("chunk"), "rep", "sig"))
         big = sizes.filter(F.col("n") > bucket)
         if not big.take(1):
             break
@@ -185,12 +181,14 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
         pivots = big.join(reps.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         large = nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig")
         large = materialise(large.mapInArrow(judge, "node long, rep long, sig binary, pivot long, joined boolean, equal boolean"), "large-nodes")
-        edges = edges.unionByName(large.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        stars.append(large.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         opened = large.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"))
         few = materialise(opened.withColumn("ends", (F.col("open") <= bucket) | F.lit(level == depth)), "open-members")
-        edges = edges.unionByName(compared(_rest_tiles(large.join(few.filter("ends and open > 0").select("node"), "node", "left_semi"), bucket)))
+        tiles.append(_rest_tiles(large.join(few.filter("ends and open > 0").select("node"), "node", "left_semi"), bucket))
         nodes = large.filter("not equal").join(few.filter("not ends").select("node"), "node", "left_semi").select("node", "rep", "sig").mapInArrow(deeper, child)
-    return edges
+    keys = ["node", "tile_a", "tile_b"]  # a node is compared in one level, so tiles of all levels go through one exchange
+    dealt = reduce(DataFrame.unionByName, tiles).repartition(*keys).sortWithinPartitions(*keys)
+    return reduce(DataFrame.unionByName, stars, dealt.mapInArrow(compare, "a long, b long"))
 
 
 def _rest_tiles(members: DataFrame, bucket: int) -> DataFrame:
