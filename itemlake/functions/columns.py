@@ -52,7 +52,7 @@ def _reference(piece: Column) -> Column:
     names = F.from_json(F.lit(json.dumps(entities.html5)), "map<string,string>")
     told = F.transform(F.array(full, short), lambda name: F.concat(F.try_element_at(names, name), F.substr(piece, F.length(name) + 2)))
     decoded = F.concat(char, F.regexp_replace(piece, "^&#([0-9]+|[xX][0-9a-fA-F]+);?", ""))
-    return F.when(number.isNotNull(), decoded).otherwise(F.coalesce(F.array_compact(told)[0], piece))
+    return F.when(number.isNotNull(), decoded).otherwise(F.coalesce(F.get(F.array_compact(told), F.lit(0)), piece))
 
 
 # Fixed value: the references that most texts have, and what they stand for; the ampersand's is decoded last, so nothing is decoded twice.
