@@ -104,3 +104,38 @@ def test_empty(spark, items):
     links = G.class_links(none, classes)
     for df in (classes, links, G.link_counts(classes, links), G.set_groups(classes, links), G.near_set_links(none)):
         assert df.count() == 0
+
+
+def test_wide_sets_and_links_of_some(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    made = {i: set(r.sample(words, r.choice([3, 5, 8, 30, 45]))) for i in range(80)}  # of 30 texts there are 4,060 subsets of three
+    items = spark.createDataFrame([(i, t, -1, -1) for i, s in made.items() for t in s], SCHEMA)
+    classes = materialise(G.set_classes(items), "classes")
+    pairs = {(a, b, len(made[a] & made[b])) for a, b in combinations(made, 2) if len(made[a] & made[b]) >= 3}
+    ids = {x.class_id for x in classes.collect()}
+    pairs = {p for p in pairs if p[0] in ids and p[1] in ids}
+    assert sorted(tuple(x) for x in G.class_links(items, classes).collect()) == sorted(pairs)
+    some = {3, 11, 40, 79}
+    of = {x.choice_set_id: x.class_id for x in classes.collect()}
+    among = spark.createDataFrame([(i,) for i in some] + [(3,), (-5,)], "choice_set_id long")
+    asked = {of[i] for i in some}
+    got = sorted(tuple(x) for x in G.class_links(items, classes, among=among).collect())
+    assert got == sorted(p for p in pairs if p[0] in asked or p[1] in asked)
+
+
+def test_neighbours_and_group_links_have_no_repeats(sets, classes, links):
+    near = {i: sorted(j for j in sets if j == i or len(sets[i] & sets[j]) >= 3) for i in sets}
+    assert {x.choice_set_id: x.near for x in G.neighbours(classes, links).collect()} == near
+    groups = materialise(G.set_groups(classes, links), "groups")
+    pairs = [tuple(x) for x in G.group_links(classes, links, groups).collect()]
+    assert len(pairs) == len(set(pairs))
+
+
+def test_sets_meet_by_what_they_share_not_by_a_common_text(spark):
+    """1,000 sets share two texts and no pair is linked: no key of the join holds two of them."""
+    items = spark.range(1000).selectExpr("id as choice_set_id", "explode(array('a', 'b', 'x' || id, 'y' || id)) as text_html")
+    classes = materialise(G.set_classes(items), "classes")
+    keyed = G._subset_keys(G._texts_by_rarity(items, classes, 3), 3)
+    assert keyed.count() == 4000 and keyed.groupBy("key").count().filter("count > 1").isEmpty()
+    assert G.class_links(items, classes).isEmpty()
