@@ -92,14 +92,26 @@ def run_formats(runs: DataFrame) -> DataFrame:
     return runs.withColumn("formats", F.array_compact(tags)).withColumn("unexpected", F.array_compact(odd))
 
 
+def _by_properties(runs: DataFrame) -> DataFrame:
+    """The different properties of runs with n_runs: what is told of a run by them alone is made once for each."""
+    known = ("bold", "italic", "superscript", "subscript", "underline", "strike", "all_caps", "east_asia", "ascii_name", "color", "highlight", "size")
+    counts = runs.groupBy(*[c for c in known if c in set(runs.columns)]).agg(F.count(F.lit(1)).alias("n_runs"))
+    return counts.filter("n_runs > 0")  # runs without any of these are one group, of none too
+
+
+def count_formats(runs: DataFrame) -> DataFrame:
+    """formats, unexpected, n_runs: how many runs have what run_formats tells of them."""
+    return run_formats(_by_properties(runs)).groupBy("formats", "unexpected").agg(F.sum("n_runs").alias("n_runs"))
+
+
 def font_census(runs: DataFrame) -> DataFrame:
     """entry, n_runs over runs with text: fonts of both scripts, and every property that is set, with values left out."""
     has = set(runs.columns)
     fonts = [F.concat(F.lit(f"{label}="), F.coalesce(F.col(c), F.lit("none"))) for label, c in (("eastAsia", "east_asia"), ("ascii", "ascii_name")) if c in has]
     flags = [F.when(F.col(c), name) for c, name in (("bold", "bold"), ("italic", "italic"), ("superscript", "sup"), ("subscript", "sub")) if c in has]
-    known = run_formats(runs.filter(F.coalesce("text", F.lit("")) != ""))
+    known = run_formats(_by_properties(runs.filter(F.coalesce("text", F.lit("")) != "")))
     found = F.concat(F.array_compact(F.array(*fonts, *flags)), F.transform("unexpected", lambda u: F.substring_index(u, "=", 1)))
-    return known.select(F.explode(found).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n_runs"))
+    return known.select(F.explode(found).alias("entry"), "n_runs").groupBy("entry").agg(F.sum("n_runs").alias("n_runs"))
 
 
 def format_census(runs: DataFrame) -> DataFrame:
