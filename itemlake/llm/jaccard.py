@@ -184,19 +184,18 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
         large = nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig")
         large = materialise(large.mapInArrow(judge, "node long, rep long, sig binary, pivot long, joined boolean, equal boolean"), "large-nodes")
         stars.append(large.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        opened = large.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"))
+        opened = large.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"), F.count_if("joined").alias("done"))
         few = materialise(opened.withColumn("ends", (F.col("open") <= bucket) | F.lit(level == depth)), "open-members")
-        tiles.append(_rest_tiles(large.join(few.filter("ends and open > 0").select("node"), "node", "left_semi"), bucket))
+        tiles.append(_rest_tiles(large, few.filter("ends and open > 0"), bucket))
         nodes = large.filter("not equal").join(few.filter("not ends").select("node"), "node", "left_semi").select("node", "rep", "sig").mapInArrow(deeper, child)
     keys = ["node", "tile_a", "tile_b"]  # a node is compared in one level, so tiles of all levels go through one exchange
     dealt = reduce(DataFrame.unionByName, tiles).repartition(*keys).sortWithinPartitions(*keys)
     return reduce(DataFrame.unionByName, stars, dealt.mapInArrow(compare, "a long, b long"))
 
 
-def _rest_tiles(members: DataFrame, bucket: int) -> DataFrame:
-    """members (node, rep, sig, joined) dealt to tiles in which every two members meet of which one at least isn't joined."""
-    count = lambda which: F.ceil(F.count_if(which) / bucket).cast("long")
-    sizes = members.groupBy("node").agg(count(~F.col("joined")).alias("open"), count(F.col("joined")).alias("done")).filter("open > 0")
+def _rest_tiles(members: DataFrame, counts: DataFrame, bucket: int) -> DataFrame:
+    """members (node, rep, sig, joined) of the nodes in counts (node, open, done: members not joined and joined), dealt to tiles in which every two meet of which one at least isn't joined."""
+    sizes = counts.select("node", *(F.ceil(F.col(c) / bucket).cast("long").alias(c) for c in ("open", "done")))
     rows = members.join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("joined"), F.col("done")).otherwise(F.col("open")))))
     rows = rows.withColumn("chunk", F.when(F.col("joined"), F.col("open") + F.col("chunk")).otherwise(F.col("chunk")))  # joined chunks after the open ones
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, if(joined, open, open + done) - 1)")))
