@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from itemlake.llm import bpe, jaccard, mixing, pii, quality
+from itemlake.plans.numbering import in_written_order
 from itemlake.plans.scratch import materialise
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,17 +34,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture of sources; null is a source, null ids come last in theirs."""
+    """All documents, in the order of the mixture of sources, which token_ids numbers; null is a source, null ids come last in theirs."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the row's position in the mixture and the token ids (little-endian unsigned 32-bit).
+    """doc_id, lang, source, the row's position (0, 1, ...) in docs as the mixture left it, and the token ids (little-endian unsigned 32-bit).
 
-    Files don't keep the order of the stage before, and its position depends on doc_id and source alone.
-    Null texts have no ids; every row gives one.
+    Null texts have no ids; every row gives one. Positions follow the order of docs (see in_written_order).
     """
-    placed = mixing.mix(docs, carry=["lang", "text"])
+    placed = in_written_order(docs.select("doc_id", "lang", "source", "text"), "position")
     return bpe.encode_documents(placed, RANKS, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "position"])
 
 

@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from itemlake.llm import bpe, chat, jaccard, mixing, pii, pretokens, quality, registry, substring, tokenfile, vectors, warc
-from itemlake.plans.scratch import new_folder
+from itemlake.plans.scratch import materialise, new_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, links long, cluster long, rank long, at long, n long"
@@ -662,3 +662,29 @@ def test_pipeline_keeps_the_mixture(spark):
         seen[s] += 1
         if t < ends:
             assert all(abs(seen[x] - (t + 1) * weight[x]) < 1 for x in n)
+
+
+def test_token_ids_number_what_the_stage_before_left(spark):
+    import corpus_pipeline
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "'some text' as text", "'en' as lang", "if(id % 3 = 0, 'a', 'b') as source").repartition(4)
+    mixed = corpus_pipeline.mixture(spark, docs, "")
+    in_order = [r.doc_id for r in mixed.collect()]
+    stored = materialise(mixed, "mixed")
+    for given in (mixed, stored, stored.select("text", "source", "lang", "doc_id")):
+        got = {r.position: r.doc_id for r in corpus_pipeline.token_ids(spark, given, "").collect()}
+        assert [got[k] for k in range(3000)] == in_order
+    other = materialise(docs.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "unmixed")
+    assert {r.position: r.doc_id for r in corpus_pipeline.token_ids(spark, other, "").collect()} == {k: 2999 - k for k in range(3000)}
+
+
+def test_rest_tiles_read_the_members_once(spark):
+    members = spark.range(40).selectExpr("id % 2 as node", "id as rep", "binary('') as sig", "id % 5 = 0 as joined")
+    counts = members.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"), F.count_if("joined").alias("done"))
+    tiles = jaccard._rest_tiles(materialise(members, "members"), materialise(counts, "counts").filter("node = 1"), 3)
+    assert tiles._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    met = defaultdict(set)
+    for r in tiles.collect():
+        met[r.node, r.tile_a, r.tile_b].add(r.rep)
+    pairs = {(a, b) for t in met.values() for a in t for b in t if a < b}
+    assert pairs >= {(a, b) for a in range(1, 40, 2) for b in range(a + 2, 40, 2) if a % 5 or b % 5} and {x for p in pairs for x in p} == set(range(1, 40, 2))
