@@ -113,10 +113,10 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     """(a, b): star edges among reps (rep, sig) whose estimated similarity is near or more.
 
     All runs start at once, each with its own root. In a node of at most bucket members all are
-    compared; a larger one's smallest member, the pivot, is compared with all, and those near it have
-    their edge. If at most bucket members are not near it, or after depth levels, these are compared
-    with all, in tiles, and the node is done; else members not the same as the pivot go on to the
-    node's children.
+    compared; one member of a larger one, the pivot, which differs from node to node, is compared with all, and
+    those near it have their edge. If at most 4 * bucket members are not near it, or after depth levels, these are
+    compared with all, in tiles, and the node is done; else members not the same as the pivot go on to
+    the node's children. So each member of a node that is done goes to a few tiles, instead of down through the levels left.
     Nodes with the same members are compared whole once; larger ones of them all go on, as their
     children differ. The root chooses too, so a tree of depth levels has depth + 1 choices.
     """
@@ -170,23 +170,26 @@ def candidate_edges(reps: DataFrame, threshold: float, recall: float, bucket: in
     stars, tiles, nodes = [], [], reps.select("rep", "sig").mapInArrow(first, child)
     for level in range(depth + 1):
         nodes = materialise(nodes, "nodes")
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("n > 1")
-        sizes = materialise(sizes, "node-sizes")
-        whole = sizes.filter(F.col("n") <= bucket).groupBy("who", "n", "pivot").agg(F.min("node").alias("node")).select("node")
+        mask = F.xxhash64("node")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.min(F.col("rep").bitwiseXOR(mask)).alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+        sizes = materialise(sizes.filter("n > 1").withColumn("pivot", F.col("pivot").bitwiseXOR(mask)), "node-sizes")
+        whole = sizes.filter(F.col("n") <= bucket).groupBy("who", "n", "least").agg(F.min("node").alias("node")).select("node")
         zero = F.lit(0).cast("long")
         tiles.append(nodes.join(whole, "node").join(reps.select("rep", "sig"), "rep").select("node", zero.alias("tile_a"), zero.alias("tile_b"), zero.alias("chunk"), "rep", "sig"))
         big = sizes.filter(F.col("n") > bucket)
         if not big.take(1):
             break
         if level == depth:  # nothing goes on, so nodes with the same members are one
-            big = big.groupBy("who", "n", "pivot").agg(F.min("node").alias("node"))
+            big = big.groupBy("who", "n", "least").agg(F.min_by("pivot", "node").alias("pivot"), F.min("node").alias("node"))
         pivots = big.join(reps.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         large = nodes.join(pivots, "node").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", "pivot", "pivot_sig")
         large = materialise(large.mapInArrow(judge, "node long, rep long, sig binary, pivot long, joined boolean, equal boolean"), "large-nodes")
         stars.append(large.filter("joined and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         opened = large.groupBy("node").agg(F.count_if(~F.col("joined")).alias("open"), F.count_if("joined").alias("done"))
-        few = materialise(opened.withColumn("ends", (F.col("open") <= bucket) | F.lit(level == depth)), "open-members")
+        few = materialise(opened.withColumn("ends", (F.col("open") <= 4 * bucket) | F.lit(level == depth)), "open-members")
         tiles.append(_rest_tiles(large, few.filter("ends and open > 0"), bucket))
+        if few.filter("not ends").isEmpty():
+            break
         nodes = large.filter("not equal").join(few.filter("not ends").select("node"), "node", "left_semi").select("node", "rep", "sig").mapInArrow(deeper, child)
     keys = ["node", "tile_a", "tile_b"]  # a node is compared in one level, so tiles of all levels go through one exchange
     dealt = reduce(DataFrame.unionByName, tiles).repartition(*keys).sortWithinPartitions(*keys)

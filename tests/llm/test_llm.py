@@ -493,6 +493,29 @@ def test_jaccard_recall_where_every_node_is_large(spark):
     assert got >= 0.97 * want
 
 
+def test_jaccard_loose_group_ends_at_its_first_level(spark, monkeypatch):
+    """Of a large group, some tens of members not near a node's pivot are compared with all there; the group doesn't go down all levels."""
+    rng, n = np.random.default_rng(8), 60
+    base, other = rng.integers(0, 1 << 32, (2, jaccard.COORDINATES)).astype(np.uint32)
+    own = rng.integers(0, 1 << 32, (n, jaccard.COORDINATES)).astype(np.uint32)
+    half = np.arange(jaccard.COORDINATES) < 32
+    sigs = np.where(half, base, np.where((np.arange(n) % 3 == 0)[:, None], other, own))  # a third is one text's copies, the rest shares half with all
+    reps = materialise(spark.createDataFrame([(i, sigs[i].tobytes()) for i in range(n)], "rep long, sig binary"), "reps")
+    nodes, real = [], jaccard.materialise
+
+    def counted(df, label="table"):
+        out = real(df, label)
+        if label == "nodes":
+            nodes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    edges = jaccard.candidate_edges(reps, 0.8, 0.99, 15, 4, 0.6, 0.9)
+    parts = {r.node: r.component for r in jaccard.connected_components(edges).collect()}
+    assert parts == {i: 0 for i in range(0, n, 3)}
+    assert len(nodes) == 1, nodes
+
+
 def test_jaccard_runs_allow_for_every_choice(spark, monkeypatch):
     asked, real = [], jaccard.runs_for
     monkeypatch.setattr(jaccard, "runs_for", lambda *a: asked.append(real(*a)) or asked[-1])
