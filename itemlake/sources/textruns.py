@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,17 +24,25 @@ def _formats() -> Column:
     return F.array_intersect(F.array(*map(F.lit, C.FORMAT_TAGS)), F.coalesce("formats", F.array().cast("array<string>")))
 
 
+def _format_bits() -> Column:
+    """The formats of a run as bits: a number takes less of a shuffle, a sort and a comparison than an array of names."""
+    bits = [F.when(F.array_contains("formats", tag), 1 << i).otherwise(0) for i, tag in enumerate(C.FORMAT_TAGS)]
+    return reduce(Column.__add__, bits)
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """doc_id, paragraph, island, text, formats: neighbouring runs with equal formats as one, empty runs dropped.
 
     Islands are numbered within a paragraph by a running count of format changes; a window holds one paragraph.
     """
     w = Window.partitionBy(*PARAGRAPH).orderBy("run_no")
-    r = runs.filter(F.coalesce("text", F.lit("")) != "").withColumn("formats", _formats())
-    new = F.when(F.lag("formats").over(w).eqNullSafe(F.col("formats")) & (F.lag("run_no").over(w).isNotNull()), 0).otherwise(1)
+    r = runs.filter(F.coalesce("text", F.lit("")) != "").select(*PARAGRAPH, "run_no", "text", _format_bits().alias("bits"))
+    new = F.when((F.lag("bits").over(w) == F.col("bits")) & F.lag("run_no").over(w).isNotNull(), 0).otherwise(1)
     r = r.withColumn("new", new).withColumn("island", F.sum("new").over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", "text"))), lambda x: x["text"]), "")
-    return r.groupBy(*PARAGRAPH, "island").agg(text.alias("text"), F.first("formats").alias("formats"))
+    r = r.groupBy(*PARAGRAPH, "island").agg(text.alias("text"), F.first("bits").alias("bits"))
+    formats = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, tag) for i, tag in enumerate(C.FORMAT_TAGS)]))
+    return r.select(*PARAGRAPH, "island", "text", formats.alias("formats"))
 
 
 def paragraphs_of(runs: DataFrame) -> DataFrame:

@@ -26,3 +26,14 @@ def test_counts_are_made_once_for_equal_properties(spark):
     bare = runs.select("text")
     assert [(x.formats, x.unexpected, x.n_runs) for x in textruns.count_formats(bare).collect()] == [([], [], 400)]
     assert textruns.count_formats(runs.filter("false")).isEmpty() and textruns.count_formats(bare.filter("false")).isEmpty()
+
+
+def test_merge_runs_compares_formats_as_bits(spark):
+    rows = [(1, 0, 1, "a", ["sub", "i"]), (1, 0, 2, "b", ["i", "sub", "i", None]), (1, 0, 3, "", ["strong"]), (1, 0, 4, "c", None), (1, 0, 5, "d", ["other"]), (1, 0, 6, "e", ["strong"])]
+    runs = spark.createDataFrame(rows, "doc_id long, paragraph int, run_no int, text string, formats array<string>")
+    merged = textruns.merge_runs(runs)
+    got = [(r.island, r.text, r.formats) for r in merged.orderBy("island").collect()]
+    assert got == [(1, "ab", ["i", "sub"]), (2, "cd", []), (3, "e", ["strong"])]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window [" in line and "lag" in line)
+    assert "lag(bits" in window  # numbers, no arrays of names, are shuffled and sorted
