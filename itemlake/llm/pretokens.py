@@ -24,7 +24,8 @@ class PieceEncoder:
     """split: pre-tokens of a string; encode_many: ids (sequences of int) of pre-tokens; limit: cached pieces.
 
     A word is what stands between two spaces, and its piece begins with the space before it. All ids
-    lie in one pool; a piece's number leads to its place there.
+    lie in one pool; a piece's number leads to its place there. When the limit is reached, words that
+    came once since the last time are forgotten, and those that came again stay.
     """
 
     def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list], limit: int = 600_000):
@@ -34,18 +35,40 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.words: dict[str, int] = {}  # word: number of " " + word, or _MERGE if no space may be cut off after it
         self.pieces: dict[str, int] = {"": 0}  # strings as they stand
-        self.parts: dict[str, bytes] = {}  # pre-tokens
+        self.parts: dict[str, int] = {}  # numbers of pre-tokens other than a space and letters, which are words
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.count = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), 1  # number 0 is the empty piece
+        self.came = np.zeros(1 << 14, np.int32)  # in how many runs of texts
+
+    def _forget_rare(self) -> None:
+        least = 2
+        while np.count_nonzero(self.came[: self.count] >= least) > self.limit // 2:
+            least *= 2
+        often = (self.came[: self.count] >= least).tobytes()
+        kept = {w: n for w, n in self.words.items() if n >= 0 and often[n]}
+        numbers = np.fromiter(kept.values(), np.int64, len(kept))
+        ids, size = self._ids(numbers), self.size[numbers]
+        self._forget()
+        self.words.update(zip(kept, self._add(size, ids), strict=True))
+        self.came[1 : self.count] = 1
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        size = self.size[numbers]
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        at = np.repeat(self.start[numbers] - total[:-1], size)
+        at += np.arange(total[-1], dtype=at.dtype)
+        return self.pool[at]
 
-    def _add(self, sizes: list[int], ids: np.ndarray) -> range:
+    def _add(self, sizes: list[int] | np.ndarray, ids: np.ndarray) -> range:
         """Numbers of new pieces."""
         n, m = len(sizes), len(ids)
         if self.used + m > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(m, len(self.pool)), np.uint32)])
         if self.count + n > len(self.size):
             more = np.zeros(max(n, len(self.size)), np.int32)
-            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+            self.start, self.size, self.came = (np.concatenate([x, more]) for x in (self.start, self.size, self.came))
         self.pool[self.used : self.used + m] = ids
         mine = slice(self.count, self.count + n)
         self.size[mine] = sizes
@@ -54,13 +77,37 @@ class PieceEncoder:
         self.count += n
         return range(self.count - n, self.count)
 
+    def _new(self, tokens: list[str]) -> range:
+        """Numbers of pre-tokens."""
+        ids = self.encode_many(tokens)
+        sizes = list(map(len, ids))
+        return self._add(sizes, np.fromiter(chain.from_iterable(ids), np.uint32, sum(sizes)))
+
+    def _part_numbers(self, tokens: list[str]) -> np.ndarray:
+        """Numbers of pre-tokens, those of a space and letters among the words."""
+        found, words, parts = {}, [], []
+        for p in set(tokens):
+            if p[0] == " " and p[1:].isalpha():
+                n = self.words.get(p[1:])
+                words.append(p) if n is None else found.__setitem__(p, n)
+            else:
+                n = self.parts.get(p)
+                parts.append(p) if n is None else found.__setitem__(p, n)
+        numbers = self._new(words + parts)
+        found.update(zip(words + parts, numbers, strict=True))
+        self.words.update(zip((p[1:] for p in words), numbers, strict=False))
+        self.parts.update(zip(parts, numbers[len(words) :], strict=True))
+        self.came[np.fromiter(found.values(), np.int64, len(found))] += 1
+        return np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens))
+
     def _encode(self, strings: list[str]) -> range:
         """Numbers of strings that begin where a pre-token must, by their cached pre-tokens."""
         cut = list(map(self.split, strings))
-        need = [p for p in set(chain.from_iterable(cut)) if p not in self.parts]
-        self.parts.update(zip(need, (np.array(x, "<u4").tobytes() for x in self.encode_many(need)), strict=True))
-        raw = [b"".join(map(self.parts.__getitem__, c)) for c in cut]
-        return self._add([len(x) >> 2 for x in raw], np.frombuffer(b"".join(raw), "<u4"))
+        parts = self._part_numbers(list(chain.from_iterable(cut)))
+        ends = np.zeros(len(cut) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)), out=ends[1:])
+        total = np.append(0, np.cumsum(self.size[parts], dtype=np.int64))
+        return self._add(np.diff(total[ends]), self._ids(parts))
 
     def _learn(self, words: list[str]) -> None:
         plain, other = [], []
@@ -71,16 +118,16 @@ class PieceEncoder:
                 self.words[w] = _MERGE
             else:
                 other.append(w)
-        ids = self.encode_many([" " + w for w in plain])  # letters after a space are one pre-token
-        sizes = list(map(len, ids))
-        self.words.update(zip(plain, self._add(sizes, np.fromiter(chain.from_iterable(ids), np.uint32, sum(sizes))), strict=True))
+        self.words.update(zip(plain, self._new([" " + w for w in plain]), strict=True))  # letters after a space are one pre-token
         self.words.update(zip(other, self._encode([" " + w for w in other]), strict=True))
 
     def _word_numbers(self, words: list[str]) -> np.ndarray:
         got = np.fromiter(map(self.words.get, words, repeat(_NEW)), np.int64, len(words))
         if len(new := np.flatnonzero(got == _NEW)):
-            self._learn([words[i] for i in new])
-            got[new] = np.fromiter((self.words[words[i]] for i in new), np.int64, len(new))
+            unknown = [words[i] for i in new.tolist()]
+            self._learn(unknown)
+            got[new] = np.fromiter(map(self.words.__getitem__, unknown), np.int64, len(new))
+        self.came[got[got >= 0]] += 1
         return got
 
     def _piece_numbers(self, pieces: list[str]) -> list[int]:
@@ -91,12 +138,12 @@ class PieceEncoder:
     def _texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row starts) of texts without nulls."""
         if len(self.words) + len(self.parts) + len(self.pieces) > self.limit:
-            self._forget()
+            self._forget_rare()
         lists = pc.split_pattern(texts, " ")
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         begins = np.append(0, ends[:-1])
         words = lists.flatten().dictionary_encode()
-        number = self._word_numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        number = self._word_numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         first = words.take(pa.array(begins)).dictionary_decode().to_pylist()
         merge = number == _MERGE
         merge[begins] = [bool(w) and w[-1].isspace() for w in first]

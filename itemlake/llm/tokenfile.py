@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 names, texts = batch.column(0).to_pylist(), batch.column(1)
                 special = pc.match_substring_regex(texts, added) if added else None
                 if special is None or not pc.any(special).as_py():
-                    for lo, hi, tokens, rows in encoder.encode_column(texts):
+                    for lo, hi, tokens, rows in encoder.encode_column(texts, 8 << 20):
                         yield names[lo:hi], np.diff(rows) + 1, np.insert(tokens, rows[1:], end_id)
                     continue
                 for i, whole in enumerate(special.to_pylist()):

@@ -711,3 +711,24 @@ def test_rest_tiles_read_the_members_once(spark):
         met[r.node, r.tile_a, r.tile_b].add(r.rep)
     pairs = {(a, b) for t in met.values() for a in t for b in t if a < b}
     assert pairs >= {(a, b) for a in range(1, 40, 2) for b in range(a + 2, 40, 2) if a % 5 or b % 5} and {x for p in pairs for x in p} == set(range(1, 40, 2))
+
+
+def test_piece_encoder_keeps_words_that_come_again():
+    import regex
+
+    from itemlake.llm.pretokens import PieceEncoder
+
+    asked = []
+
+    def encode_many(pieces):
+        asked.extend(pieces)
+        return [list(p.encode()) for p in pieces]
+
+    encoder = PieceEncoder(regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall, encode_many, 40)
+    texts = [f"x often often. (often) rare{'abcdefghij'[i % 10] * (i // 10 + 1)} {i}th.\n often\n\n  of{i}" for i in range(60)]
+    for t in texts:
+        assert encoder.encode(t) == b"".join(int(x).to_bytes(4, "little") for x in t.encode())
+    assert asked.count(" often") == 1  # alone and before a point, and again after others were forgotten
+    assert len(encoder.words) + len(encoder.parts) + len(encoder.pieces) < 100
+    encoder.limit = 0
+    assert encoder.encode(" a\x00b　 c") == b"".join(int(x).to_bytes(4, "little") for x in " a\x00b　 c".encode())
