@@ -190,3 +190,23 @@ def test_keys_of_many_sets_are_compared_in_tiles(spark, monkeypatch, least):
     assert expanded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == links._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")  # links are made once
     got = [(x.set_a, x.set_b, x.shared) for x in expanded.collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+
+
+def test_linked_groups_store_no_row_for_a_pair(spark, sets, items, classes, links):
+    """Groups linked from their texts are those linked from stored links, and no table that they store has a row a pair."""
+    groups = materialise(G.set_groups(classes, links), "groups")
+    got = sorted(map(tuple, G.linked_groups(items, classes, groups).collect()))
+    assert got == sorted(map(tuple, G.group_links(classes, links, groups).collect()))
+    many = spark.range(400).selectExpr("id as choice_set_id", "explode(array('a', 'b', 'c', 'x' || id, 'y' || id % 40, 'z' || id % 2)) as text_html")
+    many = many.unionByName(spark.range(1000, 1400).selectExpr("id as choice_set_id", "explode(array('z0', 'y' || id % 40, 'x' || (id - 1000))) as text_html"))
+    of = materialise(G.set_classes(many), "classes")
+    groups = materialise(G.summed_groups(of, G.neighbourhood_sums(many, of)), "groups")
+    rows = []
+    stored, G.materialise = G.materialise, lambda df, label="table": rows.append(stored(df, label)) or rows[-1]
+    try:
+        pairs = G.linked_groups(many, of, groups)
+        n = pairs.count()
+    finally:
+        G.materialise = stored
+    assert n == G.group_links(of, materialise(G.class_links(many, of), "links"), groups).count()
+    assert max(t.count() for t in rows) <= 400 * 6 + 400 * 3
