@@ -210,3 +210,37 @@ def test_linked_groups_store_no_row_for_a_pair(spark, sets, items, classes, link
         G.materialise = stored
     assert n == G.group_links(of, materialise(G.class_links(many, of), "links"), groups).count()
     assert max(t.count() for t in rows) <= 400 * 6 + 400 * 3
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_sums_of_nodes_of_every_size(spark, monkeypatch, least):
+    """Nodes compared pair by pair, in blocks and by the next text, in a task and as rows, say what links say."""
+    from itemlake.operators import nodes
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(14)]
+    made = [(i, t) for i in range(300) for t in r.sample(words, r.choice([2, 3, 5, 7, 9]))] + [(i + 1000, t) for i in range(300) for t in r.sample(words, 5)]
+    rows = spark.createDataFrame(made, "choice_set_id long, text_html string").cache()
+    of = materialise(G.set_classes(rows), "classes")
+    links = materialise(G.class_links(rows, of, least), "links")
+    want = sorted(map(tuple, G.link_counts(of, links, least).collect())), sorted(map(tuple, G.set_groups(of, links, least).collect()))
+    for node, small, dense, block in ((1 << 15, 24, 4096, 1024), (1 << 15, 2, 40, 32), (60, 24, 30, 16)):
+        monkeypatch.setattr(G, "_NODE", node)
+        for name, value in (("_SMALL", small), ("_DENSE", dense), ("_BLOCK", block)):
+            monkeypatch.setattr(nodes, name, value)
+        sums = materialise(G.neighbourhood_sums(rows, of, least), "sums")
+        assert (sorted(map(tuple, G.counted_links(of, sums).collect())), sorted(map(tuple, G.summed_groups(of, sums).collect()))) == want
+
+
+def test_sums_store_no_subset_of_many_texts(spark):
+    """60 sets hold the same 12 texts, 4,017 subsets of three or more each: what is stored stays at the subsets of two."""
+    items = spark.range(60).selectExpr("id as choice_set_id", "explode(concat(transform(sequence(1, 12), x -> 't' || x), array('x' || id))) as text_html")
+    classes = materialise(G.set_classes(items), "classes")
+    rows = []
+    stored, G.materialise = G.materialise, lambda df, label="table": rows.append(stored(df, label)) or rows[-1]
+    try:
+        sums = G.neighbourhood_sums(items, classes)
+        assert {x.n_links for x in G.counted_links(classes, sums).collect()} == {59}
+    finally:
+        G.materialise = stored
+    assert max(t.count() for t in rows) <= 60 * 13
